@@ -23,7 +23,7 @@ single AS (
     CASE WHEN k % 23 = 0 THEN cast(1000 * (1 + k % 40) AS double)
          WHEN k % 29 = 0 THEN cast(9990 AS double)
          WHEN k % 7 = 0 THEN cast(9000 + (k % 13) * 50 AS double)
-         WHEN k % 11 = 0 THEN round(o_totalprice / 50, 2)
+         WHEN k % 11 = 0 THEN floor(o_totalprice * 2) / 100
          ELSE o_totalprice END AS amount,
     CASE k % 8 WHEN 0 THEN 'Miscellaneous' WHEN 1 THEN NULL WHEN 2 THEN 'Consulting'
          WHEN 3 THEN 'Office chairs order' WHEN 4 THEN 'n/a' WHEN 5 THEN 'Gift cards'
@@ -326,12 +326,13 @@ scored AS (
       AS triggered_detectors
   FROM rated)"""
 
+EXACT = "cast(amount AS decimal(24, 6))"
 FLAGGED = "risk_tier IN ('HIGH', 'CRITICAL')"
 
 PORTFOLIO = f"""
 rates AS (
   SELECT count(*) AS total_transactions, count(*) FILTER ({FLAGGED}) AS flagged_transactions,
-    coalesce(sum(amount) FILTER ({FLAGGED}), 0) AS estimated_exposure, avg(composite_risk) AS mean_risk,
+    coalesce(cast(sum({EXACT}) FILTER ({FLAGGED}) AS double), 0) AS estimated_exposure, avg(composite_risk) AS mean_risk,
     avg(is_outlier::int) AS outlier_rate, avg(rsf_flag::int) AS rsf_flag_rate,
     avg(is_exact_duplicate::int) AS duplicate_rate, avg(is_round_number::int) AS round_number_rate,
     (SELECT mad FROM benford WHERE digit_position = 1) AS benford_mad
@@ -343,7 +344,7 @@ portfolio AS (
 
 VENDOR_VIEW = f"""
 vview AS (
-  SELECT vendor, count(*) AS transaction_count, sum(amount) AS total_spend,
+  SELECT vendor, count(*) AS transaction_count, cast(sum({EXACT}) AS double) AS total_spend,
     list_sort(list(amount))[count(*) // 2 + 1] AS median_amount, avg(composite_risk) AS avg_score,
     count(*) FILTER ({FLAGGED}) AS flagged,
     CASE WHEN bool_or(risk_tier = 'CRITICAL') THEN 'CRITICAL' WHEN bool_or(risk_tier = 'HIGH') THEN 'HIGH'
@@ -499,9 +500,9 @@ FROM ledger JOIN (SELECT unnest({fv.ROUND_THRESHOLDS}) AS t) ON abs(amount - t)
   round(vendor_std, 6) AS vendor_std, vendor_count, round(vendor_median, 6) AS vendor_median FROM vstats"""),
     "relative_size": sql(LEDGER, PROFILE, VENDOR_STATS, RSF, """SELECT txn_id, round(rsf, 6) AS rsf, rsf_flag,
   round(rsf_zscore, 6) AS rsf_zscore, round(vendor_median, 6) AS vendor_median, vendor_count FROM rsf"""),
-    "top_rsf_vendors": sql(LEDGER, PROFILE, VENDOR_STATS, RSF, """SELECT vendor, flag_count,
+    "top_rsf_vendors": sql(LEDGER, PROFILE, VENDOR_STATS, RSF, f"""SELECT vendor, flag_count,
   round(total_exposure, 6) AS total_exposure, round(max_rsf, 6) AS max_rsf FROM (
-  SELECT vendor, count(*) FILTER (rsf_flag) AS flag_count, sum(CASE WHEN rsf_flag THEN amount ELSE 0 END)
+  SELECT vendor, count(*) FILTER (rsf_flag) AS flag_count, cast(sum(CASE WHEN rsf_flag THEN {EXACT} ELSE 0 END) AS double)
     AS total_exposure, max(rsf) AS max_rsf, min(txn_id) AS first_txn FROM rsf GROUP BY vendor)
 WHERE flag_count > 0 ORDER BY total_exposure DESC, first_txn LIMIT 10"""),
     "exact_duplicates": sql(LEDGER, DUPS, "SELECT txn_id, dup_count, dup_group_key FROM dups"),
@@ -537,7 +538,7 @@ FROM similar_names"""),
   round(duplicate_rate, 6) AS duplicate_rate, round(benford_mad, 6) AS benford_mad,
   round(round_number_rate, 6) AS round_number_rate, total_transactions, flagged_transactions,
   round(estimated_exposure, 6) AS estimated_exposure FROM portfolio"""),
-    "vendor_risk": on_scored(f"""SELECT vendor, count(*) AS transaction_count, round(sum(amount), 6) AS total_spend,
+    "vendor_risk": on_scored(f"""SELECT vendor, count(*) AS transaction_count, round(cast(sum({EXACT}) AS double), 6) AS total_spend,
   round(avg(composite_risk), 2) AS avg_risk_score, max(composite_risk) AS max_risk_score,
   count(*) FILTER ({FLAGGED}) AS flagged_transactions, min(txn_id) AS first_txn FROM scored GROUP BY vendor"""),
     "vendor_view": on_scored(VENDOR_VIEW, """SELECT vendor, transaction_count, round(total_spend, 6) AS total_spend,
@@ -546,7 +547,7 @@ FROM similar_names"""),
   round(median_amount, 6) AS median_amount, round(avg_score, 6) AS avg_score, flagged, max_tier, first_txn
 FROM vview ORDER BY vview.avg_score DESC, first_txn LIMIT 100"""),
     "vendor_totals": on_scored(VENDOR_VIEW, """SELECT count(*) AS vendors, count(*) FILTER (flagged > 0)
-  AS flagged_vendors, cast(sum(flagged) AS bigint) AS total_flagged, round(sum(total_spend), 6) AS total_spend
+  AS flagged_vendors, cast(sum(flagged) AS bigint) AS total_flagged, round(cast(sum(cast(total_spend AS decimal(24, 6))) AS double), 6) AS total_spend
 FROM vview"""),
     "vendor_transactions": on_scored("""SELECT txn_id, vendor, composite_risk FROM scored WHERE vendor = (
   SELECT vendor FROM scored GROUP BY vendor ORDER BY count(*) DESC, vendor LIMIT 1)"""),
@@ -567,7 +568,7 @@ FROM (SELECT unnest(range(10)) AS bin) LEFT JOIN scored ON least(composite_risk
     "filter_transactions": on_scored("""SELECT txn_id, vendor, round(amount, 6) AS amount, date FROM scored
 WHERE risk_tier = 'MEDIUM' AND (contains(lower(vendor), 'a') OR contains(lower(invoice_id), 'a'))
   AND amount BETWEEN 5000 AND 200000 AND date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'
-  AND list_contains(triggered_detectors, 'RSF')"""),
+  AND list_contains(triggered_detectors, 'DESCRIPTION_AUDIT')"""),
     "page_count": on_scored("""SELECT count(*) AS n, cast(greatest(ceil(count(*) / 50), 1) AS bigint) AS total_pages
 FROM scored WHERE risk_tier = 'HIGH'"""),
     "flagged_transactions": on_scored(f"SELECT txn_id, composite_risk, risk_tier FROM scored WHERE {FLAGGED}"),
@@ -621,5 +622,5 @@ FROM dcounts JOIN (VALUES """ + ", ".join(f"({_quoted(d)}, {_quoted(b)})" for d,
     AS "Chi-Square Significant" FROM benford"""),
     "exposure_text": on_scored(f"""SELECT vendor, CASE WHEN s >= 1000000 THEN '$' || {_fixed('s / 1000000', 2)} || ' million'
   WHEN s >= 1000 THEN '$' || {_fixed('s / 1000', 1)} || 'k' ELSE {_money('s')} END AS spend
-FROM (SELECT vendor, sum(amount) AS s FROM scored GROUP BY vendor)"""),
+FROM (SELECT vendor, cast(sum({EXACT}) AS double) AS s FROM scored GROUP BY vendor)"""),
 }

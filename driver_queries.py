@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ledger_analytics import fixed_values as fv
 from ledger_analytics.config import AnalysisConfig
+from ledger_analytics.functions.numeric import first_digit, is_round, just_below, second_digit, total_amount
 from ledger_analytics.operators import benford, descriptions, duplicates, fuzzy, rsf, screening, splits
 from ledger_analytics.operators.forest import fit_forest, with_isolation
 from ledger_analytics.operators.profile import LedgerProfile, profile_frame, profile_ledger
@@ -45,7 +46,7 @@ VENDOR = f"""CASE WHEN k % 97 = 0 THEN lower({V0})
 AMOUNT = """CASE WHEN k % 23 = 0 THEN cast(1000 * (1 + k % 40) AS double)
      WHEN k % 29 = 0 THEN cast(9990 AS double)
      WHEN k % 7 = 0 THEN cast(9000 + (k % 13) * 50 AS double)
-     WHEN k % 11 = 0 THEN round(o_totalprice / 50, 2)
+     WHEN k % 11 = 0 THEN floor(o_totalprice * 2) / 100
      ELSE o_totalprice END"""
 DESCRIPTION = """CASE k % 8 WHEN 0 THEN 'Miscellaneous' WHEN 1 THEN NULL WHEN 2 THEN 'Consulting'
      WHEN 3 THEN 'Office chairs order' WHEN 4 THEN 'n/a' WHEN 5 THEN 'Gift cards'
@@ -57,8 +58,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders")
+    cores = spark.sparkContext.defaultParallelism
+    if orders.rdd.getNumPartitions() < cores:
+        # a table in one small file would keep everything up to the first shuffle on one core
+        orders = orders.repartition(cores)
     return (
-        _table(spark, sf_dir, "orders")
+        orders
         .join(_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .withColumnRenamed("o_orderkey", "k")
     )
@@ -339,8 +345,6 @@ def _on_scored(op: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def _row_digits(led: DataFrame) -> DataFrame:
-    from ledger_analytics.functions.numeric import first_digit, is_round, just_below, second_digit
-
     a, cfg = F.col("amount"), AnalysisConfig()
     return led.select(
         "txn_id",
@@ -391,7 +395,7 @@ def _details(df: DataFrame) -> DataFrame:
 
 
 FILTER = dict(tier="MEDIUM", search="a", min_amount=5000.0, max_amount=200000.0,
-              date_from="1996-01-01", date_to="1998-12-31", detector="RSF")
+              date_from="1996-01-01", date_to="1998-12-31", detector="DESCRIPTION_AUDIT")
 
 
 def vendor_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -506,7 +510,7 @@ QUERIES: dict[str, Query] = {
         reports.benford_rows(_benford(spark, sf)).drop("Chi-Square Note")
     ),
     "exposure_text": _on_scored(
-        lambda s: s.groupBy("vendor").agg(reports.exposure_text(F.sum("amount")).alias("spend"))
+        lambda s: s.groupBy("vendor").agg(reports.exposure_text(total_amount(F.col("amount"))).alias("spend"))
     ),
     # the whole, with the forest
     "full_analysis": _full_analysis,

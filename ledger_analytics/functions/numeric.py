@@ -25,6 +25,11 @@ def exact_amount(c: Column) -> Column:
     return c.cast("decimal(24,6)")
 
 
+def total_amount(c: Column) -> Column:
+    """Sum of money, the same for any partitioning."""
+    return F.coalesce(F.sum(exact_amount(c)).cast("double"), F.lit(0.0))
+
+
 def _significant_digits(c: Column) -> Column:
     # plain decimal text (never an exponent), no padding zeros, no point
     text = F.abs(c).cast("decimal(38,10)").cast("string")

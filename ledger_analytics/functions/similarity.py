@@ -1,45 +1,46 @@
-"""Edit-distance blocking: strings within distance k share a k-deletion variant."""
+"""Edit-distance blocking: strings within distance 2 share a variant with at most
+two characters removed."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _drop_char(s: Column, i: Column) -> Column:
-    return F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s)))
+def with_deletion_keys(df: DataFrame, column: str, key: str) -> DataFrame:
+    """Repeat each row of ``df`` for the 64-bit hash of every such variant of ``column``.
 
+    Only strings that are close to each other meet under one key, so a key's group
+    is bounded by the alphabet and the string length, not by how many strings
+    there are. Hashes stand in for the variants to keep the following shuffle
+    narrow; a clash only adds a candidate, which the distance test then rejects.
 
-def _drops(s: Column) -> Column:
-    # empty strings have nothing to drop
-    return F.when(
-        F.length(s) > 0,
-        F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: _drop_char(s, i)),
-    ).otherwise(F.array().cast("array<string>"))
-
-
-def deletion_keys(s: Column) -> Column:
-    """Distinct 64-bit hashes of ``s`` with at most two characters removed.
-
-    Two strings within edit distance 2 always have a key in common. Only names
-    that are close to each other meet under one key, so a key's group is bounded
-    by the alphabet and the name length, not by how many names there are. Hashes
-    stand in for the variants to keep the shuffle narrow; a clash only adds a
-    candidate, which the distance test then rejects.
+    The positions to remove (none, j, or i and j) are exploded instead of being
+    mapped inside an array, which keeps the work in generated code. In a run of equal
+    characters only the last is removed: removing another one gives the same string.
     """
-    one = _drops(s)
-    # remove position j only behind the first gap: every pair of positions once
-    two = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))),
-            lambda i: F.when(
-                i < F.length(s),
-                F.transform(
-                    F.sequence(i, F.length(s) - 1),
-                    lambda j: _drop_char(_drop_char(s, i), j),
-                ),
-            ).otherwise(F.array().cast("array<string>")),
-        )
+    s, i, j = F.col(column), F.col("__i"), F.col("__j")
+    length = F.length(s)
+
+    def char(at):
+        return F.substring(s, at, F.lit(1))
+
+    first = F.sequence(F.lit(0), F.greatest(length - 1, F.lit(0)))
+    second = F.when(i == 0, F.sequence(F.lit(0), length)).otherwise(F.sequence(i + 1, length))
+    last_of_run_j = (j == 0) | (char(j) != char(j + 1))
+    last_of_run_i = (i == 0) | (i + 1 == j) | (char(i) != char(i + 1))
+    variant = F.concat(
+        F.substring(s, F.lit(1), i - 1),
+        F.substring(s, i + 1, j - i - 1),
+        F.substring(s, j + 1, length),
+    )
+    # a few bytes per string grow several hundredfold here: use all tasks a shuffle
+    # may have, whatever the size of the input suggests
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        df.repartition(tasks)
+        .withColumn("__i", F.explode(first))
+        .withColumn("__j", F.explode(second))
+        .where(last_of_run_i & last_of_run_j)
+        .select(*df.columns, F.xxhash64(variant).alias(key))
     )
-    variants = F.array_distinct(F.concat(F.array(s), one, two))
-    return F.transform(variants, lambda v: F.xxhash64(v))

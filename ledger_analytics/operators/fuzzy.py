@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from ledger_analytics.config import AnalysisConfig
 from ledger_analytics.functions.numeric import amount_cents, js_round
-from ledger_analytics.functions.similarity import deletion_keys
+from ledger_analytics.functions.similarity import with_deletion_keys
 from ledger_analytics.functions.text import vendor_key, vendor_lower
 from ledger_analytics.operators.profile import LedgerProfile
+from ledger_analytics.sources.materialize import materialize
 
 _DISTANCES = (1, 2)
 _REACH = 2  # bands
@@ -23,8 +24,7 @@ _REACH = 2  # bands
 
 def similar_names(names: DataFrame, column: str) -> DataFrame:
     """(name, other, distance) for every ordered pair of distinct names within distance 2."""
-    names = names.select(F.col(column).alias("name"))
-    keyed = names.select("name", F.explode(deletion_keys(F.col("name"))).alias("key"))
+    keyed = with_deletion_keys(names.select(F.col(column).alias("name")), "name", "key")
     other = keyed.withColumnRenamed("name", "other")
     half = (
         keyed.join(other, "key")
@@ -73,7 +73,8 @@ def fuzzy_duplicates(
     The match is a row at the smallest distance; the group names that pair of rows.
     """
     rows = _rows(ledger, profile, config)
-    pairs = similar_names(rows.select("name").distinct(), "name")
+    # stored once: comparing the names is the costly part and the pairs are read several times
+    pairs = materialize(similar_names(rows.select("name").distinct(), "name"), "similar-vendors")
     # names that differ in whitespace only share exact-duplicate keys: for them the
     # key of the two rows must differ; for all others the key cannot be equal
     same_key = vendor_key(F.col("name")) == vendor_key(F.col("other"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledger_analytics.config import AnalysisConfig
+from ledger_analytics.functions.numeric import total_amount
 from ledger_analytics.operators.order_stats import order_statistics, value_counts
 from ledger_analytics.operators.profile import LedgerProfile
 
@@ -56,7 +57,7 @@ def top_rsf_vendors(rsf_rows: DataFrame, n: int = 10) -> DataFrame:
         rsf_rows.groupBy("vendor")
         .agg(
             F.count_if(flag).alias("flag_count"),
-            F.sum(F.when(flag, F.col("amount")).otherwise(0.0)).alias("total_exposure"),
+            total_amount(F.when(flag, F.col("amount"))).alias("total_exposure"),
             F.max("rsf").alias("max_rsf"),
             F.min("txn_id").alias("first_txn"),
         )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledger_analytics import fixed_values as fv
 from ledger_analytics.config import AnalysisConfig
-from ledger_analytics.functions.numeric import js_round, just_below
+from ledger_analytics.functions.numeric import js_round, just_below, total_amount
 
 
 def tier_of(score: Column) -> Column:
@@ -90,7 +90,7 @@ def portfolio_summary(scored: DataFrame, benford_mad: float | Column) -> DataFra
     t = scored.agg(
         F.count(F.lit(1)).alias("total_transactions"),
         F.coalesce(F.count_if(flagged), F.lit(0)).alias("flagged_transactions"),
-        F.coalesce(F.sum(F.when(flagged, F.col("amount"))), F.lit(0.0)).alias("estimated_exposure"),
+        total_amount(F.when(flagged, F.col("amount"))).alias("estimated_exposure"),
         F.coalesce(F.avg("composite_risk"), F.lit(0.0)).alias("mean_risk"),
         rate("is_outlier"),
         rate("rsf_flag"),

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledger_analytics.config import AnalysisConfig
-from ledger_analytics.functions.similarity import deletion_keys
+from ledger_analytics.functions.similarity import with_deletion_keys
 from ledger_analytics.functions.text import name_tokens, normal_name, vendor_lower
 
 
@@ -103,8 +103,8 @@ def sanctions_verdicts(
     d = config.sanctions_max_distance
     if not 0 <= d <= 2:
         raise ValueError("sanctions_max_distance must be 0, 1 or 2")
-    name_keys = names.select("vendor_lower", "name", F.explode(deletion_keys(F.col("name"))).alias("key"))
-    list_keys = listed.select("listing", "entity", F.explode(deletion_keys(F.col("entity"))).alias("key"))
+    name_keys = with_deletion_keys(names, "name", "key")
+    list_keys = with_deletion_keys(listed, "entity", "key")
     near = (
         name_keys.join(list_keys, "key")
         .withColumn("distance", F.levenshtein("name", "entity", d))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledger_analytics import fixed_values as fv
-from ledger_analytics.functions.numeric import js_round
+from ledger_analytics.functions.numeric import total_amount
 from ledger_analytics.operators.benford import chi_critical, mad_category
 from ledger_analytics.operators.order_stats import order_statistics, value_counts
 from ledger_analytics.operators.scoring import is_flagged
@@ -151,7 +151,7 @@ def vendor_risk(scored: DataFrame) -> DataFrame:
     """Counts, spend, average and highest score per vendor."""
     return scored.groupBy("vendor").agg(
         F.count(F.lit(1)).alias("transaction_count"),
-        F.sum("amount").alias("total_spend"),
+        total_amount(F.col("amount")).alias("total_spend"),
         F.round(F.avg("composite_risk"), 2).alias("avg_risk_score"),
         F.max("composite_risk").alias("max_risk_score"),
         F.count_if(is_flagged()).alias("flagged_transactions"),
@@ -167,7 +167,7 @@ def vendor_view(scored: DataFrame) -> DataFrame:
     rank = F.coalesce(*[F.when(F.col("risk_tier") == t, r) for t, r in _TIER_RANK.items()])
     totals = scored.groupBy("vendor").agg(
         F.count(F.lit(1)).alias("transaction_count"),
-        F.sum("amount").alias("total_spend"),
+        total_amount(F.col("amount")).alias("total_spend"),
         F.avg("composite_risk").alias("avg_score"),
         F.count_if(is_flagged()).alias("flagged"),
         F.max(rank).alias("tier_rank"),
@@ -202,7 +202,7 @@ def vendor_totals(view: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("vendors"),
         F.count_if(F.col("flagged") > 0).alias("flagged_vendors"),
         F.coalesce(F.sum("flagged"), F.lit(0)).alias("total_flagged"),
-        F.coalesce(F.sum("total_spend"), F.lit(0.0)).alias("total_spend"),
+        total_amount(F.col("total_spend")).alias("total_spend"),
     )
 
 
