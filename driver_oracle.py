@@ -47,7 +47,7 @@ prof AS (
 
 VENDOR_STATS = """
 vstats AS (
-  SELECT vendor, median(amount) AS vendor_median, avg(amount) AS vendor_mean,
+  SELECT vendor, median(amount) AS vendor_median, cast(sum(cast(amount AS decimal(24, 6))) AS double) / count(*) AS vendor_mean,
          stddev_pop(amount) AS vendor_std, count(*) AS vendor_count
   FROM ledger GROUP BY vendor)"""
 
@@ -447,7 +447,7 @@ _YES = "CASE WHEN {} THEN 'YES' ELSE '' END"
 _TIERS = ", ".join(f"count(*) FILTER (risk_tier = '{t}') AS {t}" for t in fv.TIERS)
 
 ORACLE: dict[str, str] = {
-    "ledger_rows": sql(LEDGER, """SELECT txn_id, invoice_id, date, vendor, round(amount, 6) AS amount, description,
+    "ledger_rows": sql(LEDGER, """SELECT txn_id, invoice_id, date, vendor, floor(amount * 1e6 + 0.5) / 1e6 AS amount, description,
   category, approved_by, address FROM ledger"""),
     "csv_ledger": sql(LEDGER, MESSY, """SELECT CASE WHEN k % 5 = 0 THEN 'ROW' ELSE 'INV-' || k END AS invoice_id,
   d AS date, CASE WHEN k % 6 = 0 THEN 'Unknown' ELSE v0 || ', Inc' END AS vendor,
@@ -469,7 +469,7 @@ FROM messy"""),
     "csv_counters": sql(LEDGER, MESSY, "SELECT outcome, count(*) AS n FROM messy GROUP BY outcome"),
     "frame_ledger": """SELECT l_orderkey * 10 + l_linenumber AS txn_id,
   cast(l_orderkey * 10 + l_linenumber AS varchar) AS invoice_id, cast(l_shipdate AS date) AS date,
-  'S' || l_suppkey AS vendor, round(l_extendedprice, 6) AS amount, l_returnflag AS category
+  'S' || l_suppkey AS vendor, floor(l_extendedprice * 1e6 + 0.5) / 1e6 AS amount, l_returnflag AS category
 FROM lineitem WHERE l_extendedprice > 0""",
     "run_history": sql(*_SCORED, BENFORD, PORTFOLIO, """SELECT 'run-1' AS run_id, 'orders' AS filename, total_transactions,
   flagged_transactions, cast(floor(raw + 0.5) AS integer) AS score,
@@ -480,28 +480,28 @@ FROM lineitem WHERE l_extendedprice > 0""",
 UNION ALL SELECT 'flagged_transactions', count(*) FILTER ({FLAGGED}) FROM scored
 UNION ALL SELECT 'all_transactions', count(*) FROM scored
 UNION ALL SELECT 'vendor_risk', count(DISTINCT vendor) FROM scored"""),
-    "ledger_profile": sql(LEDGER, PROFILE, """SELECT n, round(max_amount, 6) AS max_amount, round(median, 6) AS median,
-  round(upper_median, 6) AS upper_median, round(p75, 6) AS p75, round(mean_log, 6) AS mean_log,
-  round(std_log, 6) AS std_log, round(min_log, 6) AS min_log, round(max_log, 6) AS max_log, min_txn, max_txn
+    "ledger_profile": sql(LEDGER, PROFILE, """SELECT n, floor(max_amount * 1e6 + 0.5) / 1e6 AS max_amount, floor(median * 1e6 + 0.5) / 1e6 AS median,
+  floor(upper_median * 1e6 + 0.5) / 1e6 AS upper_median, floor(p75 * 1e6 + 0.5) / 1e6 AS p75, floor(mean_log * 1e6 + 0.5) / 1e6 AS mean_log,
+  floor(std_log * 1e6 + 0.5) / 1e6 AS std_log, floor(min_log * 1e6 + 0.5) / 1e6 AS min_log, floor(max_log * 1e6 + 0.5) / 1e6 AS max_log, min_txn, max_txn
 FROM prof, (SELECT avg(ln(1 + amount)) AS mean_log, stddev_pop(ln(1 + amount)) AS std_log,
   min(ln(1 + amount)) AS min_log, max(ln(1 + amount)) AS max_log, min(txn_id) AS min_txn,
   max(txn_id) AS max_txn FROM ledger)"""),
     "row_digits": sql(LEDGER, ROW_DIGITS, "SELECT * FROM row_digits"),
     "benford_digits": sql(LEDGER, ROW_DIGITS, BENFORD, """SELECT digit_position, cast(digit AS integer) AS digit, n,
-  round(observed_pct, 6) AS observed_pct, round(expected_pct, 6) AS expected_pct FROM digits"""),
+  floor(observed_pct * 1e6 + 0.5) / 1e6 AS observed_pct, floor(expected_pct * 1e6 + 0.5) / 1e6 AS expected_pct FROM digits"""),
     "benford_summary": sql(LEDGER, ROW_DIGITS, BENFORD, """SELECT digit_position, total_records,
-  round(chi_square, 6) AS chi_square, round(mad, 6) AS mad, round(chi_square_counts, 6) AS chi_square_counts,
+  floor(chi_square * 1e6 + 0.5) / 1e6 AS chi_square, floor(mad * 1e6 + 0.5) / 1e6 AS mad, floor(chi_square_counts * 1e6 + 0.5) / 1e6 AS chi_square_counts,
   conformity FROM benford"""),
     "round_number": sql(LEDGER, f"""SELECT count(*) FILTER ({ROUND}) AS round_count,
-  round(avg({ROUND}::int), 6) AS round_rate, avg({ROUND}::int) > 0.15 AS flagged FROM ledger"""),
+  floor(avg({ROUND}::int) * 1e6 + 0.5) / 1e6 AS round_rate, avg({ROUND}::int) > 0.15 AS flagged FROM ledger"""),
     "threshold_distribution": sql(LEDGER, f"""SELECT cast(t AS double) AS threshold, count(*) AS n
 FROM ledger JOIN (SELECT unnest({fv.ROUND_THRESHOLDS}) AS t) ON abs(amount - t) <= 15 GROUP BY t"""),
-    "vendor_stats": sql(LEDGER, VENDOR_STATS, """SELECT vendor, round(vendor_mean, 6) AS vendor_mean,
-  round(vendor_std, 6) AS vendor_std, vendor_count, round(vendor_median, 6) AS vendor_median FROM vstats"""),
-    "relative_size": sql(LEDGER, PROFILE, VENDOR_STATS, RSF, """SELECT txn_id, round(rsf, 6) AS rsf, rsf_flag,
-  round(rsf_zscore, 6) AS rsf_zscore, round(vendor_median, 6) AS vendor_median, vendor_count FROM rsf"""),
+    "vendor_stats": sql(LEDGER, VENDOR_STATS, """SELECT vendor, floor(vendor_mean * 1e6 + 0.5) / 1e6 AS vendor_mean,
+  floor(vendor_std * 1e6 + 0.5) / 1e6 AS vendor_std, vendor_count, floor(vendor_median * 1e6 + 0.5) / 1e6 AS vendor_median FROM vstats"""),
+    "relative_size": sql(LEDGER, PROFILE, VENDOR_STATS, RSF, """SELECT txn_id, floor(rsf * 1e6 + 0.5) / 1e6 AS rsf, rsf_flag,
+  floor(rsf_zscore * 1e6 + 0.5) / 1e6 AS rsf_zscore, floor(vendor_median * 1e6 + 0.5) / 1e6 AS vendor_median, vendor_count FROM rsf"""),
     "top_rsf_vendors": sql(LEDGER, PROFILE, VENDOR_STATS, RSF, f"""SELECT vendor, flag_count,
-  round(total_exposure, 6) AS total_exposure, round(max_rsf, 6) AS max_rsf FROM (
+  floor(total_exposure * 1e6 + 0.5) / 1e6 AS total_exposure, floor(max_rsf * 1e6 + 0.5) / 1e6 AS max_rsf FROM (
   SELECT vendor, count(*) FILTER (rsf_flag) AS flag_count, cast(sum(CASE WHEN rsf_flag THEN {EXACT} ELSE 0 END) AS double)
     AS total_exposure, max(rsf) AS max_rsf, min(txn_id) AS first_txn FROM rsf GROUP BY vendor)
 WHERE flag_count > 0 ORDER BY total_exposure DESC, first_txn LIMIT 10"""),
@@ -511,9 +511,9 @@ FROM similar_names"""),
     "fuzzy_duplicates": sql(LEDGER, PROFILE, DUPS, SIMILAR, fuzzy(20000), "SELECT * FROM fuzzy"),
     "fuzzy_duplicates_material": sql(LEDGER, PROFILE, DUPS, SIMILAR, fuzzy(1000), "SELECT * FROM fuzzy"),
     "split_anchors": sql(LEDGER, SPLITS, """SELECT g AS vendor_group, cast(date_diff('day', DATE '1970-01-01', date)
-  AS integer) AS day, anchor AS anchor_txn_id, round(cluster_total, 6) AS cluster_total, cluster_size,
+  AS integer) AS day, anchor AS anchor_txn_id, floor(cluster_total * 1e6 + 0.5) / 1e6 AS cluster_total, cluster_size,
   suspected_threshold FROM anchors"""),
-    "split_invoices": sql(LEDGER, SPLITS, """SELECT txn_id, split_cluster_id, round(cluster_total, 6) AS cluster_total,
+    "split_invoices": sql(LEDGER, SPLITS, """SELECT txn_id, split_cluster_id, floor(cluster_total * 1e6 + 0.5) / 1e6 AS cluster_total,
   cluster_size, suspected_threshold FROM splits"""),
     "description_audit": sql(LEDGER, PROFILE, DESCRIPTIONS, """SELECT txn_id, description_risk,
   array_to_string(triggered_keywords, '|') AS triggered_keywords FROM audit"""),
@@ -525,47 +525,47 @@ FROM similar_names"""),
     "sanctions_screen": sql(LEDGER, LISTS, SCREENED, sanctions_screen("all_names"), """SELECT vendor_lower, ofac_hit,
   matched_name, list_type, match_kind, match_distance FROM sanctioned"""),
     "registry_check": sql(LEDGER, LISTS, SCREENED, registry_check("all_names"), """SELECT vendor_lower, edgar_verified,
-  round(confidence, 6) AS confidence, entity_name, cik FROM registered"""),
+  floor(confidence * 1e6 + 0.5) / 1e6 AS confidence, entity_name, cik FROM registered"""),
     "address_check": sql(LEDGER, PROFILE, VENDOR_STATS, RSF, DUPS, SIMILAR, fuzzy(20000), DIRECTORY, SUSPECTS, LISTS,
                          ADDRESSES, "SELECT address, address_valid, address_type FROM geocoded"),
     "vendor_verdicts": on_scored("SELECT vendor_lower, edgar_verified, ofac_hit, address_valid FROM verdicts"),
-    "composite_score": on_scored("""SELECT txn_id, isolation_score, round(rsf, 6) AS rsf, description_risk,
+    "composite_score": on_scored("""SELECT txn_id, isolation_score, floor(rsf * 1e6 + 0.5) / 1e6 AS rsf, description_risk,
   is_exact_duplicate, is_split_invoice, is_round_number, is_fuzzy, edgar_verified, ofac_hit, address_valid,
   composite_risk, risk_tier, array_to_string(triggered_detectors, '|') AS triggered_detectors FROM scored"""),
     "portfolio": sql(*_SCORED, BENFORD, PORTFOLIO, """SELECT cast(floor(raw + 0.5) AS integer) AS score,
   CASE WHEN raw >= 80 THEN 'CRITICAL' WHEN raw >= 60 THEN 'HIGH' WHEN raw >= 30 THEN 'MEDIUM' ELSE 'LOW' END
-    AS tier, round(outlier_rate, 6) AS outlier_rate, round(rsf_flag_rate, 6) AS rsf_flag_rate,
-  round(duplicate_rate, 6) AS duplicate_rate, round(benford_mad, 6) AS benford_mad,
-  round(round_number_rate, 6) AS round_number_rate, total_transactions, flagged_transactions,
-  round(estimated_exposure, 6) AS estimated_exposure FROM portfolio"""),
-    "vendor_risk": on_scored(f"""SELECT vendor, count(*) AS transaction_count, round(cast(sum({EXACT}) AS double), 6) AS total_spend,
+    AS tier, floor(outlier_rate * 1e6 + 0.5) / 1e6 AS outlier_rate, floor(rsf_flag_rate * 1e6 + 0.5) / 1e6 AS rsf_flag_rate,
+  floor(duplicate_rate * 1e6 + 0.5) / 1e6 AS duplicate_rate, floor(benford_mad * 1e6 + 0.5) / 1e6 AS benford_mad,
+  floor(round_number_rate * 1e6 + 0.5) / 1e6 AS round_number_rate, total_transactions, flagged_transactions,
+  floor(estimated_exposure * 1e6 + 0.5) / 1e6 AS estimated_exposure FROM portfolio"""),
+    "vendor_risk": on_scored(f"""SELECT vendor, count(*) AS transaction_count, floor(cast(sum({EXACT}) AS double) * 1e6 + 0.5) / 1e6 AS total_spend,
   round(avg(composite_risk), 2) AS avg_risk_score, max(composite_risk) AS max_risk_score,
   count(*) FILTER ({FLAGGED}) AS flagged_transactions, min(txn_id) AS first_txn FROM scored GROUP BY vendor"""),
-    "vendor_view": on_scored(VENDOR_VIEW, """SELECT vendor, transaction_count, round(total_spend, 6) AS total_spend,
-  round(median_amount, 6) AS median_amount, round(avg_score, 6) AS avg_score, flagged, max_tier, first_txn FROM vview"""),
-    "top_vendors": on_scored(VENDOR_VIEW, """SELECT vendor, transaction_count, round(total_spend, 6) AS total_spend,
-  round(median_amount, 6) AS median_amount, round(avg_score, 6) AS avg_score, flagged, max_tier, first_txn
+    "vendor_view": on_scored(VENDOR_VIEW, """SELECT vendor, transaction_count, floor(total_spend * 1e6 + 0.5) / 1e6 AS total_spend,
+  floor(median_amount * 1e6 + 0.5) / 1e6 AS median_amount, floor(avg_score * 1e6 + 0.5) / 1e6 AS avg_score, flagged, max_tier, first_txn FROM vview"""),
+    "top_vendors": on_scored(VENDOR_VIEW, """SELECT vendor, transaction_count, floor(total_spend * 1e6 + 0.5) / 1e6 AS total_spend,
+  floor(median_amount * 1e6 + 0.5) / 1e6 AS median_amount, floor(avg_score * 1e6 + 0.5) / 1e6 AS avg_score, flagged, max_tier, first_txn
 FROM vview ORDER BY vview.avg_score DESC, first_txn LIMIT 100"""),
     "vendor_totals": on_scored(VENDOR_VIEW, """SELECT count(*) AS vendors, count(*) FILTER (flagged > 0)
-  AS flagged_vendors, cast(sum(flagged) AS bigint) AS total_flagged, round(cast(sum(cast(total_spend AS decimal(24, 6))) AS double), 6) AS total_spend
+  AS flagged_vendors, cast(sum(flagged) AS bigint) AS total_flagged, floor(cast(sum(cast(total_spend AS decimal(24, 6))) AS double) * 1e6 + 0.5) / 1e6 AS total_spend
 FROM vview"""),
     "vendor_transactions": on_scored("""SELECT txn_id, vendor, composite_risk FROM scored WHERE vendor = (
   SELECT vendor FROM scored GROUP BY vendor ORDER BY count(*) DESC, vendor LIMIT 1)"""),
     "top_flagged_vendor": on_scored(f"""SELECT vendor, count(*) AS n FROM scored WHERE {FLAGGED} GROUP BY vendor
 ORDER BY n DESC, min(txn_id) LIMIT 1"""),
     "detector_counts": on_scored(detector_counts(ALL_DETECTORS), """SELECT ordinal, detector, name, n,
-  round(rate, 6) AS rate, is_passing FROM dcounts"""),
+  floor(rate * 1e6 + 0.5) / 1e6 AS rate, is_passing FROM dcounts"""),
     "detector_chart": on_scored(detector_counts(fv.DASHBOARD_DETECTORS), """SELECT ordinal, detector, name, n,
-  round(rate, 6) AS rate, is_passing FROM dcounts
+  floor(rate * 1e6 + 0.5) / 1e6 AS rate, is_passing FROM dcounts
 WHERE detector IN ('RSF', 'SPLIT_INVOICE', 'BENFORD_1ST', 'ROUND_NUMBER')"""),
     "top_detectors": on_scored(detector_counts(fv.DASHBOARD_DETECTORS), """SELECT ordinal, detector, name, n,
-  round(rate, 6) AS rate, is_passing FROM dcounts WHERE n > 0 ORDER BY dcounts.n DESC, ordinal LIMIT 3"""),
+  floor(rate * 1e6 + 0.5) / 1e6 AS rate, is_passing FROM dcounts WHERE n > 0 ORDER BY dcounts.n DESC, ordinal LIMIT 3"""),
     "score_histogram": on_scored("""SELECT cast(bin AS integer) AS bin, count(txn_id) AS n
 FROM (SELECT unnest(range(10)) AS bin) LEFT JOIN scored ON least(composite_risk // 10, 9) = bin GROUP BY bin"""),
     "tier_counts": on_scored(f'SELECT count(*) AS "ALL", {_TIERS} FROM scored'),
     "tiers_by_month": on_scored(f"SELECT strftime(date, '%Y-%m') AS month, {_TIERS} FROM scored GROUP BY 1"),
     "tiers_by_day": on_scored(f"SELECT date, {_TIERS} FROM scored GROUP BY date"),
-    "filter_transactions": on_scored("""SELECT txn_id, vendor, round(amount, 6) AS amount, date FROM scored
+    "filter_transactions": on_scored("""SELECT txn_id, vendor, floor(amount * 1e6 + 0.5) / 1e6 AS amount, date FROM scored
 WHERE risk_tier = 'MEDIUM' AND (contains(lower(vendor), 'a') OR contains(lower(invoice_id), 'a'))
   AND amount BETWEEN 5000 AND 200000 AND date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'
   AND list_contains(triggered_detectors, 'DESCRIPTION_AUDIT')"""),
@@ -582,11 +582,11 @@ FROM scored"""),
   'Benford 1st digit', 'Duplicate count']) AS label,
   unnest([{_fixed('isolation_score', 2)}, {_fixed('rsf', 2)} || 'x', {_fixed('description_risk', 2)},
           cast(benford_first_digit AS varchar), cast(dup_count AS varchar)]) AS value,
-  round(unnest([cast(isolation_score AS double), least(rsf * 20, 100), cast(description_risk AS double), 0,
-          CASE WHEN dup_count > 1 THEN 100 ELSE 0 END]), 6) AS bar
+  floor((unnest([cast(isolation_score AS double), least(rsf * 20, 100), cast(description_risk AS double), 0,
+          CASE WHEN dup_count > 1 THEN 100 ELSE 0 END])) * 1e6 + 0.5) / 1e6 AS bar
 FROM scored"""),
     "report_rows": on_scored(f"""SELECT txn_id, invoice_id AS "Invoice", date AS "Date", vendor AS "Vendor",
-  round(amount, 6) AS "Amount", coalesce(description, '') AS "Description", risk_tier AS "Risk Tier",
+  floor(amount * 1e6 + 0.5) / 1e6 AS "Amount", coalesce(description, '') AS "Description", risk_tier AS "Risk Tier",
   composite_risk AS "Composite Score", isolation_score AS "Isolation Score", round(rsf, 2) AS "RSF",
   {_YES.format('rsf_flag')} AS "RSF Flagged", {_YES.format('is_exact_duplicate')} AS "Exact Duplicate",
   {_YES.format('is_fuzzy')} AS "Fuzzy Duplicate", {_YES.format('is_split_invoice')} AS "Split Invoice",

@@ -17,7 +17,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledger_analytics import fixed_values as fv
@@ -190,6 +190,11 @@ def portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- output shaping for the comparison ---------------------------------------
 
 
+def six_decimals(c: Column) -> Column:
+    """Spelled out: the rounding functions of the two engines differ on exact halves."""
+    return F.floor(c * 1e6 + 0.5) / 1e6
+
+
 def flat(df: DataFrame, sep: str = "|") -> DataFrame:
     """Six decimals, arrays as text, plain column order."""
     out = []
@@ -197,7 +202,7 @@ def flat(df: DataFrame, sep: str = "|") -> DataFrame:
         c = F.col(f"`{f.name}`")
         kind = f.dataType.typeName()
         if kind == "double":
-            c = F.round(c, 6)
+            c = six_decimals(c)
         elif kind == "array" and f.dataType.elementType.typeName() == "string":
             c = F.array_join(c, sep)
         out.append(c.alias(f.name))
@@ -243,7 +248,7 @@ def csv_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     # line numbers follow the files, so generated invoice ids are shown as such only
     return loaded_csv(spark, sf_dir).ledger.select(
         F.regexp_replace("invoice_id", r"^ROW-\d+$", "ROW").alias("invoice_id"),
-        "date", "vendor", F.round("amount", 6).alias("amount"), "description",
+        "date", "vendor", six_decimals(F.col("amount")).alias("amount"), "description",
     )
 
 

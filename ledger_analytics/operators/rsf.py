@@ -14,7 +14,7 @@ from ledger_analytics.operators.profile import LedgerProfile
 def vendor_stats(ledger: DataFrame) -> DataFrame:
     """(vendor, vendor_median, vendor_mean, vendor_std, vendor_count)."""
     moments = ledger.groupBy("vendor").agg(
-        F.avg("amount").alias("vendor_mean"),
+        (total_amount(F.col("amount")) / F.count(F.lit(1))).alias("vendor_mean"),
         F.stddev_pop("amount").alias("vendor_std"),
         F.count(F.lit(1)).alias("vendor_count"),
     )

@@ -91,6 +91,8 @@ def split_anchors(
         "amount",
         _block(profile).alias("block"),
     )
+    # said once here, not inferred per join: the sums below are then shuffled once
+    rows = rows.where("vendor_group IS NOT NULL AND day IS NOT NULL AND block IS NOT NULL")
     blocks = rows.groupBy("vendor_group", "day", "block").agg(*_stats(exact_amount(F.col("amount"))))
     days = blocks.groupBy("vendor_group", "day").agg(
         F.sum("total").alias("total"),
@@ -110,7 +112,7 @@ def split_anchors(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     tails = blocks.select(
-        "vendor_group", "day", "block", "size", *_over(later_blocks, "later")
+        "vendor_group", "day", "block", *_STATS, *_over(later_blocks, "later")
     ).join(days, ["vendor_group", "day"])
     tails = tails.select(
         "vendor_group", "day", "block", "size", *_join_stats("later", "next", "tail")
