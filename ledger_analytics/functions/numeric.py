@@ -16,8 +16,8 @@ def js_round(c: Column) -> Column:
 
 
 def amount_cents(c: Column) -> Column:
-    """Two-decimal amount used in keys."""
-    return c.cast("decimal(38,2)")
+    """Amount rounded to cents, used in keys."""
+    return F.round(c, 2)
 
 
 def exact_amount(c: Column) -> Column:

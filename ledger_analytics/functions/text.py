@@ -7,19 +7,22 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: the characters JavaScript treats as whitespace, as a Java class body
-WS_CHARS = (
-    r"\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+# Fixed value: the characters JavaScript treats as whitespace besides the blank
+_OTHER_BLANKS = (
+    "\t\n\x0b\f\r\u00a0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
-WS = f"[{WS_CHARS}]"
+WS = f"[ {_OTHER_BLANKS}]"
+_UNEVEN = f"[{_OTHER_BLANKS}]|  "
 
 _WORD = "[A-Za-z0-9_]"
 _ASCII_BOUNDARY = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
 
 
 def ws_trim(c: Column) -> Column:
-    """Strip any Unicode whitespace from both ends (``trim`` strips only blanks)."""
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+\z", "")
+    """Strip any Unicode whitespace from both ends (``trim`` alone strips only blanks)."""
+    return F.trim(c, F.lit(" " + _OTHER_BLANKS))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -38,7 +41,9 @@ def vendor_group(c: Column) -> Column:
 
 def vendor_key(c: Column) -> Column:
     """Vendor spelling for exact-duplicate keys: lower, blanks collapsed, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(c), f"{WS}+", " "))
+    name = F.lower(c)
+    # most names are tidy already, and looking is cheaper than rebuilding them
+    return F.trim(F.when(name.rlike(_UNEVEN), F.regexp_replace(name, f"{WS}+", " ")).otherwise(name))
 
 
 def utf16_length(c: Column) -> Column:

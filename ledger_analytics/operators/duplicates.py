@@ -25,5 +25,7 @@ def exact_duplicates(ledger: DataFrame) -> DataFrame:
     key = ["date", "amount2", "vendor_key"]
     repeated = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("dup_count")).where("dup_count > 1")
     return keyed.join(repeated, key).select(
-        "txn_id", "dup_count", F.concat_ws("|", *key).alias("dup_group_key")
+        "txn_id",
+        "dup_count",
+        F.concat_ws("|", "date", F.col("amount2").cast("decimal(38,2)"), "vendor_key").alias("dup_group_key"),
     )

@@ -24,15 +24,22 @@ _REACH = 2  # bands
 
 def similar_names(names: DataFrame, column: str) -> DataFrame:
     """(name, other, distance) for every ordered pair of distinct names within distance 2."""
-    keyed = with_deletion_keys(names.select(F.col(column).alias("name")), "name", "key")
-    other = keyed.withColumnRenamed("name", "other")
+    # Numbers stand in for the names while candidates are looked for: the keys
+    # outnumber the names by hundreds. Stored, so that the numbers stay the same.
+    numbered = materialize(
+        names.select(F.col(column).alias("name"), F.monotonically_increasing_id().alias("id")), "names"
+    )
+    keyed = with_deletion_keys(numbered, "name", "key").select("key", "id")
+    # nearly all keys belong to one name; a sum per key finds the shared ones without a sort
+    shared = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
+    kept = materialize(keyed.join(shared.select("key"), "key", "left_semi"), "shared-keys")
+    other = kept.withColumnRenamed("id", "other_id")
+    candidates = kept.join(other, "key").where("id < other_id").select("id", "other_id").distinct()
     half = (
-        keyed.join(other, "key")
-        .where(F.col("name") < F.col("other"))
+        candidates.join(numbered, "id")
+        .join(numbered.select(F.col("id").alias("other_id"), F.col("name").alias("other")), "other_id")
         .withColumn("distance", F.levenshtein("name", "other", max(_DISTANCES)))
         .where(F.col("distance").isin(*_DISTANCES))
-        .select("name", "other", "distance")
-        .distinct()
     )
     return half.select(
         F.inline(
@@ -79,7 +86,7 @@ def fuzzy_duplicates(
     # key of the two rows must differ; for all others the key cannot be equal
     same_key = vendor_key(F.col("name")) == vendor_key(F.col("other"))
     pairs = pairs.withColumn("same_key", same_key)
-    no_key = F.lit(None).cast("struct<date:date,amount2:decimal(38,2)>")
+    no_key = F.lit(None).cast("struct<date:date,amount2:double>")
 
     def partner_rows(pairs_of_kind: DataFrame, key: Column) -> DataFrame:
         present = (

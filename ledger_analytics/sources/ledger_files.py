@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ledger_analytics import fixed_values as fv
 from ledger_analytics.config import AnalysisConfig
-from ledger_analytics.functions.text import WS_CHARS, blank_to_null, ws_trim
+from ledger_analytics.functions.text import WS, blank_to_null, ws_trim
 from ledger_analytics.schema import LEDGER
 from ledger_analytics.sources.materialize import materialize
 
@@ -101,7 +101,7 @@ def _column(name: str) -> Column:
 
 
 def _cleaned(cell: Column) -> Column:
-    return F.regexp_replace(F.coalesce(cell, F.lit("")), f"[$,{WS_CHARS}]", "")
+    return F.regexp_replace(F.coalesce(cell, F.lit("")), f"[$,]|{WS}", "")
 
 
 def parse_amount(cell: Column) -> Column:
