@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledger_analytics.llm import simhash
+from ledger_analytics.llm import decontaminate, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,13 +16,50 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), ["doc_id"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("hit_words").cast("long").alias("n_hit"),
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        (F.size("hit_words") > 0).alias("contaminated"),
+    )
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(_table(spark, sf_dir, "documents"), ["doc_id"])
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 QUERIES: dict[str, Query] = {
+    "op4_decontamination": op4_decontamination,
     "op9_simhash": op9_simhash,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_decontamination": r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+item AS (
+  SELECT cast(item_id AS varchar) AS item,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+win AS (
+  SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(list_slice(w, pos, pos + 9), ' ') AS t
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS pos FROM item WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM win),
+place AS (
+  SELECT r, n, pos, array_to_string(list_slice(w, pos, pos + n - 1), ' ') AS t
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS pos FROM doc, sizes WHERE len(w) >= n)),
+hit AS (SELECT r, place.n, pos, item FROM place JOIN win ON place.t = win.t AND place.n = win.n),
+words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(pos, pos + n)) AS p FROM hit) GROUP BY r),
+items AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM hit GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM doc LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+""",
+}
