@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledger_analytics.llm import decontaminate, simhash
+from ledger_analytics.llm import decontaminate, mixing, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    rows = _table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32")
+    )
+    tree = sharding.unit_tree()
+    placed = sharding.assign(rows, "doc_id", tree)
+    return placed.withColumn("law", F.lit("key")).withColumn("grown_shard", sharding.shard_of(F.col("doc_id"), sharding.grow(tree)))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), ["doc_id"])
     return found.select(
@@ -28,13 +38,23 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.with_mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), F.array("source"))
+    return mix.select(
+        "doc_id", "size", F.col("source_sizes")[0]["size"].alias("source_size"),
+        F.col("source_targets")[0]["target"].alias("target"), "taken",
+    )
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(_table(spark, sf_dir, "documents"), ["doc_id"])
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 QUERIES: dict[str, Query] = {
+    "op3_sharding": op3_sharding,
     "op4_decontamination": op4_decontamination,
+    "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
 }
 
