@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledger_analytics.llm import decontaminate, langid, mixing, sharding, simhash
+from ledger_analytics.llm import decontaminate, langid, mixing, sharding, simhash, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +45,21 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+URL_RULES = [
+    urls.Rule("org", "/", "allow"),
+    urls.Rule("example.org", "/es/", "block"),
+    urls.Rule("example.org", "/en/1", "block"),
+    urls.Rule("com", "/fr/", "allow"),
+    urls.Rule("com", "/de/", "block"),
+]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    model = urls.train(urls.labelled_table(pages))
+    return urls.judge(pages, model, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "block_probability")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.with_mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), F.array("source"))
     return mix.select(
@@ -62,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op1_language": op1_language,
     "op3_sharding": op3_sharding,
     "op4_decontamination": op4_decontamination,
+    "op7_url_filter": op7_url_filter,
     "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
 }
