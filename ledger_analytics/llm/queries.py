@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledger_analytics.llm import decontaminate, langid, mixing, sharding, simhash, urls
+from ledger_analytics.llm import decontaminate, langid, mixing, repeats, sharding, simhash, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,6 +73,17 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_language": op1_language,
     "op3_sharding": op3_sharding,
@@ -80,6 +91,7 @@ QUERIES: dict[str, Query] = {
     "op7_url_filter": op7_url_filter,
     "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
+    "op10_repeats": op10_repeats,
 }
 
 ORACLE: dict[str, str] = {
