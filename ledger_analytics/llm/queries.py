@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledger_analytics.llm import decontaminate, langid, mixing, repeats, sharding, simhash, urls
+from ledger_analytics.llm import decontaminate, langid, mixing, repeats, sharding, simhash, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +45,18 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~langid.held_out())
+    scored = toxicity.with_toxicity(docs, toxicity.train(docs, labels), ["doc_id"])
+    return scored.select(
+        "doc_id",
+        langid.held_out().alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 URL_RULES = [
     urls.Rule("org", "/", "allow"),
     urls.Rule("example.org", "/es/", "block"),
@@ -88,6 +100,7 @@ QUERIES: dict[str, Query] = {
     "op1_language": op1_language,
     "op3_sharding": op3_sharding,
     "op4_decontamination": op4_decontamination,
+    "op5_toxicity": op5_toxicity,
     "op7_url_filter": op7_url_filter,
     "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
