@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledger_analytics.llm import decontaminate, langid, mixing, repeats, sharding, simhash, toxicity, urls
+from ledger_analytics.llm import decontaminate, langid, mixing, neighbours, repeats, sharding, simhash, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +57,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neighbours.near_duplicates(_table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+
+
 URL_RULES = [
     urls.Rule("org", "/", "allow"),
     urls.Rule("example.org", "/es/", "block"),
@@ -101,6 +106,7 @@ QUERIES: dict[str, Query] = {
     "op3_sharding": op3_sharding,
     "op4_decontamination": op4_decontamination,
     "op5_toxicity": op5_toxicity,
+    "op6_embeddings": op6_embeddings,
     "op7_url_filter": op7_url_filter,
     "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
