@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledger_analytics.llm import decontaminate, langid, mixing, neighbours, repeats, sharding, simhash, toxicity, urls
+from ledger_analytics.llm import decontaminate, langid, mixing, neighbours, repeats, sharding, simhash, tokens, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +24,16 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rows(_table(spark, sf_dir, "documents"))
+
+
+def token_rows(docs: DataFrame) -> DataFrame:
+    """Write the token file of ``docs`` and read it back."""
+    path = tokens.write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokens.read_documents(docs.sparkSession, path, with_ids=False)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = _table(spark, sf_dir, "documents").select(
@@ -103,6 +114,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_language": op1_language,
+    "op2_tokens": op2_tokens,
     "op3_sharding": op3_sharding,
     "op4_decontamination": op4_decontamination,
     "op5_toxicity": op5_toxicity,
