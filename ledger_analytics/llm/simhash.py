@@ -8,6 +8,12 @@ The comparison stores bit planes vertically: one machine word holds one bit of 6
 fingerprints, distances of 64 pairs are counted at a time by carry-save adders, and a
 block of pairs is abandoned once all of them exceed the radius.
 
+``one_per_group`` wants all pairs from a shingle similarity on (0.8 by default), which lie up
+to some ten bits of 64 apart: too many for exact keys. It takes ``WIDE`` words of bits a
+document, which tell similarities apart well, files each fingerprint under enough random
+choices of bits that a pair at the similarity meets with probability ``RECALL`` (and closer
+pairs almost surely), and compares in the same way.
+
 Defined results: a null, empty or blank text has no words and fingerprint zero; a text of
 fewer than four words has one shingle, its whole word sequence. Equal fingerprints are one
 node. Rows with equal ids are rows of one document only if the fingerprints are linked.
@@ -25,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledger_analytics.llm.arrow import extend, slices, utf8
+from ledger_analytics.llm.arrow import extend, mix, slices, utf8
 from ledger_analytics.llm.graph import components, spanning_pairs
 from ledger_analytics.llm.storage import Stored
 
@@ -38,6 +44,11 @@ BLOCKS = 6
 BUCKET = 4096
 #: Words of 64 pairs that are abandoned together.
 PAIR_WORDS = 512
+#: Words of 64 bits of a fingerprint that is linked by similarity.
+WIDE = 4
+SIMILARITY = 0.8
+#: Share of the pairs at exactly the similarity that meet; closer ones meet more surely.
+RECALL = 0.95
 
 _BYTE_LANES = np.uint64(0x0101010101010101)
 
@@ -81,52 +92,62 @@ def majority_bits(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """The columns ``keep`` with ``fp``, the 64 bits of the fingerprint as a signed long."""
+def fingerprints(
+    docs: DataFrame, keep: list[str], text: str = "text", shingle: int = SHINGLE, seed: int = SEED, words: int = 1
+) -> DataFrame:
+    """The columns ``keep`` with ``fp0``, ``fp1``, ...: the fingerprint, 64 bits a signed long.
+    Words after the first are taken from the shingles' hashes spread anew."""
+    names = [f"fp{i}" for i in range(words)]
 
     def compute():
         def f(batch: pa.RecordBatch) -> dict[str, pa.Array]:
             data, off = utf8(batch.column(batch.schema.get_field_index(text)))
-            parts = []
+            parts = [[np.zeros(0, np.uint64)] for _ in names]
             for a, b in slices(off):
                 raw = data[off[a] : off[b]].tobytes()
                 local = (off[a : b + 1] - off[a]).tolist()
                 each = [shingle_hashes(raw[i:j], shingle, seed) for i, j in zip(local, local[1:])]
                 sizes = np.fromiter(map(len, each), np.int64, len(each))
                 flat = np.fromiter((h for hs in each for h in hs), np.uint64, int(sizes.sum()))
-                parts.append(majority_bits(flat, np.cumsum(sizes) - sizes))
-            bits = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-            return {"fp": pa.array(bits.view(np.int64))}
+                first = np.cumsum(sizes) - sizes
+                for i, part in enumerate(parts):
+                    part.append(majority_bits(mix(flat + np.uint64(i)) if i else flat, first))
+            return {n: pa.array(np.concatenate(p).view(np.int64)) for n, p in zip(names, parts)}
 
         return f
 
-    return extend(docs.select(*dict.fromkeys([*keep, text])), compute, [T.StructField("fp", T.LongType())], keep)
+    fields = [T.StructField(n, T.LongType()) for n in names]
+    return extend(docs.select(*dict.fromkeys([*keep, text])), compute, fields, keep)
 
 
 # --- bit-sliced comparison ----------------------------------------------------
 
 
 def bit_planes(values: np.ndarray) -> np.ndarray:
-    """64 rows; bit i of word w in row p is bit p of value 64 w + i; zero words follow."""
-    words = -(-len(values) // 64)
-    padded = np.zeros(words * 64, np.uint64)
-    padded[: len(values)] = values
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    planes = np.zeros((64, 2 * words + 2), np.uint64)
+    """One row a bit; bit i of word w in row p is bit p of row 64 w + i of ``values`` (rows,
+    words of a fingerprint); zero words follow."""
+    n, m = values.shape
+    words = -(-n // 64)
+    padded = np.zeros((words * 64, m), np.uint64)
+    padded[:n] = values
+    bits = np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little")
+    planes = np.zeros((64 * m, 2 * words + 2), np.uint64)
     planes[:, :words] = np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
     return planes
 
 
 def close_pairs(fp: np.ndarray, bucket: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of one bucket at most ``radius`` bits apart. ``bucket`` is sorted.
+    """Index pairs of one bucket at most ``radius`` bits apart. ``bucket`` is sorted; ``fp``
+    has one row for each fingerprint.
 
     All pairs at one distance ``s`` in the sorted order are compared at once: the planes
     against themselves moved by s places.
     """
-    sizes = np.bincount(np.unique(bucket, return_inverse=True)[1]) if len(bucket) else np.zeros(0, np.int64)
+    sizes = np.unique(bucket, return_counts=True)[1]
     size = np.repeat(sizes, sizes)
     s, rows = 1, np.zeros(0, np.int64)
     planes, groups, fresh = None, None, True
+    digits = radius.bit_length() + 1
     while True:
         live = np.flatnonzero(size > s)
         if not len(live):
@@ -146,21 +167,17 @@ def close_pairs(fp: np.ndarray, bucket: np.ndarray, radius: int = RADIUS) -> Ite
             if not mask.any():
                 continue
             m = len(mask)
-            one, two, four = np.zeros(m, np.uint64), np.zeros(m, np.uint64), np.zeros(m, np.uint64)
-            for p in range(64):
-                moved = planes[p, w + far : w + far + m]
+            count = [np.zeros(m, np.uint64) for _ in range(digits)]
+            for p in range(len(planes)):
+                carry = planes[p, w + far : w + far + m]
                 if bit:
-                    moved = (moved >> np.uint64(bit)) | (planes[p, w + far + 1 : w + far + 1 + m] << np.uint64(64 - bit))
-                x = planes[p, w : w + m] ^ moved
-                carry = one & x
-                one ^= x
-                x = two & carry
-                two ^= carry
-                over = four & x
-                four |= x
-                mask &= ~over
-                if p % 4 == 3:
-                    mask &= ~exceeds(one, two, four, radius)
+                    carry = (carry >> np.uint64(bit)) | (planes[p, w + far + 1 : w + far + 1 + m] << np.uint64(64 - bit))
+                carry = carry ^ planes[p, w : w + m]
+                for d in range(digits):
+                    count[d], carry = count[d] ^ carry, count[d] & carry
+                mask &= ~carry  # past the last digit
+                if p % 8 == 7:
+                    mask &= ~exceeds(count, radius)
                     if not mask.any():
                         break
             else:
@@ -170,42 +187,47 @@ def close_pairs(fp: np.ndarray, bucket: np.ndarray, radius: int = RADIUS) -> Ite
         s += 1
 
 
-def exceeds(one: np.ndarray, two: np.ndarray, four: np.ndarray, radius: int) -> np.ndarray:
-    """Where the count of a carry-save counter (values 0 to 7) is over ``radius``."""
-    out = np.zeros_like(one)
-    for v in range(radius + 1, 8):
-        out |= (one if v & 1 else ~one) & (two if v & 2 else ~two) & (four if v & 4 else ~four)
-    return out
+def exceeds(count: list[np.ndarray], radius: int) -> np.ndarray:
+    """Where a bit-sliced count (lowest digit first) is over ``radius``."""
+    over, equal = np.zeros_like(count[0]), ~np.zeros_like(count[0])
+    for d in range(len(count) - 1, -1, -1):
+        if radius >> d & 1:
+            equal &= count[d]
+        else:
+            over |= equal & count[d]
+            equal &= ~count[d]
+    return over
 
 
 def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Spanning links of each bucket; rows come sorted by (bucket, fp)."""
-    names = ["a", "b"]
+    """Spanning links of each bucket; rows (bucket, node, fingerprint words) come sorted."""
 
-    def compare(bucket: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def compare(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        rows = np.concatenate(held)
+        bucket, node, fp = rows[:, 0], rows[:, 1], np.ascontiguousarray(rows[:, 2:]).view(np.uint64)
         i = j = np.zeros(0, np.int64)
-        for a, b in close_pairs(fp.view(np.uint64), bucket, radius):
+        for a, b in close_pairs(fp, bucket, radius):
             i, j = np.append(i, a), np.append(j, b)
             if len(i) > 1 << 20:
                 i, j = spanning_pairs(len(fp), i, j)
         i, j = spanning_pairs(len(fp), i, j)
         if len(i):
-            yield pa.RecordBatch.from_arrays([pa.array(fp[i]), pa.array(fp[j])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["a", "b"])
 
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[np.ndarray] = []
     for batch in batches:
-        bucket = batch.column(0).to_numpy(zero_copy_only=False)
-        fp = batch.column(1).to_numpy(zero_copy_only=False)
-        if not len(bucket):
+        if not batch.num_rows:
             continue
-        cut = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on
-        if held and bucket[0] != held[0][0][0] or cut:
-            keys = np.concatenate([h[0] for h in held] + [bucket[:cut]])
-            yield from compare(keys, np.concatenate([h[1] for h in held] + [fp[:cut]]))
+        rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+        cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))  # the last bucket may go on
+        if held and (cut or rows[0, 0] != held[0][0, 0]):
+            yield from compare([*held, rows[:cut]])
             held = []
-        held.append((bucket[cut:], fp[cut:]))
+        elif cut:
+            yield from compare([rows[:cut]])
+        held.append(rows[cut:])
     if held:
-        yield from compare(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+        yield from compare(held)
 
 
 def block_masks(radius: int, blocks: int) -> list[int]:
@@ -216,61 +238,109 @@ def block_masks(radius: int, blocks: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, bucket: int = BUCKET) -> DataFrame:
-    """Links (a, b) that connect the same fingerprints as all pairs within ``radius``.
+def random_masks(tables: int, bits: int, words: int, seed: int = SEED) -> list[list[int]]:
+    """``tables`` choices of ``bits`` bits among all, as signed longs by word."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(tables):
+        mask = [0] * words
+        for b in rng.choice(64 * words, min(bits, 64 * words), replace=False).tolist():
+            mask[b // 64] |= 1 << (b % 64)
+        out.append([m - (1 << 64) if m >> 63 else m for m in mask])
+    return out
+
+
+def bits_apart(similarity: float) -> float:
+    """Share of the bits in which two shingle sets of this similarity (common to all) differ."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
-    ``distinct`` has one row per fingerprint ``fp``. A bucket of over ``bucket`` rows is cut
-    into parts, and each pair of parts is compared in a group of its own.
+
+def fingerprint_links(distinct: DataFrame, masks: list[list[int]], radius: int, bucket: int = BUCKET) -> DataFrame:
+    """Links (a, b) of nodes that connect the same nodes as all pairs of fingerprints at most
+    ``radius`` bits apart that agree in the bits of one of ``masks``.
+
+    ``distinct`` has one row for each fingerprint: ``node`` and ``fp0``, ``fp1``, ... A bucket
+    of over ``bucket`` rows is cut into parts, and each pair of parts is compared apart.
     """
-    if not 0 <= radius <= 6 or blocks <= radius:
-        raise ValueError("radius must be 0 to 6 and below the number of blocks")
-    masks = F.array(*[F.lit(m).cast("long") for m in block_masks(radius, blocks)])
-    filed = distinct.select("fp", F.posexplode(masks).alias("t", "mask")).select(
-        F.xxhash64("t", F.expr("fp & mask")).alias("bucket"), "fp"
-    )
+    words = [c for c in distinct.columns if c.startswith("fp")]
+    mask = F.array(*[F.array(*[F.lit(m).cast("long") for m in ms]) for ms in masks])
+    filed = distinct.select("node", *words, F.posexplode(mask).alias("t", "mask"))
+    key = F.xxhash64("t", *[F.col(w).bitwiseAND(F.col("mask")[i]) for i, w in enumerate(words)])
+    filed = filed.select(key.alias("bucket"), "node", *words)
     large = filed.groupBy("bucket").count().where(F.col("count") > bucket)
     large = large.select("bucket", F.ceil(F.col("count") / (bucket // 2)).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("fp"), "parts").cast("int")
+    part = F.pmod(F.xxhash64("node"), "parts").cast("int")
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("parts") - 1),
         lambda o: F.struct(F.least("part", o).alias("lo"), F.greatest("part", o).alias("hi")),
     )
     dealt = filed.join(large, "bucket", "left")
-    small = dealt.where("parts IS NULL").select("bucket", "fp")
+    small = dealt.where("parts IS NULL").select("bucket", "node", *words)
     split = (
         dealt.where("parts IS NOT NULL").withColumn("part", part)
-        .select("fp", "bucket", F.explode(pairs).alias("p"))
-        .select(F.xxhash64("bucket", "p.lo", "p.hi").alias("bucket"), "fp")
+        .select("node", *words, "bucket", F.explode(pairs).alias("p"))
+        .select(F.xxhash64("bucket", "p.lo", "p.hi").alias("bucket"), "node", *words)
     )
-    ordered = small.unionByName(split).repartition("bucket").sortWithinPartitions("bucket", "fp")
+    ordered = small.unionByName(split).repartition("bucket").sortWithinPartitions("bucket", "node")
     return ordered.mapInArrow(lambda it: _links(it, radius), "a long, b long")
 
 
+def _grouped(rows: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` (with ``node``) and the smallest id of each one's component."""
+    root = components(links)
+    rooted = distinct.select("node", "first_id").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    lowest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return rows.join(rooted.join(lowest, "root").select("node", "component_id"), "node")
+
+
 def simhash_groups(
     docs: DataFrame, keep: list[str], text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE,
     radius: int = RADIUS, blocks: int = BLOCKS,
 ) -> DataFrame:
-    """``keep`` columns of every row, its ``fp`` and ``component_id``: the smallest id of any
-    document reachable over links between fingerprints. ``keep`` includes the id."""
+    """``keep`` columns of every row, its fingerprint ``fp0`` and ``component_id``: the smallest
+    id of any document reachable over links between fingerprints at most ``radius`` bits
+    apart. ``keep`` includes the id."""
+    if blocks <= radius:
+        raise ValueError("there must be more blocks than the radius")
     stored = Stored(docs.sparkSession)
-    rows = stored.table(fingerprints(docs, keep, text, shingle))
-    distinct = stored.table(rows.groupBy("fp").agg(F.min(doc_id).alias("first_id")))
-    root = components(fingerprint_links(distinct.select("fp"), radius, blocks)).withColumnRenamed("node", "fp")
-    rooted = distinct.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of = rooted.join(lowest, "root").select("fp", "component_id")
-    return rows.join(of, "fp")
+    rows = stored.table(fingerprints(docs, keep, text, shingle).withColumn("node", F.col("fp0")))
+    distinct = stored.table(rows.groupBy("node", "fp0").agg(F.min(doc_id).alias("first_id")))
+    masks = [[m] for m in block_masks(radius, blocks)]
+    return _grouped(rows, distinct, fingerprint_links(distinct.select("node", "fp0"), masks, radius))
+
 
+def similar_groups(
+    docs: DataFrame, keep: list[str], text: str = "text", doc_id: str = "doc_id", shingle: int = 5,
+    similarity: float = SIMILARITY, recall: float = RECALL, words: int = WIDE,
+) -> DataFrame:
+    """As ``simhash_groups``, with links between documents whose fingerprints of ``words`` words
+    are as close as those of shingle sets of the given similarity are, or closer.
 
-def one_per_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
-    """The rows whose id is the smallest of their group, unchanged.
+    The number of bits in a key grows with the logarithm of the number of fingerprints, so
+    buckets stay small, and the number of keys with it, so ``recall`` holds at every size.
+    """
+    stored = Stored(docs.sparkSession)
+    names = [f"fp{i}" for i in range(words)]
+    rows = stored.table(fingerprints(docs, keep, text, shingle, words=words).withColumn("node", F.xxhash64(*names)))
+    distinct, n = stored.write(rows.groupBy("node", *names).agg(F.min(doc_id).alias("first_id")))
+    apart = bits_apart(similarity)
+    bits = max(8, int(np.log2(max(n, 2))) - 2)
+    tables = int(np.ceil(np.log(1 - recall) / np.log1p(-((1 - apart) ** bits))))
+    spread = np.sqrt(apart * (1 - apart) * 64 * words)
+    links = fingerprint_links(distinct.select("node", *names), random_masks(tables, bits, words), int(64 * words * apart + 2 * spread))
+    return _grouped(rows, distinct, links)
+
+
+def one_per_group(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = SIMILARITY
+) -> DataFrame:
+    """The rows whose id is the smallest of their group by ``similar_groups``, unchanged.
 
     Of several rows with that id one stays, the first by a hash of all its columns. A row
     without an id belongs to nobody and stays.
     """
-    groups = Stored(docs.sparkSession).table(
-        simhash_groups(docs, [doc_id], text, doc_id, shingle).where(F.col(doc_id) == F.col("component_id")).select(doc_id)
-    )
+    groups = similar_groups(docs, [doc_id], text, doc_id, shingle, similarity)
+    groups = Stored(docs.sparkSession).table(groups.where(F.col(doc_id) == F.col("component_id")).select(doc_id))
     kept = groups.distinct().withColumnRenamed(doc_id, "_kept")
     spare = docs.sparkSession.range(1).select(F.lit(None).cast(docs.schema[doc_id].dataType).alias("_kept"))
     rows = docs.join(kept.unionByName(spare), F.col(doc_id).eqNullSafe(F.col("_kept")), "left_semi")
