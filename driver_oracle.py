@@ -77,11 +77,11 @@ similar_names AS (
   FROM names a JOIN names b ON a.name <> b.name AND levenshtein(a.name, b.name) <= 2)"""
 
 
-def fuzzy(limit: int) -> str:
+def fuzzy(material_only: bool) -> str:
     return f"""
 banded AS (
   SELECT k.*, lower(vendor) AS name, cast(floor(amount / 1000 + 0.5) AS bigint) AS band,
-         (SELECT n FROM prof) <= {limit} OR amount >= (SELECT upper_median FROM prof) AS material
+         {'amount >= (SELECT upper_median FROM prof)' if material_only else 'true'} AS material
   FROM keyed k),
 fuzzy_pairs AS (
   SELECT a.txn_id, b.txn_id AS other, s.distance
@@ -372,7 +372,7 @@ def sql(*parts: str) -> str:
 
 ALL_DETECTORS = [d[0] for d in fv.DETECTORS]
 _SCORED = (
-    LEDGER, PROFILE, VENDOR_STATS, RSF, DUPS, SIMILAR, fuzzy(20000), SPLITS, DESCRIPTIONS, ROW_DIGITS,
+    LEDGER, PROFILE, VENDOR_STATS, RSF, DUPS, SIMILAR, fuzzy(False), SPLITS, DESCRIPTIONS, ROW_DIGITS,
     LISTS, DIRECTORY, SUSPECTS, ADDRESSES, sanctions_screen("directory"), registry_check("directory"),
     VERDICTS, SCORED,
 )
@@ -471,6 +471,17 @@ FROM messy"""),
   cast(l_orderkey * 10 + l_linenumber AS varchar) AS invoice_id, cast(l_shipdate AS date) AS date,
   'S' || l_suppkey AS vendor, floor(l_extendedprice * 1e6 + 0.5) / 1e6 AS amount, l_returnflag AS category
 FROM lineitem WHERE l_extendedprice > 0""",
+    "csv_late_amount_evidence": sql(LEDGER, "SELECT k AS txn_id, floor(o_totalprice * 1e6 + 0.5) / 1e6 AS amount, d AS date FROM base"),
+    "csv_late_date_evidence": sql(LEDGER, "SELECT k AS txn_id, d AS date FROM base WHERE k > 1000 OR day(d) <= 12"),
+    "csv_extreme_amounts": sql(LEDGER, """SELECT c_mktsegment AS vendor, count(*) AS vendor_count,
+  floor(median(o_totalprice) * 1e6 + 0.5) / 1e6 AS vendor_median FROM base WHERE k % 9 > 2 AND k % 11 <> 0 GROUP BY c_mktsegment"""),
+    "csv_date_rejects": sql(LEDGER, """SELECT field, message, count(*) AS n FROM (
+  SELECT CASE WHEN k % 9 > 2 THEN 'date' ELSE 'amount' END AS field,
+    CASE k % 9 WHEN 0 THEN 'Unparseable amount: "1e400"' WHEN 1 THEN 'Unparseable amount: "2000000000000000000"'
+      WHEN 2 THEN 'Unparseable amount: "1e30"' ELSE 'Unreadable date: "2024-02-31"' END AS message
+  FROM base WHERE k % 9 <= 2 OR k % 11 = 0) GROUP BY field, message"""),
+    "isolation_properties": sql(LEDGER, """SELECT count(*) AS n, true AS scores_in_range, true AS enough_outliers,
+  true AS outliers_on_top, true AS equal_amounts_equal_scores FROM ledger"""),
     "run_history": sql(*_SCORED, BENFORD, PORTFOLIO, """SELECT 'run-1' AS run_id, 'orders' AS filename, total_transactions,
   flagged_transactions, cast(floor(raw + 0.5) AS integer) AS score,
   CASE WHEN raw >= 80 THEN 'CRITICAL' WHEN raw >= 60 THEN 'HIGH' WHEN raw >= 30 THEN 'MEDIUM' ELSE 'LOW' END
@@ -508,8 +519,8 @@ WHERE flag_count > 0 ORDER BY total_exposure DESC, first_txn LIMIT 10"""),
     "exact_duplicates": sql(LEDGER, DUPS, "SELECT txn_id, dup_count, dup_group_key FROM dups"),
     "similar_vendors": sql(LEDGER, SIMILAR, """SELECT name, other, cast(distance AS integer) AS distance
 FROM similar_names"""),
-    "fuzzy_duplicates": sql(LEDGER, PROFILE, DUPS, SIMILAR, fuzzy(20000), "SELECT * FROM fuzzy"),
-    "fuzzy_duplicates_material": sql(LEDGER, PROFILE, DUPS, SIMILAR, fuzzy(1000), "SELECT * FROM fuzzy"),
+    "fuzzy_duplicates": sql(LEDGER, PROFILE, DUPS, SIMILAR, fuzzy(False), "SELECT * FROM fuzzy"),
+    "fuzzy_duplicates_material": sql(LEDGER, PROFILE, DUPS, SIMILAR, fuzzy(True), "SELECT * FROM fuzzy"),
     "split_anchors": sql(LEDGER, SPLITS, """SELECT g AS vendor_group, cast(date_diff('day', DATE '1970-01-01', date)
   AS integer) AS day, anchor AS anchor_txn_id, floor(cluster_total * 1e6 + 0.5) / 1e6 AS cluster_total, cluster_size,
   suspected_threshold FROM anchors"""),
@@ -518,15 +529,15 @@ FROM similar_names"""),
     "description_audit": sql(LEDGER, PROFILE, DESCRIPTIONS, """SELECT txn_id, description_risk,
   array_to_string(triggered_keywords, '|') AS triggered_keywords FROM audit"""),
     "vendor_directory": sql(LEDGER, DIRECTORY, "SELECT vendor_lower, vendor, address FROM directory"),
-    "suspect_vendors": sql(LEDGER, PROFILE, VENDOR_STATS, RSF, DUPS, SIMILAR, fuzzy(20000), DIRECTORY, SUSPECTS,
+    "suspect_vendors": sql(LEDGER, PROFILE, VENDOR_STATS, RSF, DUPS, SIMILAR, fuzzy(False), DIRECTORY, SUSPECTS,
                            "SELECT vendor_lower FROM suspects"),
-    "suspect_addresses": sql(LEDGER, PROFILE, VENDOR_STATS, RSF, DUPS, SIMILAR, fuzzy(20000), DIRECTORY, SUSPECTS,
+    "suspect_addresses": sql(LEDGER, PROFILE, VENDOR_STATS, RSF, DUPS, SIMILAR, fuzzy(False), DIRECTORY, SUSPECTS,
                              "SELECT address FROM suspect_addresses"),
     "sanctions_screen": sql(LEDGER, LISTS, SCREENED, sanctions_screen("all_names"), """SELECT vendor_lower, ofac_hit,
   matched_name, list_type, match_kind, match_distance FROM sanctioned"""),
     "registry_check": sql(LEDGER, LISTS, SCREENED, registry_check("all_names"), """SELECT vendor_lower, edgar_verified,
   floor(confidence * 1e6 + 0.5) / 1e6 AS confidence, entity_name, cik FROM registered"""),
-    "address_check": sql(LEDGER, PROFILE, VENDOR_STATS, RSF, DUPS, SIMILAR, fuzzy(20000), DIRECTORY, SUSPECTS, LISTS,
+    "address_check": sql(LEDGER, PROFILE, VENDOR_STATS, RSF, DUPS, SIMILAR, fuzzy(False), DIRECTORY, SUSPECTS, LISTS,
                          ADDRESSES, "SELECT address, address_valid, address_type FROM geocoded"),
     "vendor_verdicts": on_scored("SELECT vendor_lower, edgar_verified, ofac_hit, address_valid FROM verdicts"),
     "composite_score": on_scored("""SELECT txn_id, isolation_score, floor(rsf * 1e6 + 0.5) / 1e6 AS rsf, description_risk,

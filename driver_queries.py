@@ -290,6 +290,45 @@ def frame_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(got.ledger.select("txn_id", "invoice_id", "date", "vendor", "amount", "category"))
 
 
+def csv_late_amount_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the first rows have a number in the reference column."""
+    rows = _orders(spark, sf_dir).selectExpr(
+        "k AS row_key", "CASE WHEN k <= 400 THEN '' || k ELSE 'R' || k END AS ref", "cast(o_totalprice AS string) AS money",
+        "cast(cast(o_orderdate AS date) AS string) AS date", "c_mktsegment AS vendor",
+    )
+    got = load_frame(rows, {"date": "date", "vendor": "vendor"}, id_column="row_key", store=False)
+    return flat(got.ledger.select("txn_id", "amount", "date"))
+
+
+def csv_late_date_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days above twelve come after many undecided dates only."""
+    rows = _orders(spark, sf_dir).where("k > 1000 OR day(o_orderdate) <= 12").selectExpr(
+        "k AS row_key", "cast(o_totalprice AS string) AS amount", "date_format(o_orderdate, 'dd/MM/yyyy') AS date", "c_mktsegment AS vendor"
+    )
+    return load_frame(rows, id_column="row_key", store=False).ledger.select("txn_id", "date")
+
+
+def _odd_rows(spark: SparkSession, sf_dir: str) -> LoadResult:
+    rows = _orders(spark, sf_dir).selectExpr(
+        "k AS row_key",
+        "CASE k % 9 WHEN 0 THEN '1e400' WHEN 1 THEN '2000000000000000000' WHEN 2 THEN '1e30' ELSE cast(o_totalprice AS string) END AS amount",
+        "CASE WHEN k % 11 = 0 THEN '2024-02-31' ELSE cast(cast(o_orderdate AS date) AS string) END AS date",
+        "c_mktsegment AS vendor",
+    )
+    return load_frame(rows, id_column="row_key", store=False)
+
+
+def csv_extreme_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts out of range are rejected, and detectors run on the rest."""
+    ok = _odd_rows(spark, sf_dir).ledger
+    stats = rsf.vendor_stats(ok).select("vendor", "vendor_count", "vendor_median")
+    return flat(stats)
+
+
+def csv_date_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _odd_rows(spark, sf_dir).rejects.groupBy("field", "message").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- history -------------------------------------------------------------------
 
 
@@ -366,8 +405,8 @@ def _rsf_rows(led: DataFrame, prof: LedgerProfile) -> DataFrame:
     )
 
 
-def _small_ledger_limit(led: DataFrame, prof: LedgerProfile) -> DataFrame:
-    cfg = replace(AnalysisConfig(), fuzzy_large_ledger_rows=1000)
+def _material_only(led: DataFrame, prof: LedgerProfile) -> DataFrame:
+    cfg = replace(AnalysisConfig(), fuzzy_material_only=True)
     return fuzzy.fuzzy_duplicates(led, prof, cfg)
 
 
@@ -377,6 +416,19 @@ def _isolation(spark: SparkSession, sf: str) -> DataFrame:
     return flat(rows.select("txn_id", "amount", "raw_score", "isolation_score", "is_outlier"))
 
 
+def isolation_properties(spark: SparkSession, sf: str) -> DataFrame:
+    """One row on the forest over the whole ledger: what holds for any random draw."""
+    cfg = AnalysisConfig()
+    rows = _isolation(spark, sf)
+    same = rows.groupBy("amount").agg((F.min("isolation_score") == F.max("isolation_score")).alias("same"))
+    return rows.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.every(F.col("isolation_score").between(0, 100)).alias("scores_in_range"),
+        (F.count_if("is_outlier") >= F.floor(F.count(F.lit(1)) * cfg.contamination)).alias("enough_outliers"),
+        (F.min(F.when(F.col("is_outlier"), F.col("raw_score"))) >= F.max(F.when(~F.col("is_outlier"), F.col("raw_score")))).alias("outliers_on_top"),
+    ).join(F.broadcast(same.agg(F.every("same").alias("equal_amounts_equal_scores"))))
+
+
 def _full_analysis(spark: SparkSession, sf: str) -> DataFrame:
     return flat(analyze(stored_ledger(spark, sf), lists=lists(spark, sf)).transactions)
 
@@ -426,6 +478,10 @@ QUERIES: dict[str, Query] = {
     "csv_rejects": csv_rejects,
     "csv_counters": csv_counters,
     "frame_ledger": frame_ledger,
+    "csv_late_amount_evidence": csv_late_amount_evidence,
+    "csv_late_date_evidence": csv_late_date_evidence,
+    "csv_extreme_amounts": csv_extreme_amounts,
+    "csv_date_rejects": csv_date_rejects,
     "run_history": run_history,
     "risk_report": risk_report,
     # detectors
@@ -443,7 +499,7 @@ QUERIES: dict[str, Query] = {
         lambda led: fuzzy.similar_names(led.select(F.lower("vendor").alias("v")).distinct(), "v")
     ),
     "fuzzy_duplicates": _on_profiled(fuzzy.fuzzy_duplicates),
-    "fuzzy_duplicates_material": _on_profiled(_small_ledger_limit),
+    "fuzzy_duplicates_material": _on_profiled(_material_only),
     "split_anchors": _on_profiled(splits.split_anchors),
     "split_invoices": _on_profiled(splits.split_invoices),
     "description_audit": _on_profiled(
@@ -452,6 +508,7 @@ QUERIES: dict[str, Query] = {
         )
     ),
     "isolation_forest": _isolation,
+    "isolation_properties": isolation_properties,
     # screening
     "vendor_directory": _on_ledger(screening.vendor_directory),
     "suspect_vendors": lambda spark, sf: screening.suspect_vendors(detected(spark, sf)),

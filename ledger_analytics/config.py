@@ -25,7 +25,8 @@ class AnalysisConfig:
 
     # fuzzy duplicates
     fuzzy_band: int = 1000
-    fuzzy_large_ledger_rows: int = 20_000
+    # only pairs with a row at or above the ledger's upper median amount
+    fuzzy_material_only: bool = False
 
     # split invoices
     approval_thresholds: tuple[float, ...] = tuple(fv.APPROVAL_THRESHOLDS)
@@ -47,5 +48,5 @@ class AnalysisConfig:
     registry_min_jaccard: float = 0.7
     blocked_address_types: tuple[str, ...] = tuple(fv.BLOCKED_ADDRESS_TYPES)
 
-    # ingest: date given to rows whose date cannot be read; None = today
+    # ingest: date given to rows whose date cannot be read; None = such rows are rejected
     run_date: dt.date | None = None

@@ -153,3 +153,7 @@ DETAIL_NOT_CHECKED = {
     "ADDRESS_INVALID": "No address provided for geocoding.",
 }
 DETAIL_REGISTRY_CONFIRMED = "Vendor confirmed in SEC EDGAR registry."
+
+# What a reject line says before the cell
+REJECT_AMOUNT = "Unparseable amount: "
+REJECT_DATE = "Unreadable date: "

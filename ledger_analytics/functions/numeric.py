@@ -10,6 +10,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Amounts from here on are not money: doubles no longer hold their cents.
+AMOUNT_LIMIT = 1e15
+
+
+def is_amount(c: Column) -> Column:
+    """A finite number that a ledger can hold."""
+    return F.coalesce(~F.isnan(c) & (F.abs(c) < AMOUNT_LIMIT), F.lit(False))
+
+
 def js_round(c: Column) -> Column:
     """Round half towards +infinity, as an integer."""
     return F.floor(c + F.lit(0.5))
@@ -22,7 +31,7 @@ def amount_cents(c: Column) -> Column:
 
 def exact_amount(c: Column) -> Column:
     """Decimal amount: sums of it do not depend on the order of the rows."""
-    return c.cast("decimal(24,6)")
+    return c.try_cast("decimal(24,6)")
 
 
 def total_amount(c: Column) -> Column:
@@ -32,7 +41,7 @@ def total_amount(c: Column) -> Column:
 
 def _significant_digits(c: Column) -> Column:
     # plain decimal text (never an exponent), no padding zeros, no point
-    text = F.abs(c).cast("decimal(38,10)").cast("string")
+    text = F.abs(c).try_cast("decimal(38,10)").cast("string")
     text = F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
     return F.ltrim(F.replace(text, F.lit("."), F.lit("")), F.lit("0"))
 

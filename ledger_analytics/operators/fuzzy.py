@@ -55,12 +55,11 @@ def similar_names(names: DataFrame, column: str) -> DataFrame:
 
 def _rows(ledger: DataFrame, profile: LedgerProfile, config: AnalysisConfig) -> DataFrame:
     amount = F.col("amount")
-    large = profile.n > config.fuzzy_large_ledger_rows
     return ledger.select(
         "txn_id",
         vendor_lower(F.col("vendor")).alias("name"),
         js_round(amount / config.fuzzy_band).alias("band"),
-        (amount >= profile.upper_median if large else F.lit(True)).alias("material"),
+        (amount >= profile.upper_median if config.fuzzy_material_only else F.lit(True)).alias("material"),
         F.struct(F.col("date").alias("date"), amount_cents(amount).alias("amount2")).alias("key"),
     )
 

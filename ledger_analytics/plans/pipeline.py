@@ -25,6 +25,7 @@ from ledger_analytics.operators.rsf import with_rsf
 from ledger_analytics.operators.scoring import portfolio_summary, with_composite
 from ledger_analytics.operators.screening import ScreeningLists, suspect_vendors, vendor_verdicts
 from ledger_analytics.operators.splits import split_invoices
+from ledger_analytics.schema import is_valid_row
 from ledger_analytics.sources.materialize import materialize
 
 
@@ -110,12 +111,15 @@ def analyze(
 ) -> AnalysisResult:
     """Run every detector over ``ledger`` and score its rows.
 
+    Rows that the row guard turns down (no id, date or vendor, an amount that is not
+    positive or out of range) are left out. Jobs run while the analysis is built.
     External checks come either as ready ``verdicts`` (vendor_lower,
     edgar_verified, ofac_hit, address_valid) or are made from ``lists``.
     The ledger is read once per detector with only the columns it needs, so it
     should be a stored table; the scored rows are written to the checkpoint
     folder once because every report reads them.
     """
+    ledger = ledger.where(is_valid_row())
     profile = profile_ledger(ledger)
     rows = with_rsf(ledger, profile, config)
     rows = with_pair_signals(rows, pair_signals(ledger, profile, config))

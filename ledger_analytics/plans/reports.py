@@ -100,6 +100,8 @@ def filter_transactions(
     """The transaction view's filters; an argument left out does not restrict."""
     tests: list[Column] = []
     if tier is not None and tier != "ALL":
+        if tier not in fv.TIERS:
+            raise ValueError(f"unknown tier {tier}")
         tests.append(F.col("risk_tier") == tier)
     if search:
         text = F.lower(F.lit(search))
@@ -552,7 +554,7 @@ def write_report(result, path: str, format: str = "csv") -> dict[str, str]:
         out[name] = f"{path.rstrip('/')}/{name}"
         writer = df.write.mode("overwrite")
         if format == "csv":
-            writer.option("header", True).csv(out[name])
+            writer.option("header", True).option("escape", '"').csv(out[name])
         else:
             writer.format(format).save(out[name])
     return out

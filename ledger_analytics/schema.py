@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledger_analytics.functions.numeric import is_amount
+
 LEDGER = T.StructType(
     [
         T.StructField("txn_id", T.LongType()),
@@ -40,9 +42,9 @@ def to_ledger(df: DataFrame) -> DataFrame:
 
 
 def is_valid_row() -> Column:
-    """Row guard: identity, date and vendor present and a positive amount."""
+    """Row guard: identity, date and vendor present and a positive amount within range."""
     present = [F.col(c).isNotNull() for c in REQUIRED]
-    cond = F.col("amount") > 0
+    cond = (F.col("amount") > 0) & is_amount(F.col("amount"))
     for p in present:
         cond = cond & p
     return cond

@@ -12,10 +12,6 @@ from pyspark.sql import types as T
 
 from ledger_analytics.plans.pipeline import AnalysisResult
 
-# How many run summaries and how many full results are kept
-KEEP_SUMMARIES = 20
-KEEP_RESULTS = 3
-
 SUMMARY = T.StructType(
     [
         T.StructField("run_id", T.StringType()),
@@ -31,11 +27,19 @@ SUMMARY = T.StructType(
 
 class RunHistory:
     """Results under ``root/results/<table>/run_id=<id>``, one summary row per run under
-    ``root/summaries/run_id=<id>``."""
+    ``root/summaries/run_id=<id>``.
+
+    All runs are kept. ``keep_results`` and ``keep_summaries``, where set, are how many of
+    the newest ``append`` leaves in place.
+    """
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(
+        self, spark: SparkSession, root: str, keep_results: int | None = None, keep_summaries: int | None = None
+    ):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.keep_results = keep_results
+        self.keep_summaries = keep_summaries
 
     def _summary_path(self, run_id: str) -> str:
         return f"{self.root}/summaries/run_id={run_id}"
@@ -67,7 +71,7 @@ class RunHistory:
         filename: str,
         analyzed_at: dt.datetime | None = None,
     ) -> DataFrame:
-        """Store a run and drop what is past the limits; returns the new history."""
+        """Store a run, drop what is past the limits if there are any, and return the new history."""
         if not re.fullmatch(r"[A-Za-z0-9_.-]+", run_id):
             raise ValueError("run_id may hold letters, digits, '_', '.' and '-' only")
         for f in fields(AnalysisResult):
@@ -81,13 +85,18 @@ class RunHistory:
             "score",
             "tier",
         ).write.mode("overwrite").parquet(self._summary_path(run_id))
-        # one past the limit: a run removed here was the last one kept before
-        runs = [r["run_id"] for r in self._summaries().select("run_id").take(KEEP_SUMMARIES + 1)]
-        for old in runs[KEEP_RESULTS:]:
+        self.prune(self.keep_results, self.keep_summaries)
+        return self.history()
+
+    def prune(self, keep_results: int | None = None, keep_summaries: int | None = None) -> None:
+        """Delete all but the newest results and summaries; None deletes nothing."""
+        if keep_results is None and keep_summaries is None:
+            return
+        runs = [r["run_id"] for r in self._summaries().select("run_id").collect()]
+        for old in runs[keep_results:] if keep_results is not None else []:
             self._remove_result(old)
-        for old in runs[KEEP_SUMMARIES:]:
+        for old in runs[keep_summaries:] if keep_summaries is not None else []:
             self._remove(self._summary_path(old))
-        return self.history()
 
     def _summaries(self) -> DataFrame:
         path = f"{self.root}/summaries"
@@ -105,8 +114,8 @@ class RunHistory:
         return len(fs.listStatus(p)) > 0
 
     def history(self) -> DataFrame:
-        """Run summaries, newest first, at most twenty."""
-        return self._summaries().limit(KEEP_SUMMARIES)
+        """Run summaries, newest first."""
+        return self._summaries()
 
     def load(self, run_id: str) -> AnalysisResult | None:
         """A stored result, or None when it was never stored or is no longer kept."""

@@ -2,12 +2,11 @@
 
 ``load_csv`` reads CSV files, ``load_frame`` any DataFrame. Both resolve which
 column is which, infer the amount column and the date format when needed, and
-sort rows into accepted, credit (zero or negative) and unparseable ones.
+sort rows into accepted, credit (zero or negative), unparseable and undated ones.
 """
 
 from __future__ import annotations
 
-import datetime as dt
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,14 +15,13 @@ from pyspark.sql import types as T
 
 from ledger_analytics import fixed_values as fv
 from ledger_analytics.config import AnalysisConfig
+from ledger_analytics.functions.numeric import is_amount
 from ledger_analytics.functions.text import WS, blank_to_null, ws_trim
 from ledger_analytics.schema import LEDGER
 from ledger_analytics.sources.materialize import materialize
 
-# Sample sizes, the numeric share a column needs, the size warning
-AMOUNT_SAMPLE_ROWS = 20
+# The numeric share a column needs, the size warning
 AMOUNT_MIN_SHARE = 0.5
-DATE_SAMPLE_ROWS = 50
 LARGE_LEDGER_ROWS = 50_000
 
 # Fixed value: a number at the start of a cell, after "$", "," and blanks are removed
@@ -66,16 +64,22 @@ class LoadResult:
 
     @property
     def rejects(self) -> DataFrame:
-        """(row, field, message) of the rows whose amount cannot be read."""
-        return self.rows.where("outcome = 'skip'").select(
+        """(row, field, message) of the rows whose amount or date cannot be read."""
+        undated = F.col("outcome") == "undated"
+        return self.rows.where("outcome IN ('skip', 'undated')").select(
             F.col("txn_id").alias("row"),
-            F.lit("amount").alias("field"),
-            F.concat(F.lit('Unparseable amount: "'), "raw_amount", F.lit('"')).alias("message"),
+            F.when(undated, "date").otherwise("amount").alias("field"),
+            F.concat(
+                F.when(undated, fv.REJECT_DATE).otherwise(fv.REJECT_AMOUNT),
+                F.lit('"'),
+                F.when(undated, F.col("raw_date")).otherwise(F.col("raw_amount")),
+                F.lit('"'),
+            ).alias("message"),
         )
 
     @property
     def counters(self) -> DataFrame:
-        """(outcome, n) over ok, credit and skip."""
+        """(outcome, n) over ok, credit, skip and undated."""
         return self.rows.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
     @property
@@ -111,22 +115,20 @@ def parse_amount(cell: Column) -> Column:
 
 
 def row_outcome(amount: Column) -> Column:
-    return F.when(amount.isNull() | F.isnan(amount), "skip").when(amount <= 0, "credit").otherwise("ok")
+    return F.when(~is_amount(amount), "skip").when(amount <= 0, "credit").otherwise("ok")
 
 
 def infer_amount_column(df: DataFrame) -> str | None:
-    """The first column with the most positive numbers in the first rows, if at least half.
+    """The first column with the most positive numbers, if at least half of the rows have one.
 
     A cell counts only if all of it is a number; else a date column would qualify
     by its year.
     """
-    sample = df.limit(AMOUNT_SAMPLE_ROWS)
-
     def positive(c: str) -> Column:
         whole = _cleaned(_column(c)).rlike(rf"^{_NUMBER}\z")
         return F.count_if(whole & (parse_amount(_column(c)) > 0))
 
-    n, *hits = sample.agg(F.count(F.lit(1)), *[positive(c) for c in df.columns]).first()
+    n, *hits = df.agg(F.count(F.lit(1)), *[positive(c) for c in df.columns]).first()
     best = max(hits, default=0)
     if best == 0 or best < n * AMOUNT_MIN_SHARE:
         return None
@@ -134,22 +136,18 @@ def infer_amount_column(df: DataFrame) -> str | None:
 
 
 def infer_date_format(df: DataFrame, column: str) -> str:
-    """ISO, US, EU, ambiguous or unknown, from the first rows of ``column``."""
+    """ISO, US, EU, ambiguous or unknown, from all rows of ``column``."""
     v = ws_trim(F.coalesce(_column(column), F.lit("")))
     iso = v.rlike(r"^\d{4}-\d{1,2}-\d{1,2}\z")
     slash = v.rlike(_DAY_MONTH)
     first = F.regexp_extract(v, _DAY_MONTH, 1).try_cast("int")
     second = F.regexp_extract(v, _DAY_MONTH, 2).try_cast("int")
-    seen = (
-        df.limit(DATE_SAMPLE_ROWS)
-        .agg(
-            F.count_if(iso).alias("iso"),
-            F.count_if(slash).alias("slash"),
-            F.count_if(first > 12).alias("first"),
-            F.count_if(second > 12).alias("second"),
-        )
-        .first()
-    )
+    seen = df.agg(
+        F.count_if(iso).alias("iso"),
+        F.count_if(slash).alias("slash"),
+        F.count_if(first > 12).alias("first"),
+        F.count_if(second > 12).alias("second"),
+    ).first()
     if seen["iso"] > seen["slash"]:
         return ISO
     if seen["slash"] == 0:
@@ -191,15 +189,17 @@ def _clean_rows(df: DataFrame, mapping: dict[str, str], date_format: str, config
         return _column(mapping[name]) if name in mapping else F.lit(None).cast("string")
 
     amount = parse_amount(cell("amount"))
-    run_date = F.lit(config.run_date or dt.date.today())
+    date = F.coalesce(parse_date(cell("date"), date_format), F.lit(config.run_date).cast("date"))
+    outcome = row_outcome(amount)
     return df.select(
         "txn_id",
-        row_outcome(amount).alias("outcome"),
+        F.when((outcome == "ok") & date.isNull(), "undated").otherwise(outcome).alias("outcome"),
         F.coalesce(cell("amount"), F.lit("")).alias("raw_amount"),
+        F.coalesce(cell("date"), F.lit("")).alias("raw_date"),
         F.coalesce(
             blank_to_null(cell("invoice_id")), F.concat(F.lit("ROW-"), F.col("txn_id"))
         ).alias("invoice_id"),
-        F.coalesce(parse_date(cell("date"), date_format), run_date).alias("date"),
+        date.alias("date"),
         F.coalesce(blank_to_null(cell("vendor")), F.lit("Unknown")).alias("vendor"),
         amount.alias("amount"),
         *[
@@ -265,7 +265,7 @@ def load_csv(
     first = spark.read.options(header=False, **dialect).csv(path).first()
     raw = [] if first is None else [(h or "").strip("\ufeff").strip().lower() for h in first]
     if not raw:
-        extra = [T.StructField(c, T.StringType()) for c in ("outcome", "raw_amount")]
+        extra = [T.StructField(c, T.StringType()) for c in ("outcome", "raw_amount", "raw_date")]
         return LoadResult(spark.createDataFrame([], T.StructType([*LEDGER, *extra])))
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(raw))])
     lines = spark.read.schema(schema).options(header=True, **dialect).csv(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where none is set and Spark runs in one process (tests) a temporary
-    folder is made; on a cluster a machine-local folder would be wrong.
+    Only where none is set and Spark runs in one process (``local`` or ``local[n]``) a
+    temporary folder is made; on a cluster a machine-local folder would be wrong.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     root = tempfile.mkdtemp(prefix="ledger-checkpoint-")
     spark.conf.set("spark.checkpoint.dir", root)

@@ -67,7 +67,7 @@ def fuzzy_matches(rows, limit):
 def test_fuzzy(make, seed, limit):
     rows = random_fuzzy_rows(seed)
     df = make(rows).repartition(seed)
-    got = by_id(fuzzy.fuzzy_duplicates(df, profile_ledger(df), AnalysisConfig(fuzzy_large_ledger_rows=limit)))
+    got = by_id(fuzzy.fuzzy_duplicates(df, profile_ledger(df), AnalysisConfig(fuzzy_material_only=limit < len(rows))))
     want = fuzzy_matches(rows, limit)
     assert set(got) == set(want)
     for txn, r in got.items():

@@ -229,10 +229,10 @@ def test_fuzzy_ignores_exact_duplicates(make):
     assert set(fuzzy_rows(make(rows))) == {0, 2}
 
 
-def test_fuzzy_large_ledger_needs_a_material_side(make):
+def test_fuzzy_material_only_needs_a_material_side(make):
     rows = [{"amount": a, "vendor": v} for a, v in
             ((100, "Meridian"), (150, "Meridan"), (900, "Solid"), (950, "Solod"), (5000, "x"), (100, "y"))]
-    cfg = AnalysisConfig(fuzzy_large_ledger_rows=5)
+    cfg = AnalysisConfig(fuzzy_material_only=True)
     # upper median is 900: the two Meridian rows are both below it
     assert set(fuzzy_rows(make(rows), cfg)) == {2, 3}
     assert set(fuzzy_rows(make(rows))) == {0, 1, 2, 3}

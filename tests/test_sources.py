@@ -185,12 +185,8 @@ def result(make, lognormal):
     return analyze(make(rows))
 
 
-def test_history_keeps_and_deletes(spark, tmp_path, result, monkeypatch):
-    from ledger_analytics.sources import history
-
-    monkeypatch.setattr(history, "KEEP_SUMMARIES", 4)
-    monkeypatch.setattr(history, "KEEP_RESULTS", 2)
-    store = RunHistory(spark, str(tmp_path / "runs"))
+def test_history_keeps_and_deletes(spark, tmp_path, result):
+    store = RunHistory(spark, str(tmp_path / "runs"), keep_results=2, keep_summaries=4)
     assert store.history().count() == 0 and store.load("1") is None
     for day in range(1, 6):
         store.append(result, f"{day}", "f.csv", dt.datetime(2024, 1, day, tzinfo=dt.timezone.utc))
@@ -205,6 +201,16 @@ def test_history_keeps_and_deletes(spark, tmp_path, result, monkeypatch):
         store.append(result, "../x", "f.csv")
 
 
+def test_history_keeps_all_by_default(spark, tmp_path, result):
+    store = RunHistory(spark, str(tmp_path / "runs"))
+    for day in range(1, 6):
+        store.append(result, f"{day}", "f.csv", dt.datetime(2024, 1, day, tzinfo=dt.timezone.utc))
+    assert all(store.load(str(d)) is not None for d in range(1, 6))
+    store.prune(keep_results=1)
+    assert [store.load(str(d)) is not None for d in range(1, 6)] == [False] * 4 + [True]
+    assert store.history().count() == 5
+
+
 def test_report_sheets(spark, tmp_path, result):
     paths = reports.write_report(result, str(tmp_path / "report"), format="parquet")
     counts = {name: spark.read.parquet(p).count() for name, p in paths.items()}
