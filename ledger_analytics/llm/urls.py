@@ -82,7 +82,8 @@ def longest_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
     fits = lambda r: ((host == r.host) | F.endswith(host, F.lit("." + r.host))) & F.startswith(path, F.lit(r.path))
     made = lambda r: F.struct(F.lit(r.text).alias("text"), F.lit(r.verdict).alias("verdict"))
     ordered = sorted(rules, key=lambda r: -len(r.text))
-    return F.coalesce(*[F.when(fits(r), made(r)) for r in ordered])
+    none = F.lit(None).cast("struct<text: string, verdict: string>")
+    return F.coalesce(*[F.when(fits(r), made(r)) for r in ordered], none)
 
 
 def places(host: Column, path: Column, n: int = PLACES, sizes=GRAM_SIZES) -> Column:
