@@ -44,9 +44,17 @@ class AnalysisConfig:
 
     # external screening
     sanctions_max_distance: int = 2
+    # the distance may also be no more than this share of the vendor name's length
+    sanctions_max_ratio: float | None = None
     sanctions_min_entity_tokens: int = 3
     registry_min_jaccard: float = 0.7
     blocked_address_types: tuple[str, ...] = tuple(fv.BLOCKED_ADDRESS_TYPES)
 
     # ingest: date given to rows whose date cannot be read; None = such rows are rejected
     run_date: dt.date | None = None
+
+    def __post_init__(self) -> None:
+        # what the forest brings to the driver is bounded by these
+        for name, most in (("forest_cells", 1 << 20), ("n_estimators", 10_000), ("max_samples", 1 << 16)):
+            if not 1 <= getattr(self, name) <= most:
+                raise ValueError(f"{name} must be 1 to {most}")

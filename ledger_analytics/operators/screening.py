@@ -28,10 +28,14 @@ class ScreeningLists:
 
 def vendor_directory(ledger: DataFrame) -> DataFrame:
     """(vendor_lower, vendor, address): first spelling and first non-empty address seen."""
+    # the ledger is merged by hash to its few distinct spellings; only these are sorted
+    seen = ledger.groupBy(vendor_lower(F.col("vendor")).alias("vendor_lower"), "vendor", "address").agg(
+        F.min("txn_id").alias("first")
+    )
     has_address = F.coalesce(F.col("address"), F.lit("")) != ""
-    return ledger.groupBy(vendor_lower(F.col("vendor")).alias("vendor_lower")).agg(
-        F.min_by("vendor", "txn_id").alias("vendor"),
-        F.min_by("address", F.when(has_address, F.col("txn_id"))).alias("address"),
+    return seen.groupBy("vendor_lower").agg(
+        F.min_by("vendor", "first").alias("vendor"),
+        F.min_by("address", F.when(has_address, F.col("first"))).alias("address"),
     )
 
 
@@ -103,12 +107,15 @@ def sanctions_verdicts(
     d = config.sanctions_max_distance
     if not 0 <= d <= 2:
         raise ValueError("sanctions_max_distance must be 0, 1 or 2")
+    within = F.lit(True)
+    if config.sanctions_max_ratio is not None:
+        within = F.col("distance") <= config.sanctions_max_ratio * F.length("name")
     name_keys = with_deletion_keys(names, "name", "key")
     list_keys = with_deletion_keys(listed, "entity", "key")
     near = (
         name_keys.join(list_keys, "key")
         .withColumn("distance", F.levenshtein("name", "entity", d))
-        .where(F.col("distance") >= 0)
+        .where((F.col("distance") >= 0) & within)
         .select("vendor_lower", "listing", F.lit(2).alias("kind"), "distance")
     )
     best = (
@@ -237,7 +244,10 @@ def vendor_verdicts(
         out = out.withColumn("ofac_hit", unchecked)
     if lists.geocodes is not None:
         v = address_verdicts(suspect_addresses(directory, suspects), lists.geocodes, config)
-        out = out.join(v.select("address", "address_valid"), "address", "left")
+        # vendors without an address match nothing; a key of their own spreads them
+        key = F.coalesce(F.concat(F.lit("a"), "address"), F.concat(F.lit("v"), "vendor_lower"))
+        known = v.select(F.concat(F.lit("a"), "address").alias("key"), "address_valid")
+        out = out.withColumn("key", key).join(known, "key", "left")
     else:
         out = out.withColumn("address_valid", unchecked)
     return out.select("vendor_lower", "edgar_verified", "ofac_hit", "address_valid")

@@ -50,13 +50,10 @@ def pair_signals(
     Merging them by txn_id first means that the wide ledger is joined once instead
     of once per detector, on a key that cannot be skewed.
     """
-    found = (
+    return (
         exact_duplicates(ledger)
-        .unionByName(fuzzy_duplicates(ledger, profile, config), allowMissingColumns=True)
-        .unionByName(split_invoices(ledger, profile, config), allowMissingColumns=True)
-    )
-    return found.groupBy("txn_id").agg(
-        *[F.max(c).alias(c) for c in found.columns if c != "txn_id"]
+        .join(fuzzy_duplicates(ledger, profile, config), "txn_id", "full")
+        .join(split_invoices(ledger, profile, config), "txn_id", "full")
     )
 
 

@@ -287,8 +287,11 @@ def load_frame(
     """Clean a DataFrame from any Spark source by the same rules.
 
     ``id_column`` is a unique number in input order; without it Spark's increasing
-    row ids are used, which are unique but follow the partitions.
+    row ids are used, which are unique but follow the partitions; as they change from
+    one evaluation to the next, the rows must then be stored.
     """
+    if id_column is None and not store:
+        raise ValueError("rows that are not stored need an id_column")
     text = df.select(*[_column(c).cast("string").alias(c.strip().lower()) for c in df.columns])
     found, date_format = _resolve(text, mapping)
     key = _column(id_column).cast("long") if id_column else F.monotonically_increasing_id()

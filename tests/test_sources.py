@@ -286,3 +286,36 @@ def test_money(spark):
     df = spark.createDataFrame([(2.5,), (1234.0,), (1_500_000.0,), (999.4,)], "a double")
     got = [tuple(r) for r in df.select(reports.money(F.col("a")), reports.exposure_text(F.col("a"))).collect()]
     assert got == [("$3", "$3"), ("$1,234", "$1.2k"), ("$1,500,000", "$1.50 million"), ("$999", "$999")]
+
+
+def test_all_rows_decide_in_any_order(spark):
+    rows = [(i, str(i), f"{1 + i % 12:02d}/{1 + i % 9:02d}/2024", "v") for i in range(60)]
+    rows += [(i, f"R{i}", "25/03/2024", "v") for i in range(60, 130)]
+    rows = [(i, ref, str(10.5 + i), date, v) for i, ref, date, v in rows]
+    got = []
+    for part in (rows, rows[::-1]):
+        df = spark.createDataFrame(part, "key long, ref string, money string, date string, vendor string")
+        loaded = load_frame(df, {"date": "date", "vendor": "vendor"}, id_column="key", config=AnalysisConfig(), store=False)
+        got.append((loaded.mapping, loaded.date_format, sorted(loaded.ledger.collect())))
+    assert got[0] == got[1] and got[0][0]["amount"] == "money" and len(got[0][2]) == 130
+
+
+def test_undated_rows_and_odd_amounts_are_rejected(spark):
+    df = spark.createDataFrame(
+        [(1, "5", "2024-01-02", "v"), (2, "5", "soon", "v"), (3, "1e400", "2024-01-02", "v"), (4, "1e30", "2024-01-02", "v"), (5, "-3", "x", "v")],
+        "key long, amount string, date string, vendor string",
+    )
+    loaded = load_frame(df, id_column="key", store=False)
+    assert [r.txn_id for r in loaded.ledger.collect()] == [1]
+    assert {r.outcome: r.n for r in loaded.counters.collect()} == {"ok": 1, "undated": 1, "skip": 2, "credit": 1}
+    assert {(r.row, r.field, r.message) for r in loaded.rejects.collect()} == {
+        (2, "date", 'Unreadable date: "soon"'), (3, "amount", 'Unparseable amount: "1e400"'), (4, "amount", 'Unparseable amount: "1e30"'),
+    }
+    with pytest.raises(ValueError):
+        load_frame(df, store=False)
+
+
+def test_report_csv_is_read_by_the_loader(spark, tmp_path, result):
+    paths = reports.write_report(result, str(tmp_path / "csv"))
+    sheet = spark.read.options(header=True, escape='"', multiLine=True).csv(paths["all_transactions"])
+    assert any(r.asDict().get("Description") == 'a "b", c' or 'a "b", c' in [str(v) for v in r] for r in sheet.collect())
