@@ -309,6 +309,20 @@ def smallest_ids(h, ids, before, size, begin, data, length: int, piece: int) ->
     surroundings; the largest number where there is no such string. ``h`` is ascending."""
     reach = length - piece
     out = np.full((reach + 1, len(h)), _LAST, np.int64)
+    # an anchor with one surroundings left: its strings stand nowhere else
+    alone = np.append(True, h[1:] != h[:-1]) & np.append(h[1:] != h[:-1], True)
+    for o in range(reach + 1):
+        has = alone & (o <= before) & (before - o + length <= size)
+        out[o, has] = ids[has]
+    several = np.flatnonzero(~alone)
+    if len(several):
+        out[:, several] = _sorted_ids(h[several], ids[several], before[several], size[several], begin[several], data, length, reach)
+    return out
+
+
+def _sorted_ids(h, ids, before, size, begin, data, length: int, reach: int) -> np.ndarray:
+    """As ``smallest_ids``, by sorting the suffixes of the surroundings."""
+    out = np.full((reach + 1, len(h)), _LAST, np.int64)
     total, first = np.cumsum(size), 0
     while first < len(h):
         base = total[first] - size[first]
