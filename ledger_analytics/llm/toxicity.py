@@ -254,13 +254,13 @@ def _candidates(data: np.ndarray, off: np.ndarray) -> list[set]:
 
 
 def _sample(labelled: DataFrame, rows: int) -> DataFrame:
-    """The first rows of each class by hash: (h, text, y)."""
+    """The first rows of each class by hash: (_id, y)."""
     order = Window.partitionBy("y").orderBy("h")
     counts = {r["y"]: r["n"] for r in labelled.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = {y: min(1.0, 2.0 * rows / n + 100.0 / n) for y, n in counts.items()}
     bound = F.when(F.col("y") == 1, F.lit(share.get(1, 1.0))).otherwise(F.lit(share.get(0, 1.0)))
     near = labelled.where(F.pmod("h", F.lit(1 << 30)) < bound * (1 << 30))
-    return near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rows).select("h", "y")
+    return near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rows).select("_id", "y")
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", toxic: str = "toxic",
@@ -269,7 +269,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     ids = labels.where(F.col(toxic).isNotNull() & F.col(doc_id).isNotNull()).select(
         F.col(doc_id).alias("_id"), F.col(toxic).cast("int").alias("y"), F.xxhash64(doc_id, F.lit(11)).alias("h")
     )
-    chosen = _sample(ids, rows).join(ids, ["h", "y"]).select("_id", "y")
+    chosen = _sample(ids, rows)
     # at most 2 * rows ids
     sample = docs.join(F.broadcast(chosen), docs[doc_id] == F.col("_id")).select("y", F.col(text).alias("text"), F.col("_id"))
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
