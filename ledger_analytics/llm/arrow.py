@@ -11,11 +11,13 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Bytes of text that an operator takes up at a time; a longer text is taken alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
+#: Rows and bytes of an Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -38,6 +40,15 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[off[0] : off[-1]], off - off[0]
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's limits on Arrow batches to ``BATCH_ROWS`` and ``BATCH_BYTES``:
+    batches hold whole texts, and by default a batch is ten thousand of them."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def slices(off: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Runs of rows of at most ``limit`` bytes, or one row."""
     first, n = 0, len(off) - 1
@@ -58,6 +69,7 @@ def extend(
     An old column with the name of a new one gives way to it. ``compute`` is called once
     in each task, so tables that it builds are built once.
     """
+    bounded_batches(df.sparkSession)
     new = {f.name for f in fields}
     old = [f for f in df.schema.fields if f.name in keep and f.name not in new]
     schema = T.StructType([*old, *fields])

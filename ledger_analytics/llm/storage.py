@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledger_analytics.llm.arrow import bounded_batches
 from ledger_analytics.sources.materialize import checkpoint_root
 
 
@@ -13,6 +14,7 @@ class Stored:
     """Writes tables that cut lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession):
+        bounded_batches(spark)
         self._spark, self._paths = spark, {}
 
     def write(self, df: DataFrame) -> tuple[DataFrame, int]:
