@@ -23,29 +23,36 @@ rows with equal ids follow each other by text.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledger_analytics.llm.arrow import slices, utf8
 from ledger_analytics.llm.storage import Stored
 from ledger_analytics.sources.materialize import checkpoint_root
 
 #: Tokens of a block.
 BLOCK_TOKENS = 1 << 18
 #: Words whose ids a worker keeps.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 300_000
+#: Characters of text that are split into words at a time; a longer text is taken alone.
+SPLIT_CHARS = 1 << 19
 
-# Fixed value: the pattern by which byte-level tokenizers of this family split texts.
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Characters on which all Unicode tables agree; others send the whole text to the tokenizer.
-_UNUSUAL = regex.compile(r"[^\t\n\x20-\x7e¡-ɏ‐-‧‰-⁞]|<\|")
+# How byte-level tokenizers of this family split texts, for the characters
+# on which all Unicode tables agree. Texts with others go to the tokenizer whole.
+_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+_NUMBERS = "0-9²³¹¼-¾"
+WORDS = re.compile(
+    rf"'(?:[smtd]|re|ve|ll)| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^ \t\n{_LETTERS}{_NUMBERS}]+|[ \t\n]+(?![^ \t\n])|[ \t\n]+"
+)
+_UNUSUAL = re.compile("[^\t\n\x20-\x7e\xa1-ɏ‐-‧‰-⁞]")
 
 
 # --- coding --------------------------------------------------------------------
@@ -107,22 +114,27 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as plain bytes."""
-        plain = [self._by_word and not _UNUSUAL.search(t) for t in texts]
-        words = [WORDS.findall(t) if ok else None for t, ok in zip(texts, plain)]
-        new = {w for ws in words if ws for w in ws if w not in self._known}
-        if len(self._known) + len(new) > KEPT_WORDS:
-            self._known.clear()
-            new = {w for ws in words if ws for w in ws}
-        if new:
-            order = list(new)
+        if not self._by_word:
+            return self._whole(texts)
+        known = self._known
+        words = [WORDS.findall(t) for t in texts]
+        new = {w for ws in words for w in ws if w not in known}
+        if len(known) + len(new) > KEPT_WORDS:
+            # rare words fill the table; those of the texts at hand are kept
+            known = self._known = {w: known[w] for ws in words for w in ws if w in known}
+        unusual = {w for w in new if _UNUSUAL.search(w)}  # every character is in a word
+        order = list(new - unusual)
+        if order:
             found = self._tokenizer.encode(order, is_pretokenized=True, add_special_tokens=False)
             ids, of = np.array(found.ids, self.kind), np.array(found.word_ids, np.int64)
             cut = np.searchsorted(of, np.arange(len(order) + 1)) * ids.itemsize
             raw, cut = ids.tobytes(), cut.tolist()
-            self._known.update((w, raw[a:b]) for w, a, b in zip(order, cut, cut[1:]))
-        known = self._known
+            known.update((w, raw[a:b]) for w, a, b in zip(order, cut, cut[1:]))
+        if not unusual:
+            return [b"".join(map(known.__getitem__, ws)) for ws in words]
+        plain = [unusual.isdisjoint(ws) for ws in words]
         whole = iter(self._whole([t for t, ok in zip(texts, plain) if not ok]))
-        return [b"".join(map(known.__getitem__, ws)) if ws is not None else next(whole) for ws in words]
+        return [b"".join(map(known.__getitem__, ws)) if ok else next(whole) for ws, ok in zip(words, plain)]
 
 
 # --- writing -------------------------------------------------------------------
@@ -152,8 +164,9 @@ def _plain_blocks(batches: Iterator[pa.RecordBatch], path: str, end_id: int) ->
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], names=["part", "seq", "doc_ids", "lengths", "ids"])
 
     for batch in batches:
-        for first in range(0, batch.num_rows, 256):
-            some = batch.slice(first, 256)
+        _, off = utf8(batch.column(1))
+        for a, b in slices(off, SPLIT_CHARS):
+            some = batch.slice(a, b - a)
             for doc, r in zip(some.column(0).to_pylist(), encoder.encode([t or "" for t in some.column(1).to_pylist()])):
                 ids.append(doc)
                 raw.append(r + end)
