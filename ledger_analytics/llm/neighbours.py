@@ -3,16 +3,18 @@
 Vectors are scaled to length one and cut into two halves, and each half has a codebook of
 its own; a pair of code words is a cell of the product grid. Every distinct vector is filed
 in its nearest cell, and visits cells in order of the summed distances of their code words
-(the multi-sequence order). How many cells it visits is measured: a bounded sample of vectors
-is compared with all, and as many cells are visited as hold ``RECALL`` of their partners.
+(the multi-sequence order). How many cells it visits is measured: blocks of vectors are
+compared with all until ``PARTNERED`` of them have a partner, and as many cells are visited
+as hold ``RECALL`` of the partners. Where ``MOST_QUERIES`` vectors have too few, partners are
+too rare to measure, and each vector visits all cells that a partner can be in by distance.
 Vectors that meet in a cell are verified by cosine in double precision.
 
 Equal vectors are merged before all this and expanded after it, so a group of copies costs
 one vector. Cells are worked off in blocks of ``BLOCK`` members by ``BLOCK`` visitors; a
 block returns sums of links and a spanning set of edges, never its pairs.
 
-The codebooks are fitted on at most ``SAMPLE`` vectors and the visits on at most ``QUERIES``,
-the first by hash. Links are only sought between equal labels.
+The codebooks are fitted on at most ``SAMPLE`` vectors and the visits on at most
+``MOST_QUERIES``, the first by hash. Links are only sought between equal labels.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components,
 and those without a label, link with nothing; vectors of different lengths do not link;
@@ -34,7 +36,11 @@ from ledger_analytics.llm.storage import Stored
 COSINE = 0.93
 RECALL = 0.995
 SAMPLE = 8192
+#: Vectors compared with all at a time, vectors with a partner that are wanted among them,
+#: and how many are tried for that.
 QUERIES = 512
+PARTNERED = 64
+MOST_QUERIES = 1 << 16
 BLOCK = 2048
 #: Members that a cell has on average, for one label.
 PER_CELL = 8
@@ -84,6 +90,28 @@ class MultiIndex:
         return np.take_along_axis(ia, i[first], 1) * len(self.right) + np.take_along_axis(ib, j[first], 1)
 
 
+    def reachable(self, x: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The home of each row, and (row, cell) for every cell that a vector at ``cosine`` or
+        more can have as its home. A point that is nearer to code word i than to k is at least
+        (d_i - d_k) / (2 |w_i - w_k|) away, with d the squared distances from the row."""
+        half = self.left.shape[1]
+        apart, home = [], []
+        for part, words in ((x[:, :half], self.left), (x[:, half:], self.right)):
+            d = _distances(part, words)
+            between = 2 * np.sqrt(np.maximum(_distances(words, words), 0))
+            least = np.zeros_like(d)
+            for k in range(len(words)):
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    bound = (d - d[:, k : k + 1]) / between[k]
+                bound[:, between[k] < 1e-6] = 0  # the same word
+                np.maximum(least, bound, out=least)
+            apart.append(least * least)
+            home.append(d.argmin(axis=1))
+        far = 2 - 2 * cosine + 1e-9
+        row, i, j = np.nonzero(apart[0][:, :, None] + apart[1][:, None, :] <= far)
+        return home[0] * len(self.right) + home[1], row, i * len(self.right) + j
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """A column of lists of one length as rows of length one."""
     if isinstance(column, pa.ChunkedArray):
@@ -100,43 +128,70 @@ def usable(embedding: str, label: str) -> Column:
     return F.coalesce(F.col(label).isNotNull() & (F.size(e) > 0) & ~bad & F.exists(e, lambda v: v != 0), F.lit(False))
 
 
-def _sampled(distinct: DataFrame, n: int, seed: int, columns: list[str]) -> list:
-    """The first rows by hash, at most ``n``."""
+def _sampled(distinct: DataFrame, n: int, seed: int, columns: list[str], skip: int = 0) -> list:
+    """The first rows by hash after ``skip`` others, at most ``n``."""
     h = F.xxhash64("uid", F.lit(seed))
-    return distinct.orderBy(h, "uid").limit(n).select(*columns).collect()
-
-
-def _visits(distinct: DataFrame, index: MultiIndex, cosine: float, recall: float) -> int:
-    """Cells to visit so that a vector finds ``recall`` of its partners, on average over a
-    sample of vectors compared with all."""
-    rows = _sampled(distinct, QUERIES, 5, ["uid", "group", "vec"])
-    if not rows:
-        return 1
+    return distinct.orderBy(h, "uid").offset(skip).limit(n).select(*columns).collect()
+
+
+def _visits(distinct: DataFrame, index: MultiIndex, cosine: float, recall: float) -> int | None:
+    """Cells to visit so that a vector finds ``recall`` of its partners, on average over vectors
+    that have partners, or None if too few of them were found. If all vectors were compared
+    with all, and few have partners, the cells that hold every partner."""
+    shares: dict[int, float] = {}
+    partnered = looked = 0
+    ask = QUERIES
+    while partnered < PARTNERED and looked < MOST_QUERIES:
+        ask = min(ask, MOST_QUERIES - looked)
+        rows = _sampled(distinct, ask, 5, ["uid", "group", "vec"], looked)
+        looked += len(rows)
+        if rows:
+            for rank, share, _ in (found := _partners(distinct, index, rows, cosine)):
+                shares[rank] = shares.get(rank, 0.0) + share
+            partnered += len({q for *_, qs in found for q in qs})
+        if len(rows) < ask:
+            if partnered < PARTNERED:
+                return max(shares, default=0) + 1
+            break
+        ask = min(2 * ask, 8 * QUERIES)
+    if partnered < PARTNERED:
+        return None
+    ranks = sorted(shares)
+    sums = np.cumsum([shares[r] for r in ranks])
+    return ranks[min(int(np.searchsorted(sums, recall * sums[-1])), len(ranks) - 1)] + 1
+
+
+def _partners(distinct: DataFrame, index: MultiIndex, rows: list, cosine: float) -> list:
+    """(rank, share, queries): for each rank among a query's cells, the sum over the queries
+    ``rows`` of the share of their partners that is there, and the queries that have some."""
     uid, group = np.array([r["uid"] for r in rows]), np.array([r["group"] for r in rows])
     q = _matrix(pa.array([r["vec"] for r in rows], pa.list_(pa.float64())))
-    ranks = np.argsort(index.order(q, index.cells), axis=1)  # cell -> rank, by query
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple[int, int], int] = {}
+        met: dict[tuple[int, int], int] = {}  # query, cell
         for batch in batches:
             ids, groups = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             x = _matrix(batch.column(2))
             home = index.order(x, 1)[:, 0]
-            i, j = np.nonzero((q @ x.T >= cosine) & (group[:, None] == groups[None]) & (uid[:, None] != ids[None]))
-            for key, n in zip(*np.unique(np.stack([i, ranks[i, home[j]]], 1), axis=0, return_counts=True)):
-                found[tuple(key.tolist())] = found.get(tuple(key.tolist()), 0) + int(n)
-        keys = list(found)
-        arrays = [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array(list(found.values()), pa.int64())]
+            for at in range(0, len(q), QUERIES):
+                part = slice(at, at + QUERIES)
+                i, j = np.nonzero((q[part] @ x.T >= cosine) & (group[part, None] == groups[None]) & (uid[part, None] != ids[None]))
+                for key, n in zip(*np.unique(np.stack([i + at, home[j]], 1), axis=0, return_counts=True)):
+                    met[tuple(key.tolist())] = met.get(tuple(key.tolist()), 0) + int(n)
+        keys = sorted(met)
+        ranks, last = [], -1
+        for i, cell in keys:
+            if i != last:
+                rank, last = np.argsort(index.order(q[i : i + 1], index.cells)[0]), i
+            ranks.append(int(rank[cell]))
+        arrays = [pa.array([k[0] for k in keys], pa.int32()), pa.array(ranks, pa.int32()), pa.array([met[k] for k in keys], pa.int64())]
         yield pa.RecordBatch.from_arrays(arrays, names=["q", "rank", "n"])
 
     met = distinct.select("uid", "group", "vec").mapInArrow(run, "q int, rank int, n long")
     met = met.groupBy("q", "rank").agg(F.sum("n").alias("n"))
     total = met.groupBy("q").agg(F.sum("n").alias("of"))
-    share = met.join(total, "q").groupBy("rank").agg(F.sum(F.col("n") / F.col("of")).alias("s")).orderBy("rank").collect()
-    if not share:
-        return 1
-    sums = np.cumsum([r["s"] for r in share])
-    return int(share[int(np.searchsorted(sums, recall * sums[-1]))]["rank"]) + 1
+    share = met.join(total, "q").groupBy("rank").agg(F.sum(F.col("n") / F.col("of")).alias("s"), F.collect_set("q").alias("qs"))
+    return [(r["rank"], r["s"], r["qs"]) for r in share.collect()]
 
 
 # --- verification --------------------------------------------------------------
@@ -149,7 +204,7 @@ def _block(v: dict, m: dict, cosine: float) -> tuple[np.ndarray, ...]:
     # a pair that also meets the other way round is counted once
     for home in np.unique(v["home"]):
         rows = np.flatnonzero(v["home"] == home)
-        both = (m["visits"] == home).any(axis=1)
+        both = np.bincount(m["of"][m["visits"] == home], minlength=len(m["uid"])) > 0
         near[np.ix_(rows, np.flatnonzero(both))] &= v["uid"][rows][:, None] < m["uid"][both][None]
     i, j = np.nonzero(near)
     n = len(v["uid"])
@@ -167,10 +222,12 @@ def _verify(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.Rec
         if member.all() or not member.any():
             return
         x = _matrix(t["vec"])
-        visits = np.stack(t["visits"].to_numpy(zero_copy_only=False))
         columns = {c: t[c].to_numpy(zero_copy_only=False) for c in ("uid", "home", "n")}
-        side = lambda k: {"x": x[k], "visits": visits[k], **{c: a[k] for c, a in columns.items()}}
+        side = lambda k: {"x": x[k], **{c: a[k] for c, a in columns.items()}}
         v, m = side(~member), side(member)
+        visits = t["visits"].filter(pa.array(member)).combine_chunks()
+        m["visits"] = visits.flatten().to_numpy(zero_copy_only=False)
+        m["of"] = np.repeat(np.arange(len(visits)), visits.value_lengths().to_numpy(zero_copy_only=False))
         sum_v, sum_m, a, b = _block(v, m, cosine)
         uid, n = np.concatenate([v["uid"], m["uid"]]), np.concatenate([sum_v, sum_m])
         uid, n = uid[n > 0], n[n > 0]
@@ -199,7 +256,8 @@ def _verify(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.Rec
 def _blocks(filed: DataFrame) -> DataFrame:
     """Members and visitors of each cell, dealt into blocks of bounded size."""
     members = filed.select("group", F.col("home").alias("cell"), F.lit(True).alias("member"), "uid", "home", "n", "vec", "visits")
-    visitors = filed.select("group", F.explode("visits").alias("cell"), F.lit(False).alias("member"), "uid", "home", "n", "vec", "visits")
+    visitors = filed.select("group", F.explode("visits").alias("cell"), F.lit(False).alias("member"), "uid", "home", "n", "vec")
+    visitors = visitors.withColumn("visits", F.array().cast("array<int>"))  # only those of members are asked for
     cell = ["group", "cell"]
     sizes = filed.groupBy("group", F.col("home").alias("cell")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("m_parts"))
     guests = filed.select("group", F.explode("visits").alias("cell")).groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("v_parts"))
@@ -218,18 +276,38 @@ def _links_of(distinct: DataFrame, stored: Stored, cosine: float, recall: float)
     sample = _sampled(distinct, SAMPLE, 4, ["vec"])
     x = _matrix(pa.array([r["vec"] for r in sample], pa.list_(pa.float64())))
     half = x.shape[1] // 2
-    words = int(np.clip(np.ceil(np.sqrt(size["rows"] / size["groups"] / PER_CELL)), 2, MAX_WORDS))
-    index = MultiIndex(k_means(x[:, :half], words), k_means(x[:, half:], words))
+
+    def indexed(per_cell: int) -> MultiIndex:
+        words = int(np.clip(np.ceil(np.sqrt(size["rows"] / size["groups"] / per_cell)), 2, MAX_WORDS))
+        return MultiIndex(k_means(x[:, :half], words), k_means(x[:, half:], words))
+
+    index = indexed(PER_CELL)
     visits = _visits(distinct, index, cosine, recall)
+    if visits is None:
+        index = indexed(BLOCK)  # many cells are in reach: fewer and larger ones
+
+    def cells_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The home of each row, and the cells it visits with their number by row."""
+        if visits is not None:
+            order = index.order(x, visits)
+            return order[:, 0], order.ravel(), np.full(len(x), order.shape[1])
+        # partners reach each other's homes, so the one with the lower home goes
+        home, row, cell = index.reachable(x, cosine)
+        go = cell >= home[row]
+        return home, cell[go], np.bincount(row[go], minlength=len(x))
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            order = index.order(_matrix(batch.column(batch.schema.get_field_index("vec"))), visits).astype(np.int32)
-            at = pa.array(np.arange(len(order) + 1, dtype=np.int32) * order.shape[1])
-            lists = pa.ListArray.from_arrays(at, pa.array(order.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(order[:, 0]), lists], names=[*batch.schema.names, "home", "visits"])
+            for a in range(0, batch.num_rows, 64 if visits is None else batch.num_rows):
+                some = batch.slice(a, 64) if visits is None else batch
+                home, cell, n = cells_of(_matrix(some.column(some.schema.get_field_index("vec"))))
+                at = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+                lists = pa.ListArray.from_arrays(at, pa.array(cell.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays(
+                    [*some.columns, pa.array(home.astype(np.int32)), lists], names=[*some.schema.names, "home", "visits"]
+                )
 
     kind = distinct.schema["vec"].dataType.simpleString()
     filed = stored.table(

@@ -142,6 +142,26 @@ def test_neighbours_against_brute_force(spark, monkeypatch):
     assert neighbours.near_duplicates(df.where("false")).collect() == []
 
 
+@pytest.mark.parametrize("most", [1 << 16, 64])
+def test_rare_neighbours(spark, monkeypatch, most):
+    """Few vectors have a partner, and none of the first block has."""
+    monkeypatch.setattr(neighbours, "QUERIES", 16)
+    monkeypatch.setattr(neighbours, "MOST_QUERIES", most, raising=False)
+    monkeypatch.setattr(neighbours, "BLOCK", 32)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1200, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    turn = rng.normal(size=(20, 16))
+    turn -= (turn * x[:20]).sum(1)[:, None] * x[:20]
+    turn /= np.linalg.norm(turn, axis=1, keepdims=True)
+    x = np.concatenate([x, 0.94 * x[:20] + np.sqrt(1 - 0.94**2) * turn])
+    df = spark.createDataFrame([(i, [float(v) for v in r], 0) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    near = x @ x.T >= 0.93
+    np.fill_diagonal(near, False)
+    got = {r.vec_id: r.n_links for r in neighbours.near_duplicates(df).collect()}
+    assert near.sum() >= 40 and [got[i] for i in range(len(x))] == near.sum(1).tolist()
+
+
 def test_multi_sequence_order():
     rng = np.random.default_rng(4)
     index = neighbours.MultiIndex(rng.normal(size=(6, 3)), rng.normal(size=(5, 3)))
