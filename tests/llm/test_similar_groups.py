@@ -1,0 +1,51 @@
+import random
+
+import numpy as np
+
+from ledger_analytics.llm import simhash
+
+
+def shingles(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def test_only_similar_sets_are_one_group(docs_of):
+    rng = random.Random(3)
+    rows, want = [], []
+    for i in range(40):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        k = 40 if i % 2 else 25  # words that differ at the end
+        a, b = " ".join(w), " ".join([*w[:-k], *(f"x{rng.randrange(10**6)}" for _ in range(k))])
+        sim = len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+        assert 0.74 < sim < 0.78 if i % 2 else sim > 0.84
+        rows += [(i, a), (1000 + i, b)]
+        want += [i, 1000 + i] if i % 2 else [i]
+    line = " one line that is here many times over"
+    base = rows[0][1]
+    rows.append((5000, base + line * 200))  # the same set but for a few shingles
+    kept = [r.doc_id for r in simhash.one_per_group(docs_of(rows)).collect()]
+    assert sorted(kept) == sorted(want)
+
+
+def test_links_against_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 62, 60)
+    sets = [np.unique(np.where(rng.random(60) < 0.12, rng.integers(0, 1 << 62, 60), base)).astype(np.uint64) for _ in range(90)]
+    near = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.8
+    pairs = [(i, j) for i in range(90) for j in range(i) if near(sets[i], sets[j])]
+    want = list(range(90))
+    for _ in range(90):
+        for i, j in pairs:
+            want[i] = want[j] = min(want[i], want[j])
+    assert 1 < len(set(want)) < 90
+    rows = [(0, i, bytearray(s.tobytes()), 0) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "root long, node long, shingles binary, fp0 long")
+    for bucket in (4096, 16):
+        got = list(range(90))
+        links = simhash.verified_links(df, 64, 0.8, bucket).collect()
+        assert all(0 <= r.a < 90 and 0 <= r.b < 90 for r in links)
+        for _ in range(90):
+            for r in links:
+                got[r.a] = got[r.b] = min(got[r.a], got[r.b])
+        assert got == want
