@@ -13,8 +13,9 @@ order. Only the dictionary, bounded by the vocabulary, is sent to all tasks.
 
 Words are encoded once and kept in a bounded table of each worker: the tokenizer splits texts
 into words by a fixed pattern before it merges bytes, so texts are split by that pattern and
-only new words are given to it. Texts with characters on which two Unicode tables may differ,
-and whatever a tokenizer of another kind reads, go to it whole.
+only new words are given to it. Texts with characters on which two Unicode tables may differ
+or with the string of an added token, and whatever a tokenizer of another kind reads, go to
+it whole.
 
 Defined results: null and empty texts have the end id only; rows without an id come first;
 rows with equal ids follow each other by text.
@@ -95,7 +96,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = {t.content for t in self._tokenizer.get_added_tokens_decoder().values()} - {""}
+        self._added = re.compile("|".join(map(re.escape, sorted(added)))) if added else None
         self.size = self._tokenizer.get_vocab_size()
         self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
         pre = str(self._tokenizer.pre_tokenizer)
@@ -116,6 +118,15 @@ class Encoder:
         """Ids of each text as plain bytes."""
         if not self._by_word:
             return self._whole(texts)
+        if self._added:
+            has = [bool(self._added.search(t)) for t in texts]
+            if any(has):
+                whole = iter(self._whole([t for t, x in zip(texts, has) if x]))
+                rest = iter(self._by_words([t for t, x in zip(texts, has) if not x]))
+                return [next(whole) if x else next(rest) for x in has]
+        return self._by_words(texts)
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
         known = self._known
         words = [WORDS.findall(t) for t in texts]
         new = {w for ws in words for w in ws if w not in known}
