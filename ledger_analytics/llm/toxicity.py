@@ -11,6 +11,8 @@ A hit counts by its context: words and signs of quotation nearby (marks before a
 reporting words) make it less, address to a person nearby makes it more. How much, and how
 hits add up to a score, is a logistic regression over a handful of counts per document,
 fitted on at most ``TRAIN_ROWS`` labelled rows of each class, the first by hash of their id.
+Rows of a class that was cut to that weigh more, so the score is a probability at the ratio
+of all labels.
 
 Defined results: null and empty texts have no hits and the score of a text without hits; a
 label table without rows of both classes gives the score 0 to all; several labels of one
@@ -253,14 +255,18 @@ def _candidates(data: np.ndarray, off: np.ndarray) -> list[set]:
     return out
 
 
-def _sample(labelled: DataFrame, rows: int) -> DataFrame:
-    """The first rows of each class by hash: (_id, y)."""
+def _sample(labelled: DataFrame, rows: int) -> tuple[DataFrame, dict[int, float]]:
+    """The first rows of each class by hash: (_id, y); and how many labels of its class each
+    stands for."""
     order = Window.partitionBy("y").orderBy("h")
     counts = {r["y"]: r["n"] for r in labelled.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = {y: min(1.0, 2.0 * rows / n + 100.0 / n) for y, n in counts.items()}
     bound = F.when(F.col("y") == 1, F.lit(share.get(1, 1.0))).otherwise(F.lit(share.get(0, 1.0)))
     near = labelled.where(F.pmod("h", F.lit(1 << 30)) < bound * (1 << 30))
-    return near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rows).select("_id", "y")
+    chosen = near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rows).select("_id", "y")
+    if all(n <= rows for n in counts.values()):
+        return chosen, dict.fromkeys(counts, 1.0)
+    return chosen, {r["y"]: counts[r["y"]] / r["n"] for r in chosen.groupBy("y").agg(F.count("*").alias("n")).collect()}
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", toxic: str = "toxic",
@@ -269,7 +275,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     ids = labels.where(F.col(toxic).isNotNull() & F.col(doc_id).isNotNull()).select(
         F.col(doc_id).alias("_id"), F.col(toxic).cast("int").alias("y"), F.xxhash64(doc_id, F.lit(11)).alias("h")
     )
-    chosen = _sample(ids, rows)
+    chosen, stands_for = _sample(ids, rows)
     # at most 2 * rows ids
     sample = docs.join(F.broadcast(chosen), docs[doc_id] == F.col("_id")).select("y", F.col(text).alias("text"), F.col("_id"))
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -300,7 +306,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     )
     chosen_terms, is_stem = _lexicon([(r["term"], r["n1"], r["n0"]) for r in terms])
     if not chosen_terms:
-        return ToxicityModel(bias=float(np.log(n1 / n0)))
+        return ToxicityModel(bias=float(np.log(n1 * stands_for[1] / (n0 * stands_for[0]))))
     stems = np.array(is_stem)
 
     def misspelled(batches):
@@ -336,9 +342,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     measured = sample.select("y", "text", F.xxhash64("_id").alias("id")).mapInArrow(measure, "y int, x array<double>, id long").collect()
     measured.sort(key=lambda r: (r["id"], r["y"], r["x"]))
     x, y = np.array([r["x"] for r in measured]), np.array([r["y"] for r in measured], float)
+    weigh = np.where(y == 1, stands_for[1], stands_for[0])
     use = np.ones(len(FEATURES), bool)
     while True:  # more hits never make a text less toxic: a kind of hit that would is left out
-        weights, bias = _fit(x * use, y)
+        weights, bias = _fit(x * use, y, weigh)
         against = use & (weights < 0) & np.isin(FEATURES, HITS)
         if not against.any():
             break
@@ -371,14 +378,15 @@ def _lexicon(terms: list[tuple[str, int, int]]) -> tuple[list[str], list[bool]]:
     return list(last), list(last.values())
 
 
-def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> tuple[np.ndarray, float]:
-    """Logistic regression by Newton steps; the number of features is fixed."""
+def _fit(x: np.ndarray, y: np.ndarray, weigh: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> tuple[np.ndarray, float]:
+    """Logistic regression of weighted rows by Newton steps; the number of features is fixed."""
+    weigh = weigh / weigh.mean()
     a = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(a.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        g = a.T @ (p - y) / len(y) + ridge * w
-        h = (a * (p * (1 - p))[:, None]).T @ a / len(y) + (ridge + 1e-6) * np.eye(len(w))
+        g = a.T @ (weigh * (p - y)) / len(y) + ridge * w
+        h = (a * (weigh * p * (1 - p))[:, None]).T @ a / len(y) + (ridge + 1e-6) * np.eye(len(w))
         move = np.linalg.solve(h, g)
         w -= move
         if np.abs(move).max() < 1e-8:
