@@ -51,6 +51,8 @@ QUOTING = frozenset(
 )
 ADDRESSING = frozenset("you your youre u du dich dein ihr tu te toi vous votre tú eres usted".split())
 QUOTE_SIGNS = np.array([ord(c) for c in "\"'«»“”„‘’"], np.uint32)
+#: Between two letters they are no quotation.
+APOSTROPHES = np.array([ord(c) for c in "'’"], np.uint32)
 
 
 # --- trie and automaton --------------------------------------------------------
@@ -221,7 +223,11 @@ def features(data: np.ndarray, off: np.ndarray, machine: Automaton, stems: np.nd
     hit = np.flatnonzero(term >= 0)
     row = np.searchsorted(first, hit, "right") - 1
     low, high = np.maximum(hit - CONTEXT, first[row]), np.minimum(hit + CONTEXT + 1, first[row + 1])
-    signs = np.concatenate([[0], np.cumsum(np.isin(points, QUOTE_SIGNS))])
+    sign = np.isin(points, QUOTE_SIGNS)
+    inside = (start[1:] - end[:-1] == 1) & ~np.isin(np.arange(1, len(start)), first)  # one sign between words of a text
+    between = end[:-1][inside]
+    sign[between[np.isin(points[between], APOSTROPHES)]] = False
+    signs = np.concatenate([[0], np.cumsum(sign)])
     quoted, addressed = np.zeros(len(hit), bool), np.zeros(len(hit), bool)
     for i, (h, a, b) in enumerate(zip(hit.tolist(), low.tolist(), high.tolist())):
         words = [points[s:e].tobytes().decode("utf-32-le") for s, e in zip(start[a:b].tolist(), end[a:b].tolist())]

@@ -25,3 +25,14 @@ def test_score_does_not_depend_on_the_cut_of_a_class(spark, docs_of):
     model = toxicity.train(same, labels, rows=50)
     toxic = labels.where("toxic = 1").count()
     assert not model.terms and np.isclose(model.bias, np.log(toxic / (1500 - toxic)))
+
+
+def test_apostrophes_within_words_are_no_quotation():
+    machine = toxicity.automaton(["stupid"], [False])
+    texts = ["she said you're so stupid that's all", "m’as dit stupid j’ai", "he wrote 'stupid' here", "the word ‘stupid’", "said x'", "stupid y"]
+    raw = [t.encode() for t in texts]
+    off = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    got = toxicity.features(np.frombuffer(b"".join(raw), np.uint8), off, machine, np.array([False]))
+    quoted = got[:, toxicity.FEATURES.index("quoted")] > 0
+    assert quoted.tolist() == [False, False, True, True, False, False]
+    assert (got[:, toxicity.FEATURES.index("exact")] > 0).tolist() == [True, True, False, False, False, True]
