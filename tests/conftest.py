@@ -73,7 +73,3 @@ def lognormal():
         ]
 
     return rows
-
-
-def by_id(df):
-    return {r["txn_id"]: r for r in df.collect()}

@@ -5,7 +5,7 @@ import math
 import random
 
 import pytest
-from conftest import by_id
+from helpers import by_id
 from pyspark.sql import functions as F
 
 from ledger_analytics.config import AnalysisConfig
