@@ -12,13 +12,14 @@ rows (part, seq, doc_ids, n_tokens, length codes, token codes) follow the ids in
 order. Only the dictionary, bounded by the vocabulary, is sent to all tasks.
 
 Words are encoded once and kept in a bounded table of each worker: the tokenizer splits texts
-into words by a fixed pattern before it merges bytes, so texts are split by that pattern and
-only new words are given to it. Texts with characters on which two Unicode tables may differ
-or with the string of an added token, and whatever a tokenizer of another kind reads, go to
-it whole.
+into words by a fixed pattern before it merges bytes, so the bytes of many texts are split by
+that pattern as one array, words of up to ``WORD_BYTES`` are looked up by their bytes in an open
+hash table, and only new words are given to the tokenizer. Texts with characters on which two
+Unicode tables may differ, with bytes that are not UTF-8 or with the string of an added token,
+and whatever a tokenizer of another kind reads, go to it whole.
 
 Defined results: null and empty texts have the end id only; rows without an id come first;
-rows with equal ids follow each other by text.
+rows with equal ids follow each other by text; bytes that are not UTF-8 count as U+FFFD.
 """
 
 from __future__ import annotations
@@ -42,18 +43,18 @@ from ledger_analytics.sources.materialize import checkpoint_root
 #: Tokens of a block.
 BLOCK_TOKENS = 1 << 18
 #: Words whose ids a worker keeps.
-KEPT_WORDS = 300_000
-#: Characters of text that are split into words at a time; a longer text is taken alone.
-SPLIT_CHARS = 1 << 19
-
-# How byte-level tokenizers of this family split texts, for the characters
-# on which all Unicode tables agree. Texts with others go to the tokenizer whole.
+KEPT_WORDS = 400_000
+#: Bytes of words that are found by hash; longer ones are looked up one by one.
+WORD_BYTES = 16
+#: Bytes of text that are split into words at a time; a longer text is taken alone.
+SPLIT_BYTES = 1 << 19
+
+# The words by which byte-level tokenizers of this family split texts,
+#   '(s|t|m|d|re|ve|ll) | ?letters | ?numbers | ?others | blanks, without the last one if a word follows
+# for the characters on which all Unicode tables agree. Texts with others go to the tokenizer whole.
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _NUMBERS = "0-9²³¹¼-¾"
-WORDS = re.compile(
-    rf"'(?:[smtd]|re|ve|ll)| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^ \t\n{_LETTERS}{_NUMBERS}]+|[ \t\n]+(?![^ \t\n])|[ \t\n]+"
-)
-_UNUSUAL = re.compile("[^\t\n\x20-\x7e\xa1-ɏ‐-‧‰-⁞]")
+_USUAL = "\t\n\x20-\x7e\xa1-ɏ‐-‧‰-⁞"
 
 
 # --- coding --------------------------------------------------------------------
@@ -83,6 +84,67 @@ def decode_numbers(control: bytes, data: bytes, n: int) -> np.ndarray:
     return view[start] & _MASKS[length]
 
 
+# --- words ---------------------------------------------------------------------
+
+#: Kinds of bytes; a character's bytes are all of its kind.
+_END, _LETTER, _NUMBER, _OTHER, _SPACE, _BLANK, _UNUSUAL = range(7)
+
+
+def _kinds(last: int) -> np.ndarray:
+    """Kind of each code point up to ``last``."""
+    points = "".join(map(chr, range(last + 1)))
+    out = np.full(last + 1, _UNUSUAL, np.uint8)
+    for kind, pattern in ((_OTHER, _USUAL), (_LETTER, _LETTERS), (_NUMBER, _NUMBERS), (_BLANK, "\t\n"), (_SPACE, " ")):
+        out[[m.start() for m in re.finditer(f"[{pattern}]", points)]] = kind
+    return out
+
+
+_KIND = _kinds(0x2060)
+_BYTE_KIND = np.full(256, _UNUSUAL, np.uint8)
+_BYTE_KIND[:128] = _KIND[:128]
+_BYTE_KIND[255] = _END
+_AFTER_ONE = np.isin(np.arange(256), list(b"smtd"))
+_MASK8 = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
+def byte_kinds(buf: np.ndarray) -> np.ndarray:
+    """Kinds of UTF-8 bytes; 255 parts texts."""
+    kind = _BYTE_KIND[buf]
+    high = np.flatnonzero((buf >= 0xC2) & (buf < 0xF0))
+    if len(high):
+        last = len(buf) - 1
+        first, second, third = (buf[np.minimum(high + i, last)].astype(np.int64) for i in range(3))
+        follows = second & 0xC0 == 0x80
+        two = follows & (first < 0xE0)
+        at = high[two]
+        kind[at] = kind[at + 1] = _KIND[(first[two] & 0x1F) << 6 | second[two] & 0x3F]
+        three = follows & (first >= 0xE0) & (third & 0xC0 == 0x80)
+        code = (first & 0x0F) << 12 | (second & 0x3F) << 6 | third & 0x3F
+        three &= (code >= 0x800) & (code < len(_KIND))
+        at = high[three]
+        kind[at] = kind[at + 1] = kind[at + 2] = _KIND[code[three]]
+    return kind
+
+
+def word_starts(buf: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Where words begin, and all places of kind ``_END``. The first and last byte are such."""
+    word, blank = (kind >= _LETTER) & (kind <= _OTHER), kind >= _SPACE
+    start = kind == _END
+    # a run of one kind, unless a space before it belongs to it
+    start[1:] |= word[1:] & (kind[1:] != kind[:-1]) & (kind[:-1] != _SPACE)
+    # blanks in one piece, but the last one before a word stands alone or goes with the word
+    start[1:-1] |= blank[1:-1] & (~blank[:-2] | word[2:])
+    quote = np.flatnonzero((buf == 0x27) & start)
+    quote = quote[quote < len(buf) - 2]
+    if len(quote):
+        one, two = buf[quote + 1], buf[quote + 2]
+        short = quote[_AFTER_ONE[one]]
+        long = quote[((one == 0x72) | (one == 0x76)) & (two == 0x65) | (one == 0x6C) & (two == 0x6C)]
+        start[short + 1] = start[long + 1] = False
+        start[short + 2] = start[long + 3] = True
+    return start
+
+
 # --- tokenizer -----------------------------------------------------------------
 
 _loaded: dict[str, "Encoder"] = {}
@@ -97,12 +159,15 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         added = {t.content for t in self._tokenizer.get_added_tokens_decoder().values()} - {""}
-        self._added = re.compile("|".join(map(re.escape, sorted(added)))) if added else None
+        self._added = re.compile(b"|".join(re.escape(t.encode()) for t in sorted(added))) if added else None
         self.size = self._tokenizer.get_vocab_size()
         self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
         pre = str(self._tokenizer.pre_tokenizer)
         self._by_word = pre.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in pre and not self._tokenizer.normalizer
-        self._known: dict[str, bytes] = {}
+        # tokens that begin with a space, which byte-level vocabularies write as U+0120
+        self._spaced = np.zeros(self.size, bool)
+        self._spaced[[i for t, i in self._tokenizer.get_vocab().items() if t[:1] == "\u0120"]] = True
+        self._clear()
 
     @classmethod
     def load(cls, path: str) -> "Encoder":
@@ -110,42 +175,169 @@ class Encoder:
             _loaded[path] = cls(path)
         return _loaded[path]
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.kind).tobytes() for e in found]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as plain bytes."""
+        return [np.array(e.ids, self.kind) for e in found]
+
+    # The table: slots hold numbers of words; word w has the bytes low[w], high[w] and the
+    # ids pool[first[w] : first[w] + count[w]]. Longer words are numbered in a dictionary.
+
+    def _clear(self) -> None:
+        self._slots = np.full(16, -1, np.int32)
+        self._low, self._high = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self._first, self._count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._used = np.zeros(0, bool)
+        self._pool = np.zeros(0, self.kind)
+        self._long: dict[bytes, int] = {}
+
+    def _place(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        h = (low ^ (high * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return (h >> np.uint64(20)).astype(np.int64) & (len(self._slots) - 1)
+
+    def _find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Number of each word, -1 for new ones."""
+        if not len(self._low):
+            return np.full(len(low), -1, np.int64)
+        at = self._place(low, high)
+        found = self._slots[at].astype(np.int64)
+        open_ = np.flatnonzero((found >= 0) & ((self._low[found] != low) | (self._high[found] != high)))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & (len(self._slots) - 1)
+            number = self._slots[at[open_]].astype(np.int64)
+            found[open_] = number
+            open_ = open_[(number >= 0) & ((self._low[number] != low[open_]) | (self._high[number] != high[open_]))]
+        return found
+
+    def _add(self, words: list[bytes], low: np.ndarray, high: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        """New distinct words, their first and next eight bytes, and their ids one after the other."""
+        number = len(self._first) + np.arange(len(words))
+        self._first = np.append(self._first, len(self._pool) + np.cumsum(count) - count)
+        self._count, self._pool = np.append(self._count, count), np.append(self._pool, ids)
+        self._low, self._high = np.append(self._low, low), np.append(self._high, high)
+        self._used = np.append(self._used, np.zeros(len(words), bool))
+        short = np.fromiter((len(w) <= WORD_BYTES for w in words), bool, len(words))
+        self._long.update((words[i], int(number[i])) for i in np.flatnonzero(~short))
+        if 2 * len(self._first) > len(self._slots):
+            self._slots = np.full(2 << (2 * len(self._first)).bit_length(), -1, np.int32)
+            every = np.ones(len(self._first), bool)
+            every[list(self._long.values())] = False
+            self._file(np.flatnonzero(every))
+        else:
+            self._file(number[short])
+
+    def _file(self, number: np.ndarray) -> None:
+        at = self._place(self._low[number], self._high[number])
+        open_ = np.arange(len(number))
+        while len(open_):
+            free = open_[self._slots[at[open_]] < 0]
+            self._slots[at[free]] = number[free]  # of several at one place the last stays
+            open_ = open_[self._slots[at[open_]] != number[open_]]
+            at[open_] = (at[open_] + 1) & (len(self._slots) - 1)
+
+    def _forget(self) -> None:
+        """Keep the words met again since the last time, if they are not too many."""
+        keep = np.flatnonzero(self._used)
+        if len(keep) > KEPT_WORDS // 2:
+            return self._clear()
+        new = np.full(len(self._used), -1, np.int64)
+        new[keep] = np.arange(len(keep))
+        long = {w: int(new[i]) for w, i in self._long.items() if new[i] >= 0}
+        low, high, count = self._low[keep], self._high[keep], self._count[keep]
+        pool = self._pool[_stretches(self._first[keep], count)]
+        self._clear()
+        words = [b""] * len(keep)
+        for w, i in long.items():
+            words[i] = w
+        self._add(words, low, high, pool, count)
+
+    def _new_ids(self, words: list[str], spaced: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and how many each has. The first ``spaced`` words begin with a
+        space and end otherwise: a text of them is split before each space, as tokens tell."""
+        ids, count = np.zeros(0, self.kind), np.zeros(0, np.int64)
+        if spaced:
+            ids = np.concatenate(self._whole(["".join(words[a : min(spaced, a + 500)]) for a in range(0, spaced, 500)]))
+            count = np.diff(np.flatnonzero(self._spaced[ids]), append=len(ids))
+        if len(words) > spaced:
+            found = self._tokenizer.encode(words[spaced:], is_pretokenized=True, add_special_tokens=False)
+            ids = np.append(ids, np.array(found.ids, self.kind))
+            count = np.append(count, np.bincount(np.array(found.word_ids, np.int64), minlength=len(words) - spaced))
+        return ids, count
+
+    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (UTF-8 bytes and offsets), and how many each text has."""
+        raw = data.tobytes()
+        texts = [raw[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
         if not self._by_word:
-            return self._whole(texts)
+            ids = self._whole([t.decode("utf-8", "replace") for t in texts])
+            return np.concatenate([np.zeros(0, self.kind), *ids]), np.fromiter(map(len, ids), np.int64, len(ids))
+        joined = b"\xff" + b"\xff".join(texts) + b"\xff" if texts else b"\xff"
+        buf = np.frombuffer(joined + bytes(WORD_BYTES), np.uint8)
+        body = buf[: len(joined)]
+        begin = off[:-1] + 1 + np.arange(len(texts))  # of each text in buf
+        kind = byte_kinds(body)
+        odd = np.flatnonzero(kind == _UNUSUAL)
+        # 255 inside of a text is not UTF-8 either
+        if np.count_nonzero(body == 0xFF) > len(texts) + 1:
+            inside = np.ones(len(body), bool)
+            inside[0] = inside[begin - 1] = inside[-1] = False
+            odd = np.append(odd, np.flatnonzero(inside & (body == 0xFF)))
         if self._added:
-            has = [bool(self._added.search(t)) for t in texts]
-            if any(has):
-                whole = iter(self._whole([t for t, x in zip(texts, has) if x]))
-                rest = iter(self._by_words([t for t, x in zip(texts, has) if not x]))
-                return [next(whole) if x else next(rest) for x in has]
-        return self._by_words(texts)
-
-    def _by_words(self, texts: list[str]) -> list[bytes]:
-        known = self._known
-        words = [WORDS.findall(t) for t in texts]
-        new = {w for ws in words for w in ws if w not in known}
-        if len(known) + len(new) > KEPT_WORDS:
-            # rare words fill the table; those of the texts at hand are kept
-            known = self._known = {w: known[w] for ws in words for w in ws if w in known}
-        unusual = {w for w in new if _UNUSUAL.search(w)}  # every character is in a word
-        order = list(new - unusual)
-        if order:
-            found = self._tokenizer.encode(order, is_pretokenized=True, add_special_tokens=False)
-            ids, of = np.array(found.ids, self.kind), np.array(found.word_ids, np.int64)
-            cut = np.searchsorted(of, np.arange(len(order) + 1)) * ids.itemsize
-            raw, cut = ids.tobytes(), cut.tolist()
-            known.update((w, raw[a:b]) for w, a, b in zip(order, cut, cut[1:]))
-        if not unusual:
-            return [b"".join(map(known.__getitem__, ws)) for ws in words]
-        plain = [unusual.isdisjoint(ws) for ws in words]
-        whole = iter(self._whole([t for t, ok in zip(texts, plain) if not ok]))
-        return [b"".join(map(known.__getitem__, ws)) if ok else next(whole) for ws, ok in zip(words, plain)]
+            odd = np.append(odd, [m.start() for m in self._added.finditer(joined)]).astype(np.int64)
+        whole = np.unique(np.searchsorted(begin, odd, "right") - 1)
+        for i in whole.tolist():
+            kind[begin[i] : begin[i] + len(texts[i])] = _END
+        at = np.flatnonzero(word_starts(body, kind))
+        length = np.diff(at, append=len(body))
+        is_word = kind[at] != _END
+        at, length = at[is_word], length[is_word]
+        number = self._numbers(buf, at, length)
+        count = self._count[number]
+        ids = self._pool[_stretches(self._first[number], count)]
+        total = np.concatenate([[0], np.cumsum(count)])
+        upto = total[np.searchsorted(at, np.append(begin, len(body)))]
+        n = np.diff(upto)
+        if len(whole):
+            made = iter(self._whole([texts[i].decode("utf-8", "replace") for i in whole.tolist()]))
+            is_whole = np.zeros(len(texts), bool)
+            is_whole[whole] = True
+            parts = [next(made) if w else ids[a:b] for w, a, b in zip(is_whole, upto, upto[1:])]
+            ids, n = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+        return ids, n
+
+    def _numbers(self, buf: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Numbers of the words, after new ones have been added."""
+        if len(self._first) > KEPT_WORDS:
+            self._forget()
+        eight = np.ndarray((len(buf) - 7,), "<u8", buf, strides=(1,))
+        low = eight[at] & _MASK8[np.minimum(length, 8)]
+        high = eight[at + 8] & _MASK8[np.clip(length - 8, 0, 8)]
+        number = self._find(low, high)
+        long = np.flatnonzero(length > WORD_BYTES)
+        raw = buf.tobytes()
+        cut = lambda i: raw[at[i] : at[i] + length[i]]
+        for i in long.tolist():
+            number[i] = self._long.get(cut(i), -1)
+        self._used[number[number >= 0]] = True
+        missing = np.flatnonzero(number < 0)
+        if len(missing):
+            new: dict[bytes, int] = {}
+            for i in missing.tolist():
+                new.setdefault(cut(i), i)
+            words = sorted(new, key=lambda w: w[0] != 32 or w[-1] in b" \t\n")
+            spaced = sum(w[0] == 32 and w[-1] not in b" \t\n" for w in words)
+            first = np.fromiter((new[w] for w in words), np.int64, len(words))
+            self._add(words, low[first], high[first], *self._new_ids([w.decode() for w in words], spaced))
+            number[missing] = self._find(low[missing], high[missing])
+            for i in long.tolist():
+                number[i] = self._long[cut(i)]
+        return number
+
+
+def _stretches(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers first, first + 1, ... of each stretch, one after the other."""
+    end = np.cumsum(count)
+    return np.repeat(first - end + count, count) + np.arange(end[-1] if len(end) else 0)
 
 
 # --- writing -------------------------------------------------------------------
@@ -157,35 +349,39 @@ _CODED = (
 )
 
 
-def _plain_blocks(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
+def encoded_slices(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Stretches of rows, whose second column is the text, with all their ids, the end id after
+    each text, and how many ids each has."""
     encoder = Encoder.load(path)
+    for batch in batches:
+        data, off = utf8(batch.column(1))
+        for a, b in slices(off, SPLIT_BYTES):
+            ids, n = encoder.encode(data[off[a] : off[b]], off[a : b + 1] - off[a])
+            yield batch.slice(a, b - a), np.insert(ids, np.cumsum(n), end_id), n + 1
+
+
+def _plain_blocks(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     part, seq = TaskContext.get().partitionId(), 0
-    ids: list = []
-    raw: list[bytes] = []
-    size = 0
-    end = np.array([end_id], encoder.kind).tobytes()
-
-    def close() -> pa.RecordBatch:
-        nonlocal seq, size
-        lengths = np.array([len(r) // len(end) for r in raw], "<u4")
-        row = [[part], [seq], [list(ids)], [lengths.tobytes()], [b"".join(raw)]]
+    docs: list = []
+    lengths = np.zeros(0, np.int64)
+    ids = np.zeros(0, Encoder.load(path).kind)
+
+    def close(n: int) -> pa.RecordBatch:
+        """A block of the first ``n`` documents at hand."""
+        nonlocal seq, docs, lengths, ids
+        size = int(lengths[:n].sum())
+        row = [[part], [seq], [docs[:n]], [lengths[:n].astype("<u4").tobytes()], [ids[:size].tobytes()]]
         kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-        seq, size = seq + 1, 0
-        ids.clear(), raw.clear()
+        seq, docs, lengths, ids = seq + 1, docs[n:], lengths[n:], ids[size:]
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], names=["part", "seq", "doc_ids", "lengths", "ids"])
 
-    for batch in batches:
-        _, off = utf8(batch.column(1))
-        for a, b in slices(off, SPLIT_CHARS):
-            some = batch.slice(a, b - a)
-            for doc, r in zip(some.column(0).to_pylist(), encoder.encode([t or "" for t in some.column(1).to_pylist()])):
-                ids.append(doc)
-                raw.append(r + end)
-                size += len(r) // len(end) + 1
-                if size >= BLOCK_TOKENS:
-                    yield close()
-    if ids:
-        yield close()
+    for rows, more, n in encoded_slices(batches, path, end_id):
+        docs = docs + rows.column(0).to_pylist()
+        lengths, ids = np.append(lengths, n), np.append(ids, more)
+        while len(ids) >= BLOCK_TOKENS:
+            yield close(1 + int(np.searchsorted(np.cumsum(lengths), BLOCK_TOKENS)))
+    if docs:
+        yield close(len(docs))
 
 
 def write_tokens(

@@ -1,4 +1,5 @@
 import hashlib
+import functools
 import random
 import re
 import zlib
@@ -258,20 +259,50 @@ def test_number_code():
 TEXTS = ["it's a test's 'll  x\n\n y\t z'd", "<|endoftext|> a", "Ünï　code \x1c x", "a\x00b", "it 'tis \n\n\n  x   ", "é è x 1²3 ½", "  ", " '", "'s 's''s"]
 
 
-def reference_ids(texts):
+@functools.cache
+def reference():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def reference_ids(texts):
+    return [e.ids for e in reference().encode_batch([x or "" for x in texts], add_special_tokens=False)]
+
+
+def encoded(encoder, texts):
+    raw = [x if isinstance(x, bytes) else x.encode() for x in texts]
+    off = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+    ids, n = encoder.encode(np.frombuffer(b"".join(raw), np.uint8), off)
+    return [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] if texts else []
 
 
 def test_encoder_equals_tokenizer(monkeypatch):
     encoder = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
     for kept in (10_000, 3):
         monkeypatch.setattr(tokens, "KEPT_WORDS", kept)
-        for texts in (TEXTS, TEXTS[::-1], ["plain text only", "plain text again"]):
-            got = [np.frombuffer(r, np.uint16).tolist() for r in encoder.encode(texts)]
-            assert got == reference_ids(texts)
+        encoder._clear()
+        for texts in (TEXTS, TEXTS[::-1], ["plain text only", "plain text again"], ["x"], [""], []):
+            assert encoded(encoder, texts) == reference_ids(texts)
+
+
+def test_encoder_on_random_texts(monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT_WORDS", 500)
+    encoder = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(4)
+    pool = ["'", "'", "s", "t", "re", "ve", "ll", "d", " ", " ", "  ", "\n", "\t", "a", "Zß", "é", "ɏ", "ɐ", "1", "²", "½", "-", "…", "‰", "\xa0", "日", "🙂",
+            "averyveryverylongwordindeed", "<|endoftext|>", "<|end", "\r", "¿", "ÿ"]
+    usual = [p for p in pool if p not in ("ɐ", "\xa0", "日", "🙂", "<|endoftext|>", "\r")]
+    for _ in range(60):
+        texts = ["".join(rng.choice(rng.choice((pool, usual, usual, usual))) for _ in range(rng.randrange(0, 40))) for _ in range(20)]
+        texts += ["".join(rng.choice(usual) for _ in range(rng.randrange(0, 60))) for _ in range(40)]
+        assert encoded(encoder, texts) == reference_ids(texts)
+
+
+def test_encoder_reads_bytes_that_are_no_text():
+    encoder = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    raw = [b"good", b"\xff\xfe bad", b"", b"\xc3", b"x\xe2\x80", b"\xc0\x80 low", b"a \xff", b"end"]
+    assert encoded(encoder, raw) == reference_ids([r.decode("utf-8", "replace") for r in raw])
 
 
 def test_token_file(spark, docs_of, empty, monkeypatch):
