@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledger_analytics.llm import decontaminate, langid, mixing, neighbours, repeats, sharding, simhash, tokens, toxicity, urls
+from ledger_analytics.llm import (
+    decontaminate,
+    langid,
+    mixing,
+    negatives,
+    neighbours,
+    packing,
+    repeats,
+    sharding,
+    simhash,
+    tokens,
+    toxicity,
+    trie,
+    urls,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -112,6 +126,37 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = trie.prefix_trie(shared_starts(trie.turn_paths(_table(spark, sf_dir, "conversations"))))
+    # 0 turns end in the root
+    digests = trie.list_digests(made.ends, "node", "conv_id").withColumnRenamed("key", "node")
+    nodes = made.nodes.join(digests, "node", "left")
+    counts = [F.col(c).cast("long") for c in ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens")]
+    return nodes.select(*counts, F.coalesce("sha256", F.sha2(F.lit(b""), 256)).alias("ends_sha256"))
+
+
+def shared_starts(paths: DataFrame) -> DataFrame:
+    """Every conversation with its first turns taken from the first one of its five."""
+    h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9).cast("int")
+    first = paths.where("conv_id % 5 = 0").select(F.col("conv_id").alias("start"), F.slice("turns", 1, 8).alias("start_turns"))
+    rows = paths.withColumn("h", h).withColumn("start", F.col("conv_id") - F.col("conv_id") % 5).join(first, "start", "left")
+    head = F.slice(F.coalesce("start_turns", F.slice("turns", 1, 0)), F.lit(1), F.col("h"))
+    rest = F.slice("turns", F.col("h") + 1, F.greatest(F.size("turns") - F.col("h"), F.lit(0)))
+    return rows.select("conv_id", F.concat(head, rest).alias("turns"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    digests = pieces.withColumn("ids_crc32", F.crc32("token_ids")).drop("token_ids")
+    return packing.pack(digests).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_language": op1_language,
     "op2_tokens": op2_tokens,
@@ -123,6 +168,9 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
     "op10_repeats": op10_repeats,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_packing": op12_packing,
+    "op13_negatives": op13_negatives,
 }
 
 ORACLE: dict[str, str] = {
