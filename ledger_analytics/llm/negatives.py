@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledger_analytics.llm.arrow import bounded_batches
 from ledger_analytics.llm.storage import Stored
@@ -326,12 +327,16 @@ def _in_blocks(anchors: DataFrame, rows: DataFrame, n_anchors: int, n_rows: int,
     of_anchors, of_rows = max(1, -(-n_anchors // ANCHORS)), max(1, -(-n_rows // ROWS))
     block = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # both come from one table: columns of their own keep the sides apart
+    rows = rows.select(*[F.col(c).alias(f"r_{c}") for c in rows.columns]).toDF(*rows.columns)
     left = anchors.withColumn("_a", block(of_anchors)).withColumn("_r", every(of_rows))
     right = rows.withColumn("_r", block(of_rows)).withColumn("_a", every(of_anchors))
     grouped = left.groupBy("_a", "_r").cogroup(right.groupBy("_a", "_r"))
 
+    nothing = pa.schema([(f.name, pa.int32() if f.name == "positive" else pa.int64()) for f in T.StructType.fromDDL(_FOUND)])
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return compare(left, right)
+        return compare(left, right) if left.num_rows and right.num_rows else nothing.empty_table()
 
     return grouped.applyInArrow(run, _FOUND)
 

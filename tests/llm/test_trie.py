@@ -55,7 +55,7 @@ def paths_of(rows):
     return {c: tuple(p) for c, p in paths.items()}
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_random_conversations(spark, seed):
     rng = random.Random(seed)
     rows = []
