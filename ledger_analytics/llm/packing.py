@@ -228,10 +228,12 @@ def pack(pieces: DataFrame, size: str = "length", capacity: int = CAPACITY) -> D
     stored = Stored(spark)
     row = F.struct(*[F.col(f"`{c}`") for c in pieces.columns])
     long = F.col(f"`{size}`").cast("long")
-    wrapped = pieces.select(F.when(long > capacity, F.lit(capacity + 1).cast("long")).otherwise(long).alias("size"), row.alias("row"))
+    code = F.when(long > capacity, F.lit(capacity + 1).cast("long")).when(long >= 1, long).otherwise(F.lit(0).cast("long"))
+    wrapped = pieces.select(code.alias("size"), row.alias("row"))
     schema = T.StructType([*wrapped.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("number", T.LongType())])
     # numbers depend on the order in which a task reads, so they are written once
-    rows = stored.table(wrapped.where("size >= 1").mapInArrow(lambda it: _numbered(it, capacity), schema))
+    every = stored.table(wrapped.mapInArrow(lambda it: _numbered(it, capacity), schema))
+    rows = every.where("size > 0")
     by_part = stored.table(rows.groupBy("size", "part").agg(F.count("*").alias("n")))
     counts = {r["size"]: r["n"] for r in by_part.groupBy("size").agg(F.sum("n").alias("n")).collect()}  # at most capacity + 1 rows
     places = spark.sparkContext.broadcast(_Places(plan({s: n for s, n in counts.items() if s <= capacity}, capacity), capacity))
@@ -247,7 +249,7 @@ def pack(pieces: DataFrame, size: str = "length", capacity: int = CAPACITY) -> D
     numbered = rows.join(first, ["size", "part"]).select("size", (F.col("first") + F.col("number")).alias("number"), "row")
     out_schema = T.StructType([wrapped.schema["row"], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     out = numbered.mapInArrow(place, out_schema)
-    nothing = wrapped.where("size IS NULL OR size < 1").select("row", F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset"))
+    nothing = every.where("size = 0").select("row", F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset"))
     kept = [F.col(f"row.`{c}`").alias(c) for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
     return out.unionByName(nothing).select(*kept, "sequence_id", "offset")
 
