@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledger_analytics.llm.arrow import LOWER, WORD_BYTE, all_stretches, extend, prefix_sums, runs, slices, stretch_hashes, utf8
+from ledger_analytics.llm.columns import Numbered
 from ledger_analytics.llm.storage import Stored
 
 WINDOW = 10
@@ -237,4 +238,5 @@ def contamination(
 
 def clean_documents(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """The documents that hold no window of any item, unchanged."""
-    return contamination(docs, items, text=text).where(F.size("hit_words") == 0).select(*docs.columns)
+    named = Numbered(docs)
+    return named.back(contamination(named.df, items, text=named[text]).where(F.size("hit_words") == 0))

@@ -8,14 +8,7 @@ The comparison stores bit planes vertically: one machine word holds one bit of 6
 fingerprints, distances of 64 pairs are counted at a time by carry-save adders, and a
 block of pairs is abandoned once all of them exceed the radius.
 
-``one_per_group`` wants all pairs from a shingle similarity on (0.8 by default), which lie up
-to some ten bits of 64 apart: too many for exact keys. It takes ``WIDE`` words of bits a
-document, which tell similarities apart well, files each fingerprint under enough random
-choices of bits that a pair at the similarity meets with probability ``RECALL`` (and closer
-pairs almost surely), and compares in the same way, with a radius of ``DEVIATIONS`` above the
-mean distance at the similarity. What is linked so are candidates only: documents connected by
-them are compared by their sets of shingles, and linked if these are as similar as wanted.
-There fingerprints are of sets, so a repeated line counts once.
+``one_per_group`` keeps one document of each group.
 
 Defined results: a null, empty or blank text has no words and fingerprint zero; a text of
 fewer than four words has one shingle, its whole word sequence. Equal fingerprints are one
@@ -34,7 +27,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledger_analytics.llm.arrow import extend, mix, slices, utf8
+from ledger_analytics.llm.arrow import extend, slices, utf8
+from ledger_analytics.llm.columns import Numbered
 from ledger_analytics.llm.graph import components, spanning_pairs
 from ledger_analytics.llm.storage import Stored
 
@@ -47,16 +41,6 @@ BLOCKS = 6
 BUCKET = 4096
 #: Words of 64 pairs that are abandoned together.
 PAIR_WORDS = 512
-#: Words of 64 bits of a fingerprint that is linked by similarity.
-WIDE = 4
-SIMILARITY = 0.8
-#: Share of the pairs at exactly the similarity that meet; closer ones meet more surely.
-RECALL = 0.99
-#: Standard deviations from the mean distance at the similarity that are candidates still.
-DEVIATIONS = 3.5
-#: Bytes of shingle sets of one part of a large group; two parts are compared at a time.
-SET_BYTES = 8 << 20
-
 _BYTE_LANES = np.uint64(0x0101010101010101)
 
 
@@ -99,64 +83,25 @@ def majority_bits(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(
-    docs: DataFrame, keep: list[str], text: str = "text", shingle: int = SHINGLE, seed: int = SEED, words: int = 1
-) -> DataFrame:
-    """The columns ``keep`` with ``fp0``, ``fp1``, ...: the fingerprint, 64 bits a signed long.
-    Words after the first are taken from the shingles' hashes spread anew."""
-    names = [f"fp{i}" for i in range(words)]
+def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """The columns ``keep`` with ``fp0``, the fingerprint as a signed long."""
 
     def compute():
         def f(batch: pa.RecordBatch) -> dict[str, pa.Array]:
             data, off = utf8(batch.column(batch.schema.get_field_index(text)))
-            parts = [[np.zeros(0, np.uint64)] for _ in names]
+            parts = [np.zeros(0, np.uint64)]
             for a, b in slices(off):
                 raw = data[off[a] : off[b]].tobytes()
                 local = (off[a : b + 1] - off[a]).tolist()
                 each = [shingle_hashes(raw[i:j], shingle, seed) for i, j in zip(local, local[1:])]
                 sizes = np.fromiter(map(len, each), np.int64, len(each))
                 flat = np.fromiter((h for hs in each for h in hs), np.uint64, int(sizes.sum()))
-                first = np.cumsum(sizes) - sizes
-                for i, part in enumerate(parts):
-                    part.append(majority_bits(mix(flat + np.uint64(i)) if i else flat, first))
-            return {n: pa.array(np.concatenate(p).view(np.int64)) for n, p in zip(names, parts)}
-
-        return f
-
-    fields = [T.StructField(n, T.LongType()) for n in names]
-    return extend(docs.select(*dict.fromkeys([*keep, text])), compute, fields, keep)
-
-
-def set_fingerprints(docs: DataFrame, keep: list[str], text: str, shingle: int, words: int, sets: bool = False) -> DataFrame:
-    """As ``fingerprints``, of the distinct shingles, with ``node``, a hash of their set, and
-    with ``sets`` the ascending hashes themselves as bytes in ``shingles``."""
-    names = [f"fp{i}" for i in range(words)]
-
-    def compute():
-        def f(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-            data, off = utf8(batch.column(batch.schema.get_field_index(text)))
-            parts = [[np.zeros(0, np.uint64)] for _ in names]
-            nodes, raws = [], []
-            for a, b in slices(off):
-                raw = data[off[a] : off[b]].tobytes()
-                local = (off[a : b + 1] - off[a]).tolist()
-                each = [np.unique(np.array(shingle_hashes(raw[i:j], shingle, SEED), np.uint64)) for i, j in zip(local, local[1:])]
-                nodes += [xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in each]
-                if sets:
-                    raws += [x.tobytes() for x in each]
-                sizes = np.fromiter(map(len, each), np.int64, len(each))
-                flat = np.concatenate([np.zeros(0, np.uint64), *each])
-                first = np.cumsum(sizes) - sizes
-                for i, part in enumerate(parts):
-                    part.append(majority_bits(mix(flat + np.uint64(i)) if i else flat, first))
-            out = {n: pa.array(np.concatenate(p).view(np.int64)) for n, p in zip(names, parts)}
-            out["node"] = pa.array(np.array(nodes, np.uint64).view(np.int64))
-            return out | ({"shingles": pa.array(raws, pa.binary())} if sets else {})
+                parts.append(majority_bits(flat, np.cumsum(sizes) - sizes))
+            return {"fp0": pa.array(np.concatenate(parts).view(np.int64))}
 
         return f
 
-    fields = [T.StructField(n, T.LongType()) for n in [*names, "node"]] + [T.StructField("shingles", T.BinaryType())] * sets
-    return extend(docs.select(*dict.fromkeys([*keep, text])), compute, fields, keep)
+    return extend(docs.select(*dict.fromkeys([*keep, text])), compute, [T.StructField("fp0", T.LongType())], keep)
 
 
 # --- bit-sliced comparison ----------------------------------------------------
@@ -269,105 +214,6 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
         yield from compare(held)
 
 
-def similar_links(bucket: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float):
-    """Index pairs that connect the same rows as all pairs of one bucket at most ``radius``
-    bits apart whose sets have the Jaccard similarity. ``bucket`` is sorted."""
-    n = len(fp)
-    size = np.fromiter(map(len, sets), np.int64, n)
-    off = np.concatenate([[0], np.cumsum(size)])
-    distinct, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    of = [ids[x:y] for x, y in zip(off.tolist(), off[1:].tolist())]
-    seen = np.zeros(len(distinct), bool)
-    label = np.arange(n)
-    i = j = np.zeros(0, np.int64)
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    waiting, most = 0, n
-
-    def verify() -> float:
-        """Compare the pairs held, and return the share of them that is linked."""
-        nonlocal i, j, label
-        a, b = (np.concatenate(x) for x in zip(*held))
-        held.clear()
-        open_ = label[a] != label[b]
-        a, b = a[open_], b[open_]
-        order = np.argsort(a, kind="stable")
-        a, b = a[order], b[order]
-        common, last = np.zeros(len(a), np.int64), -1
-        for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
-            if x != last:
-                if last >= 0:
-                    seen[of[last]] = False
-                seen[of[x]], last = True, x
-            common[k] = np.count_nonzero(seen[of[y]])
-        if last >= 0:
-            seen[of[last]] = False
-        ok = common >= similarity * (size[a] + size[b] - common) - 1e-9
-        i, j = spanning_pairs(n, np.append(i, a[ok]), np.append(j, b[ok]))
-        label = np.arange(n)
-        label[i] = j
-        return ok.mean() if len(ok) else 1.0
-
-    for a, b in close_pairs(fp, bucket, radius):
-        low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-        open_ = (label[a] != label[b]) & (low >= similarity * high - 1e-9)
-        held.append((a[open_], b[open_]))
-        waiting += len(held[-1][0])
-        if waiting >= most:
-            # where little is linked, more pairs a time: those of one row then share its marks
-            most = min(2 * most, max(n, 1 << 18)) if verify() < 0.1 else most
-            waiting = 0
-    if held:
-        verify()
-    return i, j
-
-
-def _similar(batches: Iterator[pa.RecordBatch], radius: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Links of rows (bucket, node, shingles, fingerprint words), which come sorted by bucket."""
-
-    def compare(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(held)
-        bucket, node, *fp = (t[c].to_numpy() for c in t.schema.names if c != "shingles")
-        sets = [np.frombuffer(x, np.uint64) for x in t["shingles"].to_pylist()]
-        i, j = similar_links(bucket, np.stack(fp, axis=1).view(np.uint64), sets, radius, similarity)
-        if len(i):
-            yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["a", "b"])
-
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        bucket = batch.column(0).to_numpy()
-        cut = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on
-        if held and (cut or bucket[0] != held[0].column(0)[0].as_py()):
-            yield from compare([*held, batch.slice(0, cut)])
-            held = []
-        elif cut:
-            yield from compare([batch.slice(0, cut)])
-        held.append(batch.slice(cut))
-    if held:
-        yield from compare(held)
-
-
-def verified_links(rows: DataFrame, radius: int, similarity: float, bucket: int = BUCKET, set_bytes: int = SET_BYTES) -> DataFrame:
-    """Links (a, b) of the nodes of one ``root`` at most ``radius`` bits apart whose shingle
-    sets are similar enough. A large root is cut into parts, and each pair of parts is
-    compared apart. ``rows`` has ``root``, ``node``, ``shingles``, ``fp0``, ``fp1``, ..."""
-    words = [c for c in rows.columns if c.startswith("fp")]
-    sizes = rows.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.octet_length("shingles")).alias("bytes"))
-    large = sizes.where((F.col("n") > bucket) | (F.col("bytes") > 2 * set_bytes))
-    parts = F.ceil(F.greatest(F.col("n") / (bucket // 2), F.col("bytes") / set_bytes)).cast("int")
-    part = F.pmod(F.xxhash64("node"), "parts").cast("int")
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.col("parts") - 1),
-        lambda o: F.struct(F.least("part", o).alias("lo"), F.greatest("part", o).alias("hi")),
-    )
-    dealt = rows.join(large.select("root", parts.alias("parts")), "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    dealt = dealt.withColumn("part", part).withColumn("p", F.explode(pairs))
-    dealt = dealt.select(F.xxhash64("root", "p.lo", "p.hi").alias("bucket"), "node", "shingles", *words)
-    ordered = dealt.repartition("bucket").sortWithinPartitions("bucket", "node")
-    return ordered.mapInArrow(lambda it: _similar(it, radius, similarity), "a long, b long")
-
-
 def block_masks(radius: int, blocks: int) -> list[int]:
     """Bit masks of all choices of ``blocks - radius`` blocks, as signed longs."""
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
@@ -376,23 +222,6 @@ def block_masks(radius: int, blocks: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def random_masks(tables: int, bits: int, words: int, seed: int = SEED) -> list[list[int]]:
-    """``tables`` choices of ``bits`` bits among all, as signed longs by word."""
-    rng = np.random.default_rng(seed)
-    out = []
-    for _ in range(tables):
-        mask = [0] * words
-        for b in rng.choice(64 * words, min(bits, 64 * words), replace=False).tolist():
-            mask[b // 64] |= 1 << (b % 64)
-        out.append([m - (1 << 64) if m >> 63 else m for m in mask])
-    return out
-
-
-def bits_apart(similarity: float) -> float:
-    """Share of the bits in which two shingle sets of this similarity (common to all) differ."""
-    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-
-
 def fingerprint_links(distinct: DataFrame, masks: list[list[int]], radius: int, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b) of nodes that connect the same nodes as all pairs of fingerprints at most
     ``radius`` bits apart that agree in the bits of one of ``masks``.
@@ -433,65 +262,38 @@ def _grouped(rows: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFram
 
 def simhash_groups(
     docs: DataFrame, keep: list[str], text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE,
-    radius: int = RADIUS, blocks: int = BLOCKS,
+    radius: int = RADIUS, blocks: int = BLOCKS, stored: Stored | None = None,
 ) -> DataFrame:
     """``keep`` columns of every row, its fingerprint ``fp0`` and ``component_id``: the smallest
     id of any document reachable over links between fingerprints at most ``radius`` bits
     apart. ``keep`` includes the id."""
     if blocks <= radius:
         raise ValueError("there must be more blocks than the radius")
-    stored = Stored(docs.sparkSession)
+    stored = stored or Stored(docs.sparkSession)
     rows = stored.table(fingerprints(docs, keep, text, shingle).withColumn("node", F.col("fp0")))
     distinct = stored.table(rows.groupBy("node", "fp0").agg(F.min(doc_id).alias("first_id")))
     masks = [[m] for m in block_masks(radius, blocks)]
     return _grouped(rows, distinct, fingerprint_links(distinct.select("node", "fp0"), masks, radius))
 
 
-def similar_groups(
-    docs: DataFrame, keep: list[str], text: str = "text", doc_id: str = "doc_id", shingle: int = 5,
-    similarity: float = SIMILARITY, recall: float = RECALL, words: int = WIDE,
-) -> DataFrame:
-    """As ``simhash_groups``, with links between documents whose sets of shingles have the
-    given Jaccard similarity or more.
-
-    Candidates are searched by fingerprints of ``words`` words. The number of bits in a key
-    grows with the logarithm of the number of fingerprints, so buckets stay small, and the
-    number of keys with it, so ``recall`` holds at every size.
-    """
-    stored = Stored(docs.sparkSession)
-    names = [f"fp{i}" for i in range(words)]
-    rows = stored.table(set_fingerprints(docs, keep, text, shingle, words))
-    distinct, n = stored.write(rows.groupBy("node", *names).agg(F.min(doc_id).alias("first_id")))
-    apart = bits_apart(similarity)
-    bits = max(8, int(np.log2(max(n, 2))) - 2)
-    tables = int(np.ceil(np.log(1 - recall) / np.log1p(-((1 - apart) ** bits))))
-    radius = int(64 * words * apart + DEVIATIONS * np.sqrt(apart * (1 - apart) * 64 * words))
-    near = components(fingerprint_links(distinct.select("node", *names), random_masks(tables, bits, words), radius))
-    touched = stored.table(distinct.select("node", "first_id").join(near, "node"))
-    # the texts of the candidates' first documents; nodes without an id are among the rows without
-    ids = touched.select(F.col("first_id").alias(doc_id)).where(F.col(doc_id).isNotNull()).distinct()
-    texts = docs.select(doc_id, text)
-    texts = texts.join(ids, doc_id, "left_semi").unionByName(texts.where(F.col(doc_id).isNull()))
-    sets = set_fingerprints(texts, [doc_id], text, shingle, words, sets=True).drop(doc_id)
-    sets = stored.table(sets.join(touched.select("node", "root"), "node").dropDuplicates(["node"]))
-    return _grouped(rows, distinct, verified_links(sets, radius, similarity))
-
-
 def one_per_group(
-    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = SIMILARITY
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, radius: int = RADIUS
 ) -> DataFrame:
-    """The rows whose id is the smallest of their group by ``similar_groups``, unchanged.
+    """The rows whose id is the smallest of their group by ``simhash_groups``, unchanged.
 
     Of several rows with that id one stays, the first by a hash of all its columns. A row
     without an id belongs to nobody and stays.
     """
-    groups = similar_groups(docs, [doc_id], text, doc_id, shingle, similarity)
-    groups = Stored(docs.sparkSession).table(groups.where(F.col(doc_id) == F.col("component_id")).select(doc_id))
-    kept = groups.distinct().withColumnRenamed(doc_id, "_kept")
-    spare = docs.sparkSession.range(1).select(F.lit(None).cast(docs.schema[doc_id].dataType).alias("_kept"))
-    rows = docs.join(kept.unionByName(spare), F.col(doc_id).eqNullSafe(F.col("_kept")), "left_semi")
-    if groups.count() == kept.count():  # no id twice: nothing to choose, and texts need not be grouped
-        return rows
-    order = Window.partitionBy(doc_id).orderBy(F.xxhash64(*docs.columns))
-    rows = rows.withColumn("_n", F.row_number().over(order))
-    return rows.where(F.col(doc_id).isNull() | (F.col("_n") == 1)).drop("_n")
+    spark, named = docs.sparkSession, Numbered(docs)
+    key = named[doc_id]
+    stored = Stored(spark)
+    groups = simhash_groups(named.df, [key], named[text], key, shingle, radius, stored=stored)
+    kept = stored.table(groups.where(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias("kept")).agg(F.count("*").alias("n")))
+    stored.keep(kept)
+    spare = spark.range(1).select(F.lit(None).cast(named.df.schema[key].dataType).alias("kept"))
+    rows = named.df.join(kept.select("kept").unionByName(spare), F.col(key).eqNullSafe(F.col("kept")), "left_semi")
+    if kept.where("n > 1").isEmpty():  # no id twice: nothing to choose, and texts need not be grouped
+        return named.back(rows)
+    order = Window.partitionBy(key).orderBy(F.xxhash64(*named.columns))
+    rows = rows.withColumn("nth", F.row_number().over(order))
+    return named.back(rows.where(F.col(key).isNull() | (F.col("nth") == 1)))
