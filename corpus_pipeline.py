@@ -1,15 +1,15 @@
 """From raw documents to a token file: five stages, each written and read again.
 
-1. ``language``: documents without a letter, or of no language that the model knows with
-   probability one half, go.
-2. ``near_duplicates``: of each group of documents with near-equal SimHash (five-word
-   shingles, a similarity of 0.8 or more) one stays.
+1. ``language``: documents without a letter, of no language that the model knows with
+   probability one half, or far less probable than texts of that language usually are, go.
+2. ``near_duplicates``: of each group of documents whose SimHash fingerprints (four-word
+   shingles) are linked at four or fewer bits, the one with the smallest id stays.
 3. ``decontamination``: documents that hold a window of a benchmark item go.
 4. ``mixing``: documents are taken as often as the target weights of their sources ask.
 5. ``tokens``: the mix is written as a token file; the result lists its documents.
 
 All stages but the last return the columns of ``documents``, also such that the stages do
-not know. Empty tables pass through every stage.
+not know or have names that they use themselves. Empty tables pass through every stage.
 """
 
 from __future__ import annotations
