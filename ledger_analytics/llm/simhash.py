@@ -284,15 +284,16 @@ def one_per_group(
     Of several rows with that id one stays, the first by a hash of all its columns. A row
     without an id belongs to nobody and stays.
     """
-    spark, named = docs.sparkSession, Numbered(docs)
+    named = Numbered(docs)
     key = named[doc_id]
-    stored = Stored(spark)
+    stored = Stored(docs.sparkSession)
     groups = simhash_groups(named.df, [key], named[text], key, shingle, radius, stored=stored)
-    kept = stored.table(groups.where(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias("kept")).agg(F.count("*").alias("n")))
-    stored.keep(kept)
-    spare = spark.range(1).select(F.lit(None).cast(named.df.schema[key].dataType).alias("kept"))
-    rows = named.df.join(kept.select("kept").unionByName(spare), F.col(key).eqNullSafe(F.col("kept")), "left_semi")
-    if kept.where("n > 1").isEmpty():  # no id twice: nothing to choose, and texts need not be grouped
+    first = F.count_if(F.col(key) == F.col("component_id"))
+    ids = stored.table(groups.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(first.alias("n")).where("n <> 1"))
+    stored.keep(ids)
+    # fewer ids go than stay, and rows without an id meet none
+    rows = named.df.join(ids.where("n = 0").select("id"), F.col(key) == F.col("id"), "left_anti")
+    if ids.where("n > 1").isEmpty():  # no id twice: nothing to choose, and texts need not be grouped
         return named.back(rows)
     order = Window.partitionBy(key).orderBy(F.xxhash64(*named.columns))
     rows = rows.withColumn("nth", F.row_number().over(order))
