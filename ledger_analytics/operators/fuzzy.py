@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledger_analytics.config import AnalysisConfig
 from ledger_analytics.functions.numeric import amount_cents, js_round
-from ledger_analytics.functions.similarity import with_deletion_keys
+from ledger_analytics.functions.similarity import close_candidates
 from ledger_analytics.functions.text import vendor_key, vendor_lower
 from ledger_analytics.operators.profile import LedgerProfile
 from ledger_analytics.sources.materialize import materialize
@@ -25,16 +25,11 @@ _REACH = 2  # bands
 def similar_names(names: DataFrame, column: str) -> DataFrame:
     """(name, other, distance) for every ordered pair of distinct names within distance 2."""
     # Numbers stand in for the names while candidates are looked for: the keys
-    # outnumber the names by hundreds. Stored, so that the numbers stay the same.
+    # outnumber the names. Stored, so that the numbers stay the same.
     numbered = materialize(
         names.select(F.col(column).alias("name"), F.monotonically_increasing_id().alias("id")), "names"
     )
-    keyed = with_deletion_keys(numbered, "name", "key").select("key", "id")
-    # nearly all keys belong to one name; a sum per key finds the shared ones without a sort
-    shared = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
-    kept = materialize(keyed.join(shared.select("key"), "key", "left_semi"), "shared-keys")
-    other = kept.withColumnRenamed("id", "other_id")
-    candidates = kept.join(other, "key").where("id < other_id").select("id", "other_id").distinct()
+    candidates = close_candidates(numbered.select("id", F.col("name").alias("s"), F.lit(0).alias("side")))
     half = (
         candidates.join(numbered, "id")
         .join(numbered.select(F.col("id").alias("other_id"), F.col("name").alias("other")), "other_id")

@@ -3,8 +3,10 @@ sorting one group in one task.
 
 ``percentile`` keeps every distinct value of a group in a single reducer's
 memory. Here equal values are merged first, then values are counted in bins of
-about one percent width (at most a few thousand per group); only the bin that
-holds a wanted rank is sorted.
+about one percent width (at most a few thousand per group). Only the bin that
+holds a wanted rank is looked at further: it is counted again in finer bins, and
+so on for each of ``BINS_PER_OCTAVE``, and what is sorted in the end are the few
+values of the last bin.
 """
 
 from __future__ import annotations
@@ -12,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS_PER_OCTAVE = 64
+# widths of about 1 %, 0.0005 % and 3e-9; a bin has at most a few thousand of the next finer ones
+BINS_PER_OCTAVE = (1 << 6, 1 << 17, 1 << 28)
 
 # name -> 0-based rank in ascending order, as a function of the row count
 RANKS = {
@@ -22,8 +25,8 @@ RANKS = {
 }
 
 
-def _bin(value: Column) -> Column:
-    return F.floor(F.log2(value) * BINS_PER_OCTAVE)
+def _bin(value: Column, level: int = 0) -> Column:
+    return F.floor(F.log2(value) * BINS_PER_OCTAVE[level])
 
 
 def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -48,45 +51,35 @@ def order_statistics(counts: DataFrame, keys: list[str], value: str, ranks: list
     """
     bins = counts.groupBy(*keys, "bin").agg(F.sum("n").alias("bin_n"))
     group = Window.partitionBy(*keys)
-    bins = bins.select(
-        *keys,
-        "bin",
-        (F.sum("bin_n").over(group.orderBy("bin")) - F.col("bin_n")).alias("before"),
-        "bin_n",
+    running = bins.select(
+        *keys, "bin", (F.sum("bin_n").over(group.orderBy("bin")) - F.col("bin_n")).alias("before"), "bin_n",
         F.sum("bin_n").over(group).alias("total"),
-    )
-    wanted = bins.select(
-        *keys,
-        "bin",
-        "before",
-        F.array_compact(
-            F.array(
-                *[
-                    F.when(
-                        (RANKS[r](F.col("total")) >= F.col("before"))
-                        & (RANKS[r](F.col("total")) < F.col("before") + F.col("bin_n")),
-                        F.struct(F.lit(r).alias("name"), RANKS[r](F.col("total")).alias("rank")),
-                    )
-                    for r in ranks
-                ]
-            )
-        ).alias("targets"),
-    ).where(F.size("targets") > 0)
+    )
+    targets = F.array(*[F.struct(F.lit(r).alias("name"), RANKS[r](F.col("total")).alias("rank")) for r in ranks])
+    wanted = _holding(running.withColumn("targets", targets), [*keys, "bin", "before", "targets"])
+    left = counts.join(wanted, [*keys, "bin"])
+    for level in range(1, len(BINS_PER_OCTAVE)):
+        # the rows of the wanted bins only, in bins of the next level
+        left = left.withColumn("bin", _bin(F.col(value), level))
+        bins = left.groupBy(*keys, "before", "targets", "bin").agg(F.sum("n").alias("bin_n"))
+        group = Window.partitionBy(*keys, "before").orderBy("bin")
+        running = bins.withColumn("start", F.col("before") + F.sum("bin_n").over(group) - F.col("bin_n"))
+        running = running.drop("before").withColumnRenamed("start", "before")
+        wanted = _holding(running, [*keys, "bin", "before", "targets"])
+        left = left.drop("before", "targets").join(wanted, [*keys, "bin"])
     inside = Window.partitionBy(*keys, "bin").orderBy(value)
-    picked = (
-        counts.join(wanted, [*keys, "bin"])
-        .withColumn("upto", F.col("before") + F.sum("n").over(inside))
-        .select(
-            *keys,
-            value,
-            F.explode(
-                F.filter(
-                    "targets",
-                    lambda t: (t["rank"] < F.col("upto")) & (t["rank"] >= F.col("upto") - F.col("n")),
-                )
-            ).alias("target"),
-        )
-    )
+    upto = F.col("before") + F.sum("n").over(inside)
+    picked = left.withColumn("upto", upto).select(
+        *keys, value,
+        F.explode(F.filter("targets", lambda t: (t["rank"] < F.col("upto")) & (t["rank"] >= F.col("upto") - F.col("n")))).alias("target"),
+    )
     return picked.groupBy(*keys).agg(
         *[F.max(F.when(F.col("target.name") == r, F.col(value))).alias(r) for r in ranks]
     )
+
+
+def _holding(running: DataFrame, columns: list[str]) -> DataFrame:
+    """The bins of ``running`` (before, bin_n, targets) that hold a wanted rank, with those ranks."""
+    end = F.col("before") + F.col("bin_n")
+    held = F.filter("targets", lambda t: (t["rank"] >= F.col("before")) & (t["rank"] < end))
+    return running.withColumn("targets", held).where(F.size("targets") > 0).select(*columns)

@@ -7,13 +7,15 @@ rows afterwards. A list that is not given leaves its verdict null: not checked.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledger_analytics.config import AnalysisConfig
-from ledger_analytics.functions.similarity import with_deletion_keys
+from ledger_analytics.functions.similarity import close_candidates
 from ledger_analytics.functions.text import name_tokens, normal_name, vendor_lower
+from ledger_analytics.sources.materialize import materialize
 
 
 @dataclass(frozen=True)
@@ -55,19 +57,24 @@ def suspect_addresses(directory: DataFrame, suspects: DataFrame) -> DataFrame:
     )
 
 
-def _word_runs(tokens: Column, least: int) -> Column:
-    """Every run of at least ``least`` consecutive tokens, joined by blanks."""
-    n = F.size(tokens)
-    runs = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), n - least + 1),
-            lambda i: F.transform(
-                F.sequence(F.lit(least), n - i + 1),
-                lambda k: F.array_join(F.slice(tokens, i, k), " "),
-            ),
-        )
+def _contained(names: DataFrame, listed: DataFrame, least: int) -> DataFrame:
+    """(id, listing_id): names that contain a listed one of ``least`` or more words, as whole words.
+
+    A listed name meets others on its rarest word only, at that word's place; a listed name
+    with a word that no name has meets nobody. A name gives one row per word.
+    """
+    tokens = F.split("s", " ")
+    words = names.select("id", F.posexplode(tokens).alias("at", "word"))
+    frequency = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    long = listed.where(F.size(tokens) >= least)
+    parts = long.select(F.col("id").alias("listing_id"), F.size(tokens).alias("size"), F.posexplode(tokens).alias("place", "word"))
+    rarest = parts.join(frequency, "word").groupBy("listing_id", "size").agg(F.count(F.lit(1)).alias("known"), F.min(F.struct("n", "word", "place")).alias("key"))
+    keys = rarest.where("known = size").select("listing_id", F.col("key.word").alias("word"), F.col("key.place").alias("place"))
+    starts = words.join(keys, "word").where("at >= place").select("id", "listing_id", (F.col("at") - F.col("place") + 1).alias("start"))
+    met = starts.join(names.select("id", tokens.alias("name")), "id").join(
+        long.select(F.col("id").alias("listing_id"), tokens.alias("entity")), "listing_id"
     )
-    return F.when(n >= least, runs).otherwise(F.array().cast("array<string>"))
+    return met.where(F.slice("name", F.col("start"), F.size("entity")) == F.col("entity")).select("id", "listing_id").distinct()
 
 
 def sanctions_verdicts(
@@ -77,7 +84,7 @@ def sanctions_verdicts(
 
     ``vendors`` has vendor_lower. A vendor is hit when its normalised name equals a
     listed one, contains a listed name of three or more words, or is at most two
-    edits away from one. All three are equi-joins; the best match is kept.
+    edits away from one. All three are equi-joins of numbers; the best match is kept.
     """
     least = config.sanctions_min_entity_tokens
     names = vendors.select("vendor_lower", normal_name(F.col("vendor_lower")).alias("name")).where(
@@ -94,36 +101,34 @@ def sanctions_verdicts(
         .groupBy("entity")
         .agg(F.min(F.struct("matched_name", "list_type")).alias("listing"))
     )
-    exact = names.join(listed, F.col("name") == F.col("entity")).select(
-        "vendor_lower", "listing", F.lit(0).alias("kind"), F.lit(0).alias("distance")
-    )
-    runs = names.select(
-        "vendor_lower",
-        F.explode(F.array_distinct(_word_runs(F.split("name", " "), least))).alias("entity"),
-    )
-    contained = runs.join(
-        listed.where(F.size(F.split("entity", " ")) >= least), "entity"
-    ).select("vendor_lower", "listing", F.lit(1).alias("kind"), F.lit(0).alias("distance"))
     d = config.sanctions_max_distance
     if not 0 <= d <= 2:
         raise ValueError("sanctions_max_distance must be 0, 1 or 2")
-    within = F.lit(True)
-    if config.sanctions_max_ratio is not None:
-        within = F.col("distance") <= config.sanctions_max_ratio * F.length("name")
-    name_keys = with_deletion_keys(names, "name", "key")
-    list_keys = with_deletion_keys(listed, "entity", "key")
-    near = (
-        name_keys.join(list_keys, "key")
-        .withColumn("distance", F.levenshtein("name", "entity", d))
-        .where((F.col("distance") >= 0) & within)
-        .select("vendor_lower", "listing", F.lit(2).alias("kind"), "distance")
+    # numbers stand in for names and listings until the best match is known
+    number = F.monotonically_increasing_id().alias("id")
+    names = materialize(names.select(number, "vendor_lower", F.col("name").alias("s")), "screened-names")
+    listed = materialize(listed.select(number, F.col("entity").alias("s"), "listing"), "listed-names")
+    # the two tables are numbered apart: ids of listings are below zero
+    both = names.select("id", "s", F.lit(0).alias("side")).unionByName(
+        listed.select((-1 - F.col("id")).alias("id"), "s", F.lit(1).alias("side"))
     )
-    best = (
-        exact.unionByName(contained)
-        .unionByName(near)
-        .groupBy("vendor_lower")
-        .agg(F.min(F.struct("kind", "distance", "listing")).alias("best"))
+    near = close_candidates(both).select("id", (-1 - F.col("other_id")).alias("listing_id"))
+    near = near.join(names.select("id", F.col("s").alias("name")), "id").join(
+        listed.select(F.col("id").alias("listing_id"), F.col("s").alias("entity")), "listing_id"
     )
+    near = near.withColumn("distance", F.levenshtein("name", "entity", d)).where("distance >= 0")
+    if config.sanctions_max_ratio is not None:
+        near = near.where(F.col("distance") <= config.sanctions_max_ratio * F.length("name"))
+    exact = names.join(listed.select(F.col("id").alias("listing_id"), "s"), "s")
+    kinds = [
+        exact.select("id", "listing_id", F.lit(0).alias("kind"), F.lit(0).alias("distance")),
+        _contained(names, listed, least).select("id", "listing_id", F.lit(1).alias("kind"), F.lit(0).alias("distance")),
+        near.select("id", "listing_id", F.lit(2).alias("kind"), "distance"),
+    ]
+    found = reduce(DataFrame.unionByName, kinds).groupBy("id", "listing_id").agg(F.min(F.struct("kind", "distance")).alias("how"))
+    found = found.join(listed.select(F.col("id").alias("listing_id"), "listing"), "listing_id")
+    best = found.groupBy("id").agg(F.min(F.struct("how.kind", "how.distance", "listing")).alias("best"))
+    best = best.join(names.select("id", "vendor_lower"), "id")
     kind = F.element_at(
         F.array(F.lit("exact"), F.lit("contains"), F.lit("fuzzy")), F.col("best.kind") + 1
     )

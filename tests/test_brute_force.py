@@ -9,6 +9,7 @@ from helpers import by_id
 from pyspark.sql import functions as F
 
 from ledger_analytics.config import AnalysisConfig
+from ledger_analytics.functions import similarity
 from ledger_analytics.operators import fuzzy, screening, splits
 from ledger_analytics.operators.order_stats import order_statistics, value_counts
 from ledger_analytics.operators.profile import profile_ledger
@@ -87,6 +88,33 @@ def test_similar_names(spark):
     assert got == want
 
 
+def test_similar_long_names(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "SHARED", 6)
+    rng = random.Random(3)
+    names = set()
+    for n in (16, 17, 18, 19, 20, 21, 30, 500):
+        for _ in range(4):
+            base = "".join(rng.choice("abcdef") for _ in range(n))
+            names.add(base)
+            for _ in range(6):
+                v = list(base)
+                for _ in range(rng.randrange(1, 4)):
+                    at = rng.randrange(len(v))
+                    kind = rng.randrange(3)
+                    v[at : at + 1] = [[], [rng.choice("abcxyz")], [v[at], rng.choice("abcxyz")]][kind]
+                names.add("".join(v))
+    # numbered names, whose first and middle parts all are the same
+    names |= {f"international trading company no {i:04d}" for i in range(0, 1500, 37)}
+    names = sorted(names)
+    df = spark.createDataFrame([(n,) for n in names], "v string")
+    got = {(r.name, r.other, r.distance) for r in fuzzy.similar_names(df, "v").collect()}
+    near = lambda a, b: abs(len(a) - len(b)) <= 2 and (len(a) < 100 or a[:20] == b[:20] or a[-20:] == b[-20:] or a[200:210] in b)
+    want = {(a, b, d) for a in names for b in names if a != b and near(a, b) and (d := edit_distance(a, b)) <= 2}
+    assert got == want and len(want) > 100
+    keys = similarity._segment_keys(df.select(F.xxhash64("v").alias("id"), F.col("v").alias("s"), F.lit(0).alias("side")))
+    assert keys.groupBy("id").count().agg(F.max("count")).first()[0] <= 18
+
+
 # --- split invoices ------------------------------------------------------------------
 
 
@@ -154,6 +182,19 @@ def test_order_statistics(spark, n):
     assert {r.g: (r.median_lo, r.median_hi, r.p75) for r in got.collect()} == want
 
 
+def test_order_statistics_inside_one_bin(spark):
+    rng = random.Random(1)
+    # all distinct, within a millionth of each other, and close pairs
+    data = {"near": [1000 + i * 1e-9 * rng.random() for i in range(900)], "cents": [10_000 + i / 100 for i in range(700)], "two": [5.0, 5.0 + 1e-12]}
+    df = spark.createDataFrame([(g, v) for g, vs in data.items() for v in vs], "g string, v double").repartition(3)
+    got = order_statistics(value_counts(df, ["g"], "v"), ["g"], "v", ["median_lo", "median_hi", "p75"]).collect()
+    for r in got:
+        s = sorted(data[r.g])
+        n = len(s)
+        assert (r.median_lo, r.median_hi, r.p75) == (s[(n - 1) // 2], s[n // 2], s[min(int(n * 0.75), n - 1)])
+    assert len(got) == 3
+
+
 # --- screening ------------------------------------------------------------------------
 
 
@@ -181,11 +222,13 @@ def test_registry(spark):
 
 
 def test_sanctions(spark):
-    vendors = random_names(3, 60) + ["bank melli iran trading co", "bank mely iran", "ab", "xbank melli irany"]
-    entities = random_names(4, 60) + ["Bank Melli, Iran", "ac"]
+    long = " ".join(f"w{i}" for i in range(400))
+    vendors = random_names(3, 60) + ["bank melli iran trading co", "bank mely iran", "ab", "xbank melli irany", long, "inc inc inc inc llc"]
+    entities = random_names(4, 60) + ["Bank Melli, Iran", "ac", "w7 w8 w9", "w398 w399 w400", "inc inc llc"]
     v = spark.createDataFrame([(x,) for x in vendors], "vendor_lower string")
     s = spark.createDataFrame([(x, "SDN") for x in entities], "entity_name string, list_type string")
     got = {x.vendor_lower: x for x in screening.sanctions_verdicts(v, s).collect()}
+    assert len(got) == len(vendors)
     for name in vendors:
         norm = " ".join(words(name))
         kinds = set()
