@@ -466,6 +466,15 @@ FROM messy"""),
     "csv_rejects": sql(LEDGER, MESSY, """SELECT 'amount' AS field, message, count(*) AS n FROM (
   SELECT 'Unparseable amount: "' || CASE WHEN k % 17 = 0 THEN '(' || o_totalprice || ')' ELSE '' END || '"'
     AS message FROM messy WHERE outcome = 'skip') GROUP BY message"""),
+    "csv_mixed_headers": sql(LEDGER, """SELECT CASE WHEN k % 3 = 2 THEN 'INV-' || k ELSE 'ROW' END AS invoice_id,
+  CASE WHEN k % 3 = 2 THEN 'Unknown' ELSE c_mktsegment END AS vendor, floor(o_totalprice * 1e6 + 0.5) / 1e6 AS amount, d AS date,
+  CASE WHEN k % 3 = 2 THEN NULL ELSE o_orderpriority END AS description FROM base"""),
+    "csv_inner_quotes": sql(LEDGER, """SELECT CASE k % 4 WHEN 0 THEN 'Bob The, Builder ' || k || ' Ltd' WHEN 1 THEN 'A "B", C ' || k
+  WHEN 2 THEN 'plain ' || k ELSE 'xy ' || k END AS vendor, floor(o_totalprice * 1e6 + 0.5) / 1e6 AS amount, d AS date,
+  CASE WHEN k % 5 = 0 THEN 'open, to the end ' || k ELSE 'memo' END AS description FROM base"""),
+    "csv_short_rows": sql(LEDGER, """SELECT cast(k AS varchar) AS invoice_id, CASE WHEN k % 4 = 0 THEN 'Unknown' ELSE c_mktsegment END AS vendor,
+  floor(o_totalprice * 1e6 + 0.5) / 1e6 AS amount, DATE '2000-01-01' AS date,
+  CASE WHEN k % 4 = 0 THEN NULL ELSE 'memo' END AS description FROM base WHERE k % 4 <> 2"""),
     "csv_counters": sql(LEDGER, MESSY, "SELECT outcome, count(*) AS n FROM messy GROUP BY outcome"),
     "frame_ledger": """SELECT l_orderkey * 10 + l_linenumber AS txn_id,
   cast(l_orderkey * 10 + l_linenumber AS varchar) AS invoice_id, cast(l_shipdate AS date) AS date,
@@ -580,6 +589,12 @@ FROM (SELECT unnest(range(10)) AS bin) LEFT JOIN scored ON least(composite_risk
 WHERE risk_tier = 'MEDIUM' AND (contains(lower(vendor), 'a') OR contains(lower(invoice_id), 'a'))
   AND amount BETWEEN 5000 AND 200000 AND date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'
   AND list_contains(triggered_detectors, 'DESCRIPTION_AUDIT')"""),
+    **{
+        f"sorted_by_{name}": on_scored(f"""SELECT row_number() OVER (ORDER BY {order}, txn_id) AS position, txn_id, vendor,
+  floor(amount * 1e6 + 0.5) / 1e6 AS amount, date, composite_risk FROM scored
+QUALIFY position BETWEEN {50 * page - 49} AND {50 * page}""")
+        for name, order, page in (("date", "date ASC", 3), ("amount", "amount DESC", 2), ("risk", "composite_risk DESC", 20))
+    },
     "page_count": on_scored("""SELECT count(*) AS n, cast(greatest(ceil(count(*) / 50), 1) AS bigint) AS total_pages
 FROM scored WHERE risk_tier = 'HIGH'"""),
     "flagged_transactions": on_scored(f"SELECT txn_id, composite_risk, risk_tier FROM scored WHERE {FLAGGED}"),

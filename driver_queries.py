@@ -29,6 +29,7 @@ from ledger_analytics.operators.profile import LedgerProfile, profile_frame, pro
 from ledger_analytics.operators.scoring import portfolio_summary, with_composite
 from ledger_analytics.operators.screening import ScreeningLists
 from ledger_analytics.plans import pipeline, reports
+from ledger_analytics.plans.pages import PageIndex
 from ledger_analytics.plans.pipeline import AnalysisResult, analyze
 from ledger_analytics.schema import is_valid_row, to_ledger
 from ledger_analytics.sources.history import RunHistory
@@ -300,6 +301,51 @@ def csv_late_amount_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(got.ledger.select("txn_id", "amount", "date"))
 
 
+def _raw_csv(lines: DataFrame, header: str, path: str) -> str:
+    """Write lines as they are, below a header line."""
+    raw = {"header": True, "sep": "\u0001", "quote": "\u0000", "escape": "\u0000", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    lines.toDF(header).write.options(**raw).csv(path)
+    return path
+
+
+def _csv_folder(spark: SparkSession) -> str:
+    return f"{checkpoint_root(spark)}/ledger_analytics/csv-{uuid.uuid4().hex}"
+
+
+def csv_mixed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose columns stand in another order, and of which some lack one."""
+    rows, base = _orders(spark, sf_dir), _csv_folder(spark)
+    day = "cast(cast(o_orderdate AS date) AS string)"
+    paths = [
+        _raw_csv(rows.where("k % 3 = 0").selectExpr(f"concat_ws(',', o_totalprice, c_mktsegment, {day}, o_orderpriority)"), "amount,vendor,date,memo", f"{base}/a"),
+        _raw_csv(rows.where("k % 3 = 1").selectExpr(f"concat_ws(',', o_orderpriority, {day}, c_mktsegment, o_totalprice)"), "Memo,DATE,vendor, Amount", f"{base}/b"),
+        _raw_csv(rows.where("k % 3 = 2").selectExpr(f"concat_ws(',', {day}, o_totalprice, 'INV-' || k)"), "date,amount,invoice_id", f"{base}/c"),
+    ]
+    led = load_csv(spark, paths).ledger
+    invoice = F.when(F.col("invoice_id").startswith("INV-"), F.col("invoice_id")).otherwise("ROW").alias("invoice_id")
+    return flat(led.select(invoice, "vendor", "amount", "date", "description"))
+
+
+def csv_inner_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes that open inside of a cell, doubled ones, and one that stays open."""
+    name = """CASE k % 4 WHEN 0 THEN 'Bob "The, Builder ' || k || '" Ltd' WHEN 1 THEN '"A ""B"", C ' || k || '"'
+      WHEN 2 THEN 'plain ' || k ELSE 'x""y ' || k END"""
+    memo = "CASE WHEN k % 5 = 0 THEN '\"open, to the end ' || k ELSE 'memo' END"
+    lines = _orders(spark, sf_dir).selectExpr(f"{name} || ',' || o_totalprice || ',' || cast(cast(o_orderdate AS date) AS string) || ',' || {memo}")
+    led = load_csv(spark, _raw_csv(lines, "vendor,amount,date,memo", f"{_csv_folder(spark)}/q")).ledger
+    return flat(led.select("vendor", "amount", "date", "description"))
+
+
+def csv_short_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with cells missing at the end or too many, blank lines, equal headers."""
+    line = """CASE k % 4 WHEN 0 THEN '1,' || k || ',' || o_totalprice
+      WHEN 1 THEN '1,' || k || ',' || o_totalprice || ',' || c_mktsegment || ',memo,extra,"more, cells"'
+      WHEN 2 THEN '   ' ELSE '1,' || k || ',' || o_totalprice || ',' || c_mktsegment || ',memo' END"""
+    path = _raw_csv(_orders(spark, sf_dir).selectExpr(line), "amount,invoice_id,Amount,vendor,memo", f"{_csv_folder(spark)}/s")
+    led = load_csv(spark, path, config=AnalysisConfig(run_date=RUN_DATE)).ledger
+    return flat(led.select("invoice_id", "vendor", "amount", "date", "description"))
+
+
 def csv_late_date_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days above twelve come after many undecided dates only."""
     rows = _orders(spark, sf_dir).where("k > 1000 OR day(o_orderdate) <= 12").selectExpr(
@@ -465,6 +511,16 @@ def _suspect_addresses(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _sorted(key: str, ascending: bool, number: int) -> Query:
+    """A page of the index over all scored rows, with the place of each row."""
+
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        index = _once(spark, sf, f"pages-{key}", lambda: PageIndex.build(scored(spark, sf), key, ascending))
+        return flat(index.page(number).select("position", "txn_id", "vendor", "amount", "date", "composite_risk"))
+
+    return query
+
+
 def _benford(spark: SparkSession, sf: str) -> DataFrame:
     return benford.benford_summary(digits(spark, sf))
 
@@ -477,6 +533,9 @@ QUERIES: dict[str, Query] = {
     "csv_profile": csv_profile,
     "csv_rejects": csv_rejects,
     "csv_counters": csv_counters,
+    "csv_mixed_headers": csv_mixed_headers,
+    "csv_inner_quotes": csv_inner_quotes,
+    "csv_short_rows": csv_short_rows,
     "frame_ledger": frame_ledger,
     "csv_late_amount_evidence": csv_late_amount_evidence,
     "csv_late_date_evidence": csv_late_date_evidence,
@@ -552,6 +611,10 @@ QUERIES: dict[str, Query] = {
     "filter_transactions": _on_scored(
         lambda s: reports.filter_transactions(s, **FILTER).select("txn_id", "vendor", "amount", "date")
     ),
+    "sorted_by_date": _sorted("date", True, 3),
+    "sorted_by_amount": _sorted("amount", False, 2),
+    "sorted_by_risk": _sorted("composite_risk", False, 20),
+    "sorted_by_vendor": _sorted("vendor", True, 2),
     "sorted_page": _on_scored(
         lambda s: reports.page(reports.sort_transactions(s, "vendor", True), 2).select("txn_id", "vendor")
     ),

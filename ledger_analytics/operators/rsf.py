@@ -9,6 +9,7 @@ from ledger_analytics.config import AnalysisConfig
 from ledger_analytics.functions.numeric import total_amount
 from ledger_analytics.operators.order_stats import order_statistics, value_counts
 from ledger_analytics.operators.profile import LedgerProfile
+from ledger_analytics.operators.skew import join_attributes
 
 
 def vendor_stats(ledger: DataFrame) -> DataFrame:
@@ -30,9 +31,8 @@ def with_rsf(
 ) -> DataFrame:
     """Add rsf, rsf_flag, rsf_zscore, vendor_median, vendor_count.
 
-    The statistics hold one row per vendor. No broadcast is forced: adaptive
-    execution broadcasts them when they turn out small, and otherwise splits the
-    partitions of vendors that dominate the ledger.
+    The statistics hold one row per vendor; rows of vendors that dominate the ledger
+    get theirs without a shuffle.
     """
     low_sample = (F.col("vendor_count") < config.rsf_min_vendor_rows) & F.lit(profile.median > 0)
     baseline = F.when(low_sample, F.lit(profile.median)).otherwise(F.col("vendor_median"))
@@ -40,7 +40,7 @@ def with_rsf(
     zscore = F.when(
         F.col("vendor_std") > 0, (F.col("amount") - F.col("vendor_mean")) / F.col("vendor_std")
     ).otherwise(0.0)
-    return ledger.join(vendor_stats(ledger), "vendor", "left").select(
+    return join_attributes(ledger, vendor_stats(ledger), "vendor", "vendor_count", profile.n, "vendor-stats").select(
         *ledger.columns,
         rsf.alias("rsf"),
         (rsf > config.rsf_threshold).alias("rsf_flag"),

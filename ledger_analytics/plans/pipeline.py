@@ -24,6 +24,7 @@ from ledger_analytics.operators.profile import LedgerProfile, profile_ledger
 from ledger_analytics.operators.rsf import with_rsf
 from ledger_analytics.operators.scoring import portfolio_summary, with_composite
 from ledger_analytics.operators.screening import ScreeningLists, suspect_vendors, vendor_verdicts
+from ledger_analytics.operators.skew import join_attributes
 from ledger_analytics.operators.splits import split_invoices
 from ledger_analytics.schema import is_valid_row
 from ledger_analytics.sources.materialize import materialize
@@ -95,9 +96,9 @@ def with_verdicts(rows: DataFrame, verdicts: DataFrame | None) -> DataFrame:
     if verdicts is None:
         return rows.select("*", *[F.lit(None).cast("boolean").alias(c) for c in names])
     keyed = rows.withColumn("vendor_lower", vendor_lower(F.col("vendor")))
-    return keyed.join(verdicts.select("vendor_lower", *names), "vendor_lower", "left").select(
-        *rows.columns, *names
-    )
+    counts = keyed.groupBy("vendor_lower").agg(F.count(F.lit(1)).alias("vendor_rows"))
+    known = counts.join(verdicts.select("vendor_lower", *names), "vendor_lower", "left")
+    return join_attributes(keyed, known, "vendor_lower", "vendor_rows", rows.count(), "verdicts").select(*rows.columns, *names)
 
 
 def analyze(

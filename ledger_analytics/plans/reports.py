@@ -121,14 +121,18 @@ def filter_transactions(
     return reduce(lambda df, t: df.where(t), tests, scored)
 
 
-def sort_transactions(
-    scored: DataFrame, key: str = "composite_risk", ascending: bool = False
-) -> DataFrame:
+def sort_columns(key: str, ascending: bool) -> list[Column]:
     """Order by date, vendor, amount or composite_risk; ties in input order."""
     if key not in ("date", "vendor", "amount", "composite_risk"):
         raise ValueError(f"cannot sort by {key}")
     col = F.collate(F.col("vendor"), "UNICODE") if key == "vendor" else F.col(key)
-    return scored.orderBy(col.asc() if ascending else col.desc(), "txn_id")
+    return [col.asc() if ascending else col.desc(), F.col("txn_id").asc()]
+
+
+def sort_transactions(
+    scored: DataFrame, key: str = "composite_risk", ascending: bool = False
+) -> DataFrame:
+    return scored.orderBy(*sort_columns(key, ascending))
 
 
 def page(ordered: DataFrame, number: int = 1, size: int = 50) -> DataFrame:

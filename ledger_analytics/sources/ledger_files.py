@@ -219,31 +219,52 @@ def _resolve(df: DataFrame, mapping: dict[str, str] | None) -> tuple[dict[str, s
     return found, date_format
 
 
-def _numbered(df: DataFrame) -> DataFrame:
-    """Add txn_id: the line number in the files read one after another, header included.
+# a comma and a cell: characters outside of quotes, and quoted stretches, the last of which may
+# be left open; two quotes inside of such a stretch stand for one
+_CELL = r',((?:[^,"]++|"(?:[^"]++|"")*+(?:"|\z))*+)'
+_QUOTED = r'"((?:[^"]++|"")*+)(?:"|\z)'
+#: Different header lines that one load may have.
+MOST_HEADERS = 10_000
+#: Splits of the input up to which the table of them is sent to all tasks.
+FEW_SPLITS = 100_000
 
-    Rows are counted per file split, the counts are summed up to starting numbers
-    (one record per split), and these are joined back. The rows are not sorted
-    or brought together.
-    """
-    located = df.select(
-        "*",
-        F.col("_metadata.file_path").alias("__file"),
-        F.col("_metadata.file_block_start").alias("__start"),
-    ).withColumn("__at", F.monotonically_increasing_id())
-    splits = located.groupBy("__file", "__start").agg(
-        F.count(F.lit(1)).alias("n"), F.min("__at").alias("__first")
-    )
-    before = (
-        Window.partitionBy(F.lit(0)).orderBy("__file", "__start").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    starts = splits.select(
-        "__file", "__start", "__first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before")
+
+def split_cells(line: Column) -> Column:
+    """Cells of a comma-separated line. Quotes open and close anywhere in a cell."""
+    cells = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_CELL), F.lit(1))
+
+    def plain(cell: Column) -> Column:
+        bare = F.replace(F.regexp_replace(cell, _QUOTED, "$1"), F.lit('""'), F.lit('"'))
+        return F.when(F.contains(cell, F.lit('"')), bare).otherwise(cell)
+
+    return F.transform(cells, plain)
+
+
+def _header_names(line: str | None) -> str:
+    return (line or "").strip("\ufeff").strip().lower()
+
+
+def _raw_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Lines that are not blank, with their file, split, and a number that ascends within a split."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")
     )
-    # the first data row is line 2
-    return located.join(starts, ["__file", "__start"]).select(
-        (F.col("__before") + F.col("__at") - F.col("__first") + 2).alias("txn_id"), *df.columns
+    return lines.where(F.col("value").rlike(r"[^\x00-\x20]")).withColumn("at", F.monotonically_increasing_id())
+
+
+def _splits(lines: DataFrame) -> DataFrame:
+    """One row per split of the input (file, start, first, before, leads, header): the number of
+    its first line, how many data rows lie before it, whether it begins with the header line,
+    and its file's header line."""
+    found = lines.groupBy("file", "start").agg(
+        F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.min_by("value", "at").alias("head")
     )
+    of_file = Window.partitionBy("file").orderBy("start")
+    found = found.withColumn("leads", (F.row_number().over(of_file) == 1).cast("int")).withColumn("header", F.first("head").over(of_file))
+    # a row for each split of some hundred megabytes
+    earlier = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.col("n") - F.col("leads")).over(earlier), F.lit(0))
+    return found.select("file", "start", "first", "leads", "header", before.alias("before"))
 
 
 def load_csv(
@@ -253,28 +274,51 @@ def load_csv(
     config: AnalysisConfig = AnalysisConfig(),
     store: bool = True,
 ) -> LoadResult:
-    """Read comma-separated files that start with a header line.
-
-    Blank lines are skipped, short rows padded, surplus cells ignored; of columns
-    with the same header the last one counts. ``mapping`` names the header of each
-    ledger field; without it headers are matched against the known aliases. With
-    ``store`` the cleaned rows are written once to the checkpoint folder, since an
-    analysis reads them many times.
+    """Read comma-separated files, each of which starts with a header line of its own.
+
+    Blank lines are skipped, short rows padded, surplus cells ignored; of columns with the
+    same header the last one counts. Files may have their columns in another order, or other
+    columns: cells go by the header of their file. Quotes open and close anywhere in a cell.
+    ``mapping`` names the header of each ledger field; without it headers are matched against
+    the known aliases. The text is read twice, to count lines and find headers, and to cut
+    it into cells; ``txn_id`` is the line number in the files read one after another, header
+    lines counted once. With ``store`` the cells and the cleaned rows are written to the
+    checkpoint folder, since an analysis reads them many times.
     """
-    dialect = {"sep": ",", "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
-    first = spark.read.options(header=False, **dialect).csv(path).first()
-    raw = [] if first is None else [(h or "").strip("\ufeff").strip().lower() for h in first]
-    if not raw:
+    lines = _raw_lines(spark, path)
+    splits = materialize(_splits(lines), "csv-splits")
+    heads = splits.where("leads = 1").select("header").distinct().limit(MOST_HEADERS + 1)
+    heads = [(r["header"], r["cells"]) for r in heads.select("header", split_cells(F.col("header")).alias("cells")).collect()]
+    if len(heads) > MOST_HEADERS:
+        raise ValueError(f"the files have more than {MOST_HEADERS} different header lines")
+    first_head = splits.orderBy("file", "start").select("header").first()
+    if not heads or first_head is None:
         extra = [T.StructField(c, T.StringType()) for c in ("outcome", "raw_amount", "raw_date")]
         return LoadResult(spark.createDataFrame([], T.StructType([*LEDGER, *extra])))
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(raw))])
-    lines = spark.read.schema(schema).options(header=True, **dialect).csv(path)
-    positions = {h: f"c{i}" for i, h in enumerate(raw) if h}
-    named = lines.select(*[F.col(c).alias(h) for h, c in positions.items()])
-    found, date_format = _resolve(named, mapping)
-    cells = {name: positions[header] for name, header in found.items()}
-    rows = _clean_rows(_numbered(lines), cells, date_format, config)
-    return LoadResult(materialize(rows, "loaded") if store else rows, found, date_format)
+    # columns in the order of the first file, then what others have besides
+    heads.sort(key=lambda h: (h[0] != first_head["header"], h[0]))
+    at = [{_header_names(c): i for i, c in enumerate(cells) if _header_names(c)} for _, cells in heads]
+    headers = list(dict.fromkeys(h for positions in at for h in positions))
+
+    known = spark.createDataFrame([(h, i) for i, (h, _) in enumerate(heads)], "header string, kind int")
+    places = splits.join(F.broadcast(known), "header").drop("header")
+    few = splits.count() <= FEW_SPLITS
+    rows = lines.join(F.broadcast(places) if few else places, ["file", "start"]).where("leads = 0 OR at > first")
+    number = F.col("before") + F.col("at") - F.col("first") - F.col("leads") + 2
+    rows = rows.select(number.alias("txn_id"), "kind", split_cells(F.col("value")).alias("cells"))
+    rows = materialize(rows, "csv-cells") if store else rows
+
+    def cell(header: str) -> Column:
+        places = [positions.get(header) for positions in at]
+        if len(set(places)) == 1:
+            return F.get("cells", F.lit(places[0]))
+        return F.get("cells", F.get(F.array(*[F.lit(p).cast("int") for p in places]), F.col("kind")))
+
+    found, date_format = _resolve(rows.select(*[cell(h).alias(h) for h in headers]), mapping)
+    columns = {name: f"c{headers.index(header)}" for name, header in found.items()}
+    named = rows.select("txn_id", *[cell(h).alias(f"c{i}") for i, h in enumerate(headers) if h in found.values()])
+    cleaned = _clean_rows(named, columns, date_format, config)
+    return LoadResult(materialize(cleaned, "loaded") if store else cleaned, found, date_format)
 
 
 def load_frame(

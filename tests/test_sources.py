@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledger_analytics.config import AnalysisConfig
+from ledger_analytics.operators import skew
 from ledger_analytics.plans import reports
+from ledger_analytics.plans.pages import PageIndex
 from ledger_analytics.plans.pipeline import analyze
 from ledger_analytics.sources.history import RunHistory
 from ledger_analytics.sources.ledger_files import (
@@ -15,6 +17,7 @@ from ledger_analytics.sources.ledger_files import (
     load_frame,
     parse_amount,
     parse_date,
+    split_cells,
 )
 
 RUN = dt.date(2001, 2, 3)
@@ -95,6 +98,26 @@ def test_csv_line_numbers_over_splits(spark, tmp_path):
     assert [r.invoice_id for r in rows] == [f"{p}-{i}" for p in range(3) for i in range(200 * (p + 1))]
 
 
+def test_csv_headers_per_file(spark, tmp_path):
+    write(tmp_path, "amount,vendor,date\n1,a,2024-01-02\n2,b,2024-01-03\n", "a.csv")
+    write(tmp_path, "\n vendor ,Date,amount,memo\nacme,2024-01-04,3,m\n\n", "b.csv")
+    write(tmp_path, "\n", "c.csv")
+    got = load_csv(spark, str(tmp_path), config=CFG, store=False)
+    assert [(r.txn_id, r.vendor, r.amount, str(r.date), r.description) for r in got.ledger.orderBy("txn_id").collect()] == [
+        (2, "a", 1.0, "2024-01-02", None), (3, "b", 2.0, "2024-01-03", None), (4, "acme", 3.0, "2024-01-04", "m"),
+    ]
+
+
+def test_cells(spark):
+    cases = {
+        "a,b": ["a", "b"], ",": ["", ""], "": [""], 'a"b,c"d,e': ["ab,cd", "e"], '"x""y",z': ['x"y', "z"], '"open, to the end': ["open, to the end"],
+        '""': [""], '"""",q': ['"', "q"], 'x""y': ["xy"], " a , b ": [" a ", " b "], '"a""': ['a"'], ",,x,": ["", "", "x", ""],
+        "," * 3000: [""] * 3001, '"' + '""' * 5000 + '"': ['"' * 5000],
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "line string").select("line", split_cells(F.col("line")).alias("cells"))
+    assert {r.line: r.cells for r in df.collect()} == cases
+
+
 def test_stored_load_reads_back(spark, tmp_path):
     got = load_csv(spark, write(tmp_path, "amount,vendor\n5,x\n"), config=CFG)
     assert [(r.amount, r.vendor, r.date) for r in got.ledger.collect()] == [(5.0, "x", RUN)]
@@ -263,6 +286,35 @@ def test_sort_and_pages(small):
     assert tuple(reports.page_count(small.limit(0), 2).first()) == (0, 1)
 
 
+@pytest.mark.parametrize("key, ascending", [("amount", True), ("date", False), ("vendor", True), ("composite_risk", False)])
+def test_page_index(spark, key, ascending):
+    rows = [(i, f"V{(i * 7) % 5}{'a' if i % 2 else 'B'}", float(i % 13), dt.date(2024, 1, 1 + i % 9), i % 4) for i in range(230)]
+    df = spark.createDataFrame(rows, "txn_id long, vendor string, amount double, date date, composite_risk int").repartition(3)
+    index = PageIndex.build(df, key, ascending, parts=6)
+    want = [r.txn_id for r in reports.sort_transactions(df, key, ascending).collect()]
+    assert index.total == 230 and len(index.ranges) > 2
+    got = [(r.position, r.txn_id) for n in range(1, 8) for r in index.page(n, 40).collect()]
+    assert got == list(enumerate(want, 1))
+    plan = index.page(3, 40)._jdf.queryExecution().optimizedPlan().toString()
+    assert "__part" in plan and index.page(9, 40).collect() == []
+    assert PageIndex.build(df.where("false"), key, ascending).page(1).collect() == []
+
+
+def test_unknown_tier(small):
+    with pytest.raises(ValueError):
+        reports.filter_transactions(small, tier="SEVERE")
+
+
+def test_heavy_keys_are_joined_without_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HEAVY", 4)
+    rows = spark.createDataFrame([(i, "hot" if i % 2 else f"v{i % 40}") for i in range(400)] + [(900, None)], "id int, k string")
+    counts = rows.where("k IS NOT NULL AND k <> 'v2'").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    got = skew.join_attributes(rows, counts, "k", "n", 400, "counts")
+    assert got.columns == ["k", "id", "n"] or set(got.columns) == {"id", "k", "n"}
+    want = {r.id: None if r.k in (None, "v2") else (200 if r.k == "hot" else 10) for r in rows.collect()}
+    assert {r.id: r.n for r in got.collect()} == want
+
+
 def test_histogram_and_ties(small):
     got = {r.bin: r.n for r in reports.score_histogram(small).collect()}
     assert got == {0: 2, 1: 1, 9: 2, **{b: 0 for b in range(2, 9)}}
