@@ -31,10 +31,9 @@ from pyspark.sql import types as T
 
 from ledger_analytics.llm.arrow import extend, slices, utf8
 from ledger_analytics.llm.langid import code_points, is_letter
+from ledger_analytics.llm.storage import Stored
 
 TRAIN_ROWS = 5_000
-#: Longest lexicon; terms come by weight.
-TERMS = 400
 #: Documents that a term must be in, and how much more often in toxic ones (log odds).
 MIN_DOCUMENTS = 4
 MIN_LOG_ODDS = 2.5
@@ -44,7 +43,7 @@ FUZZY_LETTERS = 5
 #: Words on either side of a hit that are its context.
 CONTEXT = 6
 
-# Cues of context, in the languages at hand.
+# Cues of context by default, in the languages at hand; parameters of ``train``.
 QUOTING = frozenset(
     "said says called calls wrote writes quote quoted quotes word words term reported reports sagte sagt schrieb "
     "wort zitat dit disait mot citation dijo dice palabra cita".split()
@@ -142,26 +141,36 @@ def automaton(terms: list[str], stems: list[bool], fuzzy: list[bool] | None = No
     def step(states: frozenset, letter: str | None) -> frozenset:
         out = set()
         for node, edits in states:
+            if edits:
+                if letter in trie.child[node]:
+                    out.add((trie.child[node][letter], edits))
+                continue
             for c, j in trie.child[node].items():
                 if c == letter:
-                    out.add((j, edits))
-                elif edits == 0 and node and fuzzy_below[j]:
+                    out.add((j, 0))
+                elif node and fuzzy_below[j]:
                     out.add((j, 1))  # substitution
-            if edits == 0 and node and fuzzy_below[node]:
+            if node and fuzzy_below[node]:
                 out.add((node, 1))  # insertion
         return closed(out)
 
     start = frozenset({(0, 0)})
-    number, todo, rows = {frozenset(): 0, start: 1}, [start], {0: [0] * (len(letters) + 1)}
+    number, todo = {frozenset(): 0, start: 1}, [start]
+    rows = {0: np.zeros(len(letters) + 1, np.int32)}
+    at = {c: i for i, c in enumerate(letters, 1)}
+
+    def numbered(to: frozenset) -> int:
+        if to not in number:
+            number[to] = len(number)
+            todo.append(to)
+        return number[to]
+
     while todo:
         states = todo.pop()
-        row = []
-        for letter in [None, *letters]:
-            to = step(states, letter)
-            if to not in number:
-                number[to] = len(number)
-                todo.append(to)
-            row.append(number[to])
+        # letters that no term goes on with here all lead to one state
+        row = np.full(len(letters) + 1, numbered(step(states, None)), np.int32)
+        for letter in {c for node, _ in states for c in trie.child[node]}:
+            row[at[letter]] = numbered(step(states, letter))
         rows[number[states]] = row
     n = len(number)
     exact, near, held = np.full(n, -1), np.full(n, -1), np.full(n, -1)
@@ -176,7 +185,7 @@ def automaton(terms: list[str], stems: list[bool], fuzzy: list[bool] | None = No
                     held[i] = t
             elif edits_in[t] and near[i] < 0:
                 near[i] = t
-    table = np.array([rows[i] for i in range(n)], np.int64)
+    table = np.stack([rows[i] for i in range(n)])
     return Automaton(np.array([ord(c) for c in letters], np.uint32), table, exact, near, held)
 
 
@@ -193,6 +202,11 @@ class ToxicityModel:
     fuzzy: list[bool] = field(default_factory=list)  # terms whose misspellings are hits
     weights: list[float] = field(default_factory=lambda: [0.0] * len(FEATURES))
     bias: float | None = None  # None: nothing was learned
+    quoting: frozenset = QUOTING
+    addressing: frozenset = ADDRESSING
+
+    def machine(self) -> "Automaton":
+        return automaton(self.terms, self.stems, self.fuzzy or None)
 
     def score(self, features: np.ndarray) -> np.ndarray:
         if self.bias is None:
@@ -215,7 +229,9 @@ def words_of(data: np.ndarray, off: np.ndarray):
     return points, start, end, np.searchsorted(start, at)
 
 
-def features(data: np.ndarray, off: np.ndarray, machine: Automaton, stems: np.ndarray) -> np.ndarray:
+def features(
+    data: np.ndarray, off: np.ndarray, machine: Automaton, stems: np.ndarray, quoting: frozenset = QUOTING, addressing: frozenset = ADDRESSING
+) -> np.ndarray:
     """Counts per row as ``FEATURES`` names them; counts are taken as log(1 + n)."""
     points, start, end, first = words_of(data, off)
     rows = len(off) - 1
@@ -233,8 +249,8 @@ def features(data: np.ndarray, off: np.ndarray, machine: Automaton, stems: np.nd
         words = [points[s:e].tobytes().decode("utf-32-le") for s, e in zip(start[a:b].tolist(), end[a:b].tolist())]
         marks = signs[start[h]] > signs[start[a]] and signs[end[b - 1]] > signs[end[h]]
         near_mark = signs[min(end[h] + 2, len(points))] > signs[end[h]] and signs[start[h]] > signs[max(start[h] - 2, 0)]
-        quoted[i] = near_mark or (marks and not QUOTING.isdisjoint(words))
-        addressed[i] = not ADDRESSING.isdisjoint(words)
+        quoted[i] = near_mark or (marks and not quoting.isdisjoint(words))
+        addressed[i] = not addressing.isdisjoint(words)
     plain = ~quoted
     by = lambda which: np.bincount(row[which], minlength=rows)
     stem = stems[term[hit]] if len(hit) else np.zeros(0, bool)
@@ -255,7 +271,7 @@ def _candidates(data: np.ndarray, off: np.ndarray) -> list[set]:
     out = []
     for i in range(len(off) - 1):
         s, e = start[first[i] : first[i + 1]].tolist(), end[first[i] : first[i + 1]].tolist()
-        words = {text[a:b] for a, b in zip(s, e) if b - a < 40}
+        words = {text[a:b] for a, b in zip(s, e)}
         stems = {w[:k] + "*" for w in words for k in STEM_LETTERS if k <= len(w)}
         out.append({w for w in words if len(w) > 2} | stems)
     return out
@@ -276,14 +292,18 @@ def _sample(labelled: DataFrame, rows: int) -> tuple[DataFrame, dict[int, float]
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", toxic: str = "toxic",
-          rows: int = TRAIN_ROWS) -> ToxicityModel:
-    """Lexicon and weights from the documents that ``labels`` (doc_id, toxic) covers."""
+          rows: int = TRAIN_ROWS, quoting: frozenset = QUOTING, addressing: frozenset = ADDRESSING) -> ToxicityModel:
+    """Lexicon and weights from the documents that ``labels`` (doc_id, toxic) covers. Words of
+    ``quoting`` near a hit and its quotation signs make it a quotation, words of
+    ``addressing`` near it address somebody."""
     ids = labels.where(F.col(toxic).isNotNull() & F.col(doc_id).isNotNull()).select(
         F.col(doc_id).alias("_id"), F.col(toxic).cast("int").alias("y"), F.xxhash64(doc_id, F.lit(11)).alias("h")
     )
     chosen, stands_for = _sample(ids, rows)
-    # at most 2 * rows ids
-    sample = docs.join(F.broadcast(chosen), docs[doc_id] == F.col("_id")).select("y", F.col(text).alias("text"), F.col("_id"))
+    # at most 2 * rows labels, and of rows with one id the first text
+    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(chosen.select("_id").distinct()), "_id")
+    sample = texts.groupBy("_id").agg(F.min("text").alias("text")).join(F.broadcast(chosen), "_id").select("y", "text", "_id")
+    sample = Stored(docs.sparkSession).table(sample)
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
@@ -308,15 +328,17 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
         sample.select("y", "text").mapInArrow(count, "term string, n1 long, n0 long")
         .groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
         .where(F.col("n1") >= MIN_DOCUMENTS).withColumn("odds", odds).where(F.col("odds") >= MIN_LOG_ODDS)
-        .orderBy(F.desc("n1"), F.desc("odds"), "term").limit(8 * TERMS).collect()
+        .collect()  # words of the sample that are in several toxic documents of it
     )
     chosen_terms, is_stem = _lexicon([(r["term"], r["n1"], r["n0"]) for r in terms])
     if not chosen_terms:
         return ToxicityModel(bias=float(np.log(n1 * stands_for[1] / (n0 * stands_for[0]))))
     stems = np.array(is_stem)
+    spark = docs.sparkSession
+    plain = spark.sparkContext.broadcast(automaton(chosen_terms, is_stem))  # of a size bounded by the sample's terms
 
     def misspelled(batches):
-        machine = automaton(chosen_terms, is_stem)
+        machine = plain.value
         for batch in batches:
             data, off = utf8(batch.column(1))
             for a, b in slices(off):
@@ -335,11 +357,13 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     noisy = {r["term"] for r in met.collect() if (r["n0"] + 0.5) / (n0 + 1) * np.exp(MIN_LOG_ODDS) > (r["n1"] + 0.5) / (n1 + 1) and r["n0"] > 1}
     is_fuzzy = [i not in noisy for i in range(len(chosen_terms))]
 
+    final = spark.sparkContext.broadcast(automaton(chosen_terms, is_stem, is_fuzzy))
+
     def measure(batches):
-        machine = automaton(chosen_terms, is_stem, is_fuzzy)
+        machine = final.value
         for batch in batches:
             data, off = utf8(batch.column(1))
-            parts = [features(data[off[a] : off[b]], off[a : b + 1] - off[a], machine, stems) for a, b in slices(off)]
+            parts = [features(data[off[a] : off[b]], off[a : b + 1] - off[a], machine, stems, quoting, addressing) for a, b in slices(off)]
             x = np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES)), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, batch.column(2)], names=["y", "x", "id"])
@@ -360,24 +384,27 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     exact, miss = FEATURES.index("exact"), FEATURES.index("misspelled")
     # few labelled texts misspell: such a hit counts at least half of an exact one
     weights[miss] = max(weights[miss], weights[exact] / 2)
-    return ToxicityModel(chosen_terms, is_stem, is_fuzzy, weights.tolist(), bias)
+    return ToxicityModel(chosen_terms, is_stem, is_fuzzy, weights.tolist(), bias, quoting, addressing)
 
 
 def _lexicon(terms: list[tuple[str, int, int]]) -> tuple[list[str], list[bool]]:
     """The terms by support; a term is dropped if a chosen stem already meets it, and a stem
     must be met by clearly more documents than a shorter or longer form of it."""
     chosen: list[tuple[str, bool]] = []
-    support: dict[str, int] = {}
+    met: set[str] = set()  # stems
+    support: dict[str, int] = {}  # by beginning, the most documents of a chosen term with it
     for term, n1, _ in sorted(terms, key=lambda t: (-t[1], t[0].endswith("*"), -len(t[0]), t[0])):
         stem = term.endswith("*")
         word = term.rstrip("*")
-        covered = any(s and word.startswith(w) for w, s in chosen)
-        if covered or (stem and any(w.startswith(word) and 1.2 * support[w] >= n1 for w, _ in chosen)):
+        covered = any(word[:k] in met for k in STEM_LETTERS if k <= len(word))
+        if covered or (stem and 1.2 * support.get(word, 0) >= n1):
             continue
         chosen.append((word, stem))
-        support[word] = n1
-        if len(chosen) == TERMS:
-            break
+        if stem:
+            met.add(word)
+        for k in STEM_LETTERS:
+            if k <= len(word):
+                support[word[:k]] = max(support.get(word[:k], 0), n1)
     last = dict(chosen)  # a word that is also a stem: the stem
     for w, s in chosen:
         last[w] = last[w] or s
@@ -403,16 +430,16 @@ def _fit(x: np.ndarray, y: np.ndarray, weigh: np.ndarray, ridge: float = 1e-3, s
 def with_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """The columns ``keep`` (default: all) with ``toxicity``, the probability of the label 1."""
     keep = list(docs.columns) if keep is None else keep
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most TERMS terms
+    # the table is built once; terms are bounded by the labelled sample
+    shared = docs.sparkSession.sparkContext.broadcast((model, model.machine()))
 
     def compute():
-        m = shared.value
-        machine = automaton(m.terms, m.stems, m.fuzzy)
+        m, machine = shared.value
         stems = np.array(m.stems, bool)
 
         def f(batch: pa.RecordBatch) -> dict[str, pa.Array]:
             data, off = utf8(batch.column(batch.schema.get_field_index(text)))
-            parts = [m.score(features(data[off[a] : off[b]], off[a : b + 1] - off[a], machine, stems)) for a, b in slices(off)]
+            parts = [m.score(features(data[off[a] : off[b]], off[a : b + 1] - off[a], machine, stems, m.quoting, m.addressing)) for a, b in slices(off)]
             return {"toxicity": pa.array(np.concatenate(parts) if parts else np.zeros(0))}
 
         return f
