@@ -254,13 +254,67 @@ registered AS (
     FROM jac WHERE j >= 0.7 GROUP BY 1) USING (vendor_lower))"""
 
 
-SUSPECTS = """
-stand_in AS (
+STAND_IN = """
+isolation AS (
   SELECT txn_id, cast(cast(floor(amount) AS bigint) % 101 AS integer) AS isolation_score,
-         cast(floor(amount) AS bigint) % 101 >= 96 AS is_outlier FROM ledger),
+         cast(floor(amount) AS bigint) % 101 >= 96 AS is_outlier FROM ledger)"""
+
+
+def _draw(*parts: str) -> str:
+    key = " || '/' || ".join(parts)
+    return f"cast('0x' || substr(md5({key}), 1, 13) AS bigint)"
+
+
+def _search_path(n: str) -> str:
+    return f"""cast(floor(CASE WHEN {n} <= 1 THEN 0 WHEN {n} = 2 THEN 1
+    ELSE 2 * (ln({n} - 1) + 0.5772156649::double) - 2 * ({n} - 1) / cast({n} AS double) END * 1e9 + 0.5) AS bigint)"""
+
+
+def forest(contamination: float = 0.05, trees: int = 200, samples: int = 256) -> str:
+    """The isolation forest: samples of ranks, trees grown by recursion, paths by running sums."""
+    return f"""
+celled AS (
+  SELECT txn_id, amount, CASE WHEN high <= low THEN 0
+      ELSE cast(greatest(least(floor((ln(1 + amount) - low) / (high - low) * 65536), 65535), 0) AS integer) END AS cell
+  FROM ledger, (SELECT min(ln(1 + amount)) AS low, max(ln(1 + amount)) AS high FROM ledger)),
+ranked AS (SELECT cell, row_number() OVER (ORDER BY cell) - 1 AS rank FROM celled),
+sizes AS (SELECT count(*) AS n, least({samples}, count(*)) AS take FROM ledger),
+runs AS (
+  SELECT tree, i, i * n // take AS lo, (i + 1) * n // take AS hi
+  FROM (SELECT unnest(range({trees})) AS tree), (SELECT unnest(range({samples})) AS i), sizes WHERE i < take),
+samples AS (
+  SELECT tree, list_sort(list(cell)) AS points
+  FROM (SELECT tree, lo + {_draw("'42'", "tree", "'row'", "i")} % (hi - lo) AS rank FROM runs) JOIN ranked USING (rank)
+  GROUP BY tree),
+nodes AS (
+  SELECT tree, 0 AS depth, 0 AS cell, points FROM samples
+  UNION ALL
+  SELECT tree, depth + 1, CASE WHEN above THEN cast(edge AS integer) ELSE cell END,
+         list_filter(points, lambda x: (x >= edge) = above)
+  FROM (SELECT nodes.*, points[1] + 1 + {_draw("'42'", "tree", "depth", "cell")} % (points[-1] - points[1]) AS edge
+        FROM nodes, sizes WHERE points[1] < points[-1] AND depth < ceil(log2(take))), (VALUES (true), (false)) s(above)),
+leaves AS (
+  SELECT tree, nodes.cell, cast(depth AS bigint) * 1000000000 + {_search_path('len(points)')} AS path
+  FROM nodes, sizes WHERE points[1] = points[-1] OR depth >= ceil(log2(take))),
+steps AS (
+  SELECT cell, path - lag(path, 1, 0) OVER (PARTITION BY tree ORDER BY cell) AS step FROM leaves),
+edges AS (
+  SELECT cell, cast(sum(sum(step)) OVER (ORDER BY cell) AS bigint) AS path FROM steps GROUP BY cell),
+raws AS (
+  SELECT txn_id, amount, power(2, -(path / ({trees} * 1000000000::double)) /
+         (CASE WHEN take = 2 THEN 1 ELSE 2 * (ln(take - 1) + 0.5772156649::double) - 2 * (take - 1) / cast(take AS double) END)) AS raw_score
+  FROM celled ASOF JOIN edges ON celled.cell >= edges.cell, sizes),
+isolation AS (
+  SELECT txn_id, amount, raw_score, raw_score >= threshold AS is_outlier,
+         CASE WHEN high > low THEN cast(floor((raw_score - low) / (high - low) * 100 + 0.5) AS integer) ELSE 0 END AS isolation_score
+  FROM raws, (SELECT min(raw_score) AS low, max(raw_score) AS high,
+                     list_reverse_sort(list(raw_score))[cast(floor({contamination}::double * count(*)) AS bigint) + 1] AS threshold FROM raws))"""
+
+
+SUSPECTS = """
 suspects AS (
   SELECT DISTINCT lower(l.vendor) AS vendor_lower
-  FROM ledger l JOIN rsf USING (txn_id) JOIN stand_in USING (txn_id) LEFT JOIN fuzzy USING (txn_id)
+  FROM ledger l JOIN rsf USING (txn_id) JOIN isolation USING (txn_id) LEFT JOIN fuzzy USING (txn_id)
   WHERE rsf_flag OR is_outlier OR fuzzy_dup_group IS NOT NULL),
 suspect_addresses AS (
   SELECT DISTINCT address FROM directory SEMI JOIN suspects USING (vendor_lower) WHERE address IS NOT NULL)"""
@@ -291,7 +345,7 @@ joined AS (
     coalesce(x.dup_count, 1) AS dup_count, f.fuzzy_dup_group IS NOT NULL AS is_fuzzy,
     s.split_cluster_id IS NOT NULL AS is_split_invoice, a.description_risk,
     v.edgar_verified, v.ofac_hit, v.address_valid
-  FROM ledger l JOIN row_digits d USING (txn_id) JOIN stand_in i USING (txn_id) JOIN rsf r USING (txn_id)
+  FROM ledger l JOIN row_digits d USING (txn_id) JOIN isolation i USING (txn_id) JOIN rsf r USING (txn_id)
     JOIN audit a USING (txn_id) LEFT JOIN dups x USING (txn_id) LEFT JOIN fuzzy f USING (txn_id)
     LEFT JOIN splits s USING (txn_id) LEFT JOIN verdicts v ON v.vendor_lower = lower(l.vendor)),
 summed AS (
@@ -371,17 +425,33 @@ def sql(*parts: str) -> str:
 
 
 ALL_DETECTORS = [d[0] for d in fv.DETECTORS]
-_SCORED = (
+_SIGNALS = (
     LEDGER, PROFILE, VENDOR_STATS, RSF, DUPS, SIMILAR, fuzzy(False), SPLITS, DESCRIPTIONS, ROW_DIGITS,
-    LISTS, DIRECTORY, SUSPECTS, ADDRESSES, sanctions_screen("directory"), registry_check("directory"),
-    VERDICTS, SCORED,
 )
+_SCREENED = (
+    LISTS, DIRECTORY, SUSPECTS, ADDRESSES, sanctions_screen("directory"), registry_check("directory"), VERDICTS,
+)
+_SCORED = (*_SIGNALS, STAND_IN, *_SCREENED, SCORED)
 
 
 def on_scored(*parts: str) -> str:
     return sql(*_SCORED, *parts)
 
 
+def with_forest(*parts: str) -> str:
+    """SQL over the parts, of which the forest is one."""
+    return sql(*parts).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+GIVEN_VERDICTS = """
+verdicts AS (
+  SELECT vendor_lower, length(vendor_lower) % 3 <> 0 AS edgar_verified, length(vendor_lower) % 17 = 0 AS ofac_hit,
+         CASE WHEN length(vendor_lower) % 2 = 0 THEN ascii(vendor_lower) % 2 = 0 END AS address_valid
+  FROM (SELECT DISTINCT lower(vendor) AS vendor_lower FROM ledger) WHERE ascii(vendor_lower) % 5 <> 0)"""
+NO_VERDICTS = """
+verdicts AS (SELECT '' AS vendor_lower, NULL::boolean AS edgar_verified, NULL::boolean AS ofac_hit, NULL::boolean AS address_valid WHERE false)"""
+
+
 SCREENED = """
 all_names AS (
   SELECT DISTINCT lower(vendor) AS vendor_lower FROM ledger
@@ -446,6 +516,18 @@ def _detail(d: str) -> str:
 _YES = "CASE WHEN {} THEN 'YES' ELSE '' END"
 _TIERS = ", ".join(f"count(*) FILTER (risk_tier = '{t}') AS {t}" for t in fv.TIERS)
 
+PORTFOLIO_ROW = """SELECT cast(floor(raw + 0.5) AS integer) AS score,
+  CASE WHEN raw >= 80 THEN 'CRITICAL' WHEN raw >= 60 THEN 'HIGH' WHEN raw >= 30 THEN 'MEDIUM' ELSE 'LOW' END
+    AS tier, floor(outlier_rate * 1e6 + 0.5) / 1e6 AS outlier_rate, floor(rsf_flag_rate * 1e6 + 0.5) / 1e6 AS rsf_flag_rate,
+  floor(duplicate_rate * 1e6 + 0.5) / 1e6 AS duplicate_rate, floor(benford_mad * 1e6 + 0.5) / 1e6 AS benford_mad,
+  floor(round_number_rate * 1e6 + 0.5) / 1e6 AS round_number_rate, total_transactions, flagged_transactions,
+  floor(estimated_exposure * 1e6 + 0.5) / 1e6 AS estimated_exposure FROM portfolio"""
+
+
+def _six(c: str) -> str:
+    return f"floor({c} * 1e6 + 0.5) / 1e6"
+
+
 ORACLE: dict[str, str] = {
     "ledger_rows": sql(LEDGER, """SELECT txn_id, invoice_id, date, vendor, floor(amount * 1e6 + 0.5) / 1e6 AS amount, description,
   category, approved_by, address FROM ledger"""),
@@ -489,6 +571,24 @@ FROM lineitem WHERE l_extendedprice > 0""",
     CASE k % 9 WHEN 0 THEN 'Unparseable amount: "1e400"' WHEN 1 THEN 'Unparseable amount: "2000000000000000000"'
       WHEN 2 THEN 'Unparseable amount: "1e30"' ELSE 'Unreadable date: "2024-02-31"' END AS message
   FROM base WHERE k % 9 <= 2 OR k % 11 = 0) GROUP BY field, message"""),
+    "isolation_forest": with_forest(LEDGER, forest(), f"""SELECT txn_id, {_six('amount')} AS amount, {_six('raw_score')} AS raw_score,
+  isolation_score, is_outlier FROM isolation"""),
+    "isolation_small": with_forest(LEDGER, forest(0.12, 25, 64), f"""SELECT txn_id, {_six('amount')} AS amount,
+  {_six('raw_score')} AS raw_score, isolation_score, is_outlier FROM isolation"""),
+    "full_analysis": with_forest(*_SIGNALS, forest(), *_SCREENED, SCORED, f"""SELECT txn_id, invoice_id, date, vendor,
+  {_six('amount')} AS amount, description, category, approved_by, address, {_six('rsf')} AS rsf, rsf_flag,
+  {_six('rsf_zscore')} AS rsf_zscore, {_six('vendor_median')} AS vendor_median, vendor_count, is_exact_duplicate, dup_count,
+  dup_group_key, fuzzy_dup_group, fuzzy_match_txn_id, fuzzy_distance, is_split_invoice, split_cluster_id,
+  {_six('cluster_total')} AS cluster_total, cluster_size, suspected_threshold, benford_first_digit, benford_second_digit,
+  is_round_number, description_risk, array_to_string(triggered_keywords, '|') AS triggered_keywords,
+  {_six('raw_score')} AS raw_score, isolation_score, is_outlier, edgar_verified, ofac_hit, address_valid, composite_risk,
+  array_to_string(triggered_detectors, '|') AS triggered_detectors, risk_tier
+FROM scored LEFT JOIN (SELECT txn_id, dup_group_key FROM dups) USING (txn_id) LEFT JOIN fuzzy USING (txn_id)
+  LEFT JOIN splits USING (txn_id) JOIN (SELECT txn_id, triggered_keywords FROM audit) USING (txn_id)
+  JOIN (SELECT txn_id, raw_score FROM isolation) USING (txn_id)"""),
+    "full_portfolio": with_forest(*_SIGNALS, forest(), NO_VERDICTS, SCORED, BENFORD, PORTFOLIO, PORTFOLIO_ROW),
+    "given_verdicts": with_forest(*_SIGNALS, forest(), GIVEN_VERDICTS, SCORED, """SELECT txn_id, edgar_verified, ofac_hit, address_valid,
+  composite_risk, risk_tier, array_to_string(triggered_detectors, '|') AS triggered_detectors FROM scored"""),
     "isolation_properties": sql(LEDGER, """SELECT count(*) AS n, true AS scores_in_range, true AS enough_outliers,
   true AS outliers_on_top, true AS equal_amounts_equal_scores FROM ledger"""),
     "run_history": sql(*_SCORED, BENFORD, PORTFOLIO, """SELECT 'run-1' AS run_id, 'orders' AS filename, total_transactions,
@@ -538,26 +638,21 @@ FROM similar_names"""),
     "description_audit": sql(LEDGER, PROFILE, DESCRIPTIONS, """SELECT txn_id, description_risk,
   array_to_string(triggered_keywords, '|') AS triggered_keywords FROM audit"""),
     "vendor_directory": sql(LEDGER, DIRECTORY, "SELECT vendor_lower, vendor, address FROM directory"),
-    "suspect_vendors": sql(LEDGER, PROFILE, VENDOR_STATS, RSF, DUPS, SIMILAR, fuzzy(False), DIRECTORY, SUSPECTS,
+    "suspect_vendors": sql(LEDGER, PROFILE, VENDOR_STATS, RSF, DUPS, SIMILAR, fuzzy(False), DIRECTORY, STAND_IN, SUSPECTS,
                            "SELECT vendor_lower FROM suspects"),
-    "suspect_addresses": sql(LEDGER, PROFILE, VENDOR_STATS, RSF, DUPS, SIMILAR, fuzzy(False), DIRECTORY, SUSPECTS,
+    "suspect_addresses": sql(LEDGER, PROFILE, VENDOR_STATS, RSF, DUPS, SIMILAR, fuzzy(False), DIRECTORY, STAND_IN, SUSPECTS,
                              "SELECT address FROM suspect_addresses"),
     "sanctions_screen": sql(LEDGER, LISTS, SCREENED, sanctions_screen("all_names"), """SELECT vendor_lower, ofac_hit,
   matched_name, list_type, match_kind, match_distance FROM sanctioned"""),
     "registry_check": sql(LEDGER, LISTS, SCREENED, registry_check("all_names"), """SELECT vendor_lower, edgar_verified,
   floor(confidence * 1e6 + 0.5) / 1e6 AS confidence, entity_name, cik FROM registered"""),
-    "address_check": sql(LEDGER, PROFILE, VENDOR_STATS, RSF, DUPS, SIMILAR, fuzzy(False), DIRECTORY, SUSPECTS, LISTS,
+    "address_check": sql(LEDGER, PROFILE, VENDOR_STATS, RSF, DUPS, SIMILAR, fuzzy(False), DIRECTORY, STAND_IN, SUSPECTS, LISTS,
                          ADDRESSES, "SELECT address, address_valid, address_type FROM geocoded"),
     "vendor_verdicts": on_scored("SELECT vendor_lower, edgar_verified, ofac_hit, address_valid FROM verdicts"),
     "composite_score": on_scored("""SELECT txn_id, isolation_score, floor(rsf * 1e6 + 0.5) / 1e6 AS rsf, description_risk,
   is_exact_duplicate, is_split_invoice, is_round_number, is_fuzzy, edgar_verified, ofac_hit, address_valid,
   composite_risk, risk_tier, array_to_string(triggered_detectors, '|') AS triggered_detectors FROM scored"""),
-    "portfolio": sql(*_SCORED, BENFORD, PORTFOLIO, """SELECT cast(floor(raw + 0.5) AS integer) AS score,
-  CASE WHEN raw >= 80 THEN 'CRITICAL' WHEN raw >= 60 THEN 'HIGH' WHEN raw >= 30 THEN 'MEDIUM' ELSE 'LOW' END
-    AS tier, floor(outlier_rate * 1e6 + 0.5) / 1e6 AS outlier_rate, floor(rsf_flag_rate * 1e6 + 0.5) / 1e6 AS rsf_flag_rate,
-  floor(duplicate_rate * 1e6 + 0.5) / 1e6 AS duplicate_rate, floor(benford_mad * 1e6 + 0.5) / 1e6 AS benford_mad,
-  floor(round_number_rate * 1e6 + 0.5) / 1e6 AS round_number_rate, total_transactions, flagged_transactions,
-  floor(estimated_exposure * 1e6 + 0.5) / 1e6 AS estimated_exposure FROM portfolio"""),
+    "portfolio": sql(*_SCORED, BENFORD, PORTFOLIO, PORTFOLIO_ROW),
     "vendor_risk": on_scored(f"""SELECT vendor, count(*) AS transaction_count, floor(cast(sum({EXACT}) AS double) * 1e6 + 0.5) / 1e6 AS total_spend,
   round(avg(composite_risk), 2) AS avg_risk_score, max(composite_risk) AS max_risk_score,
   count(*) FILTER ({FLAGGED}) AS flagged_transactions, min(txn_id) AS first_txn FROM scored GROUP BY vendor"""),

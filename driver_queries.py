@@ -5,9 +5,9 @@ vendors are customer groups, with planted spellings, one-off vendors, round
 amounts, clusters under a limit and duplicates. ``driver_oracle`` states the same
 derivation and every query in SQL.
 
-The forest draws a random sample, which SQL cannot reproduce. Queries that are
-compared with SQL and need scores take the two isolation columns from the amount
-by a fixed rule instead; ``isolation_forest`` and ``full_analysis`` use the forest.
+``isolation_forest``, ``isolation_small``, ``full_analysis``, ``full_portfolio`` and
+``given_verdicts`` use the forest. The other queries that need scores take the two
+isolation columns from the amount by a fixed rule, which keeps their SQL short.
 """
 
 from __future__ import annotations
@@ -456,9 +456,9 @@ def _material_only(led: DataFrame, prof: LedgerProfile) -> DataFrame:
     return fuzzy.fuzzy_duplicates(led, prof, cfg)
 
 
-def _isolation(spark: SparkSession, sf: str) -> DataFrame:
+def _isolation(spark: SparkSession, sf: str, config: AnalysisConfig = AnalysisConfig()) -> DataFrame:
     led = stored_ledger(spark, sf)
-    rows = with_isolation(led, fit_forest(led, profile(spark, sf)))
+    rows = with_isolation(led, fit_forest(led, profile(spark, sf), config))
     return flat(rows.select("txn_id", "amount", "raw_score", "isolation_score", "is_outlier"))
 
 
@@ -479,6 +479,19 @@ def _full_analysis(spark: SparkSession, sf: str) -> DataFrame:
     return flat(analyze(stored_ledger(spark, sf), lists=lists(spark, sf)).transactions)
 
 
+def given_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    """The analysis with verdicts that the caller brings, for some of the vendors."""
+    led = stored_ledger(spark, sf)
+    names = led.select(F.lower("vendor").alias("vendor_lower")).distinct().where("ascii(vendor_lower) % 5 <> 0")
+    given = names.selectExpr(
+        "vendor_lower", "length(vendor_lower) % 3 <> 0 AS edgar_verified", "length(vendor_lower) % 17 = 0 AS ofac_hit",
+        "CASE WHEN length(vendor_lower) % 2 = 0 THEN ascii(vendor_lower) % 2 = 0 END AS address_valid",
+    )
+    return flat(analyze(led, verdicts=given).transactions.select(
+        "txn_id", "edgar_verified", "ofac_hit", "address_valid", "composite_risk", "risk_tier", "triggered_detectors"
+    ))
+
+
 def _full_portfolio(spark: SparkSession, sf: str) -> DataFrame:
     return flat(analyze(stored_ledger(spark, sf)).portfolio)
 
@@ -567,6 +580,9 @@ QUERIES: dict[str, Query] = {
         )
     ),
     "isolation_forest": _isolation,
+    "isolation_small": lambda spark, sf: _isolation(
+        spark, sf, AnalysisConfig(contamination=0.12, n_estimators=25, max_samples=64)
+    ),
     "isolation_properties": isolation_properties,
     # screening
     "vendor_directory": _on_ledger(screening.vendor_directory),
@@ -640,4 +656,5 @@ QUERIES: dict[str, Query] = {
     # the whole, with the forest
     "full_analysis": _full_analysis,
     "full_portfolio": _full_portfolio,
+    "given_verdicts": given_verdicts,
 }

@@ -10,13 +10,18 @@ cell edges. That turns the method into three bounded steps:
   replacement from those counts;
 * look every row's score up by cell in a small broadcast table.
 
-The sample depends on the counts and the seed alone, so the result is the same
-for any partitioning and any order of rows. Scores are unchanged by shifting or
-scaling the feature, so the z-score is not applied before cutting cells.
+All draws are MD5 hashes of (seed, tree, what is drawn), so the trees depend on the
+counts and the seed alone: the result is the same for any partitioning, any order of
+rows and any other engine. A tree's rows are one of each of ``max_samples`` equal runs
+of the ranks by cell; an inner node draws its edge by depth and first cell. Path lengths
+are added as whole billionths, so their sums are exact in any order. Scores are
+unchanged by shifting or scaling the feature, so the z-score is not applied before
+cutting cells.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,17 +47,33 @@ def _mean_search_path(n: np.ndarray | int) -> np.ndarray:
     return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, long))
 
 
-def _grow(points: np.ndarray, max_depth: int, rng: np.random.Generator) -> list[tuple[int, float]]:
-    """Leaves of one tree over sorted cell numbers, as (first cell, path length)."""
-    leaves: list[tuple[int, float]] = []
+#: Path lengths are kept in this unit.
+_PATH_UNIT = 1_000_000_000
+
+
+def _draw(*parts: int | str) -> int:
+    """A number of 52 bits, by hash."""
+    return int(hashlib.md5("/".join(map(str, parts)).encode()).hexdigest()[:13], 16)
+
+
+def _sample(n: int, take: int, seed: int, tree: int) -> np.ndarray:
+    """``take`` distinct ranks below ``n``, ascending: one of each of as many equal runs."""
+    edges = [i * n // take for i in range(take + 1)]
+    return np.array([lo + _draw(seed, tree, "row", i) % (hi - lo) for i, (lo, hi) in enumerate(zip(edges, edges[1:]))])
+
+
+def _grow(points: np.ndarray, max_depth: int, seed: int, tree: int) -> list[tuple[int, int]]:
+    """Leaves of one tree over sorted cell numbers, as (first cell, path length in billionths)."""
+    leaves: list[tuple[int, int]] = []
     todo = [(0, len(points), 0, 0)]  # slice of points, depth, first cell covered
     while todo:
         start, stop, depth, cell = todo.pop()
-        low, high = (points[start], points[stop - 1]) if stop > start else (0, 0)
+        low, high = (int(points[start]), int(points[stop - 1])) if stop > start else (0, 0)
         if stop - start <= 1 or depth >= max_depth or low == high:
-            leaves.append((cell, depth + float(_mean_search_path(stop - start))))
+            below = math.floor(float(_mean_search_path(stop - start)) * _PATH_UNIT + 0.5)
+            leaves.append((cell, depth * _PATH_UNIT + below))
             continue
-        edge = int(rng.integers(low + 1, high + 1))
+        edge = low + 1 + _draw(seed, tree, depth, cell) % (high - low)
         middle = start + int(np.searchsorted(points[start:stop], edge))
         todo.append((middle, stop, depth + 1, edge))
         todo.append((start, middle, depth + 1, cell))
@@ -89,28 +110,27 @@ def _path_lengths(spark: SparkSession, counts: pd.DataFrame, cfg: AnalysisConfig
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for trees in batches:
             for tree in trees["id"]:
-                rng = np.random.default_rng([seed, int(tree)])
-                rows = rng.choice(n, size=take, replace=False)
-                points = np.sort(cells[np.searchsorted(upto, rows, side="right")])
-                leaves = _grow(points, max_depth, rng)
+                points = cells[np.searchsorted(upto, _sample(n, take, seed, int(tree)), side="right")]
+                leaves = _grow(points, max_depth, seed, int(tree))
                 yield pd.DataFrame(leaves, columns=["cell", "path"]).assign(tree=int(tree))
 
     slices = max(1, min(cfg.n_estimators, spark.sparkContext.defaultParallelism))
     leaves = (
         spark.range(0, cfg.n_estimators, 1, slices)
-        .mapInPandas(fit, "cell int, path double, tree long")
+        .mapInPandas(fit, "cell int, path long, tree long")
         .toArrow()  # at most n_estimators * max_samples leaves
         .to_pandas()
         .sort_values(["tree", "cell"], kind="stable")
     )
     # each tree is a step function of the cell; sum the steps of all trees
-    step = leaves.groupby("tree")["path"].diff().fillna(leaves["path"]).to_numpy()
+    path, tree = leaves["path"].to_numpy(), leaves["tree"].to_numpy()
+    first = np.r_[True, tree[1:] != tree[:-1]]
+    step = np.where(first, path, path - np.r_[0, path[:-1]])
     edges = leaves["cell"].to_numpy()
     order = np.argsort(edges, kind="stable")
     total = np.cumsum(step[order])
     at = np.searchsorted(edges[order], cells, side="right") - 1
-    # rounding removes the noise of summing, so equal paths score exactly equal
-    return np.round(total[at] / cfg.n_estimators, 9)
+    return total[at] / (cfg.n_estimators * _PATH_UNIT)
 
 
 def fit_forest(
