@@ -20,6 +20,8 @@ def join_attributes(rows: DataFrame, table: DataFrame, key: str, count: str, tot
     adaptive execution. The others are joined as usual.
     """
     table = materialize(table, name)
+    if table.where(F.col(count) * HEAVY > F.lit(total)).isEmpty():
+        return rows.join(table, key, "left")
     heavy = F.broadcast(table.where(F.col(count) * HEAVY > F.lit(total)))
     light = table.where(F.col(count) * HEAVY <= F.lit(total))
     joined = rows.join(heavy, key)

@@ -123,8 +123,9 @@ def analyze(
     rows = with_pair_signals(rows, pair_signals(ledger, profile, config))
     rows = with_row_signals(rows, profile, config)
     rows = with_isolation(rows, fit_forest(ledger, profile, config))
+    if verdicts is not None or lists is not None:
+        rows = materialize(rows, "detected")  # read again for counts by vendor and for the suspects
     if verdicts is None and lists is not None:
-        rows = materialize(rows, "detected")
         verdicts = vendor_verdicts(ledger, suspect_vendors(rows), lists, config)
     transactions = materialize(with_composite(with_verdicts(rows, verdicts), config), "scored")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledger_analytics.config import AnalysisConfig
 from ledger_analytics.functions import similarity
-from ledger_analytics.operators import fuzzy, screening, splits
+from ledger_analytics.operators import fuzzy, order_stats, screening, splits
 from ledger_analytics.operators.order_stats import order_statistics, value_counts
 from ledger_analytics.operators.profile import profile_ledger
 
@@ -182,7 +182,9 @@ def test_order_statistics(spark, n):
     assert {r.g: (r.median_lo, r.median_hi, r.p75) for r in got.collect()} == want
 
 
-def test_order_statistics_inside_one_bin(spark):
+@pytest.mark.parametrize("few", [1, 100, 10_000])
+def test_order_statistics_inside_one_bin(spark, monkeypatch, few):
+    monkeypatch.setattr(order_stats, "SORTED", few)
     rng = random.Random(1)
     # all distinct, within a millionth of each other, and close pairs
     data = {"near": [1000 + i * 1e-9 * rng.random() for i in range(900)], "cents": [10_000 + i / 100 for i in range(700)], "two": [5.0, 5.0 + 1e-12]}
