@@ -4,6 +4,7 @@ self-joins and windows, with none of the blocking the Spark side uses."""
 from __future__ import annotations
 
 from ledger_analytics import fixed_values as fv
+from ledger_analytics.plans.reports import CHI_SQUARE_NOTE, EXPLANATIONS
 
 V0 = "upper(substr(md5(cast(c_nationkey AS varchar)), 1, 8)) || ' ' || c_mktsegment"
 
@@ -528,6 +529,39 @@ def _six(c: str) -> str:
     return f"floor({c} * 1e6 + 0.5) / 1e6"
 
 
+REPORT_ROWS = f"""SELECT txn_id, invoice_id AS "Invoice", date AS "Date", vendor AS "Vendor",
+  floor(amount * 1e6 + 0.5) / 1e6 AS "Amount", coalesce(description, '') AS "Description", risk_tier AS "Risk Tier",
+  composite_risk AS "Composite Score", isolation_score AS "Isolation Score", round(rsf, 2) AS "RSF",
+  {_YES.format('rsf_flag')} AS "RSF Flagged", {_YES.format('is_exact_duplicate')} AS "Exact Duplicate",
+  {_YES.format('is_fuzzy')} AS "Fuzzy Duplicate", {_YES.format('is_split_invoice')} AS "Split Invoice",
+  {_YES.format('is_round_number')} AS "Round Number", description_risk AS "Description Risk",
+  array_to_string(triggered_detectors, ', ') AS "Detectors Triggered" FROM scored"""
+SUMMARY_LINES = f"""SELECT cast(unnest(range(13)) AS integer) AS ordinal,
+  unnest(['Total Transactions', 'Flagged Transactions', 'Estimated Exposure', 'Portfolio Risk Score', 'Risk Tier',
+    'Outlier Rate', 'RSF Flag Rate', 'Duplicate Rate', 'Round Number Rate', 'Benford 1st-digit MAD',
+    'Benford 1st conformity', 'Benford 2nd-digit MAD', 'Benford 2nd conformity']) AS "Metric",
+  unnest([cast(total_transactions AS varchar), cast(flagged_transactions AS varchar),
+    {_fixed('estimated_exposure', 2)}, cast(cast(floor(raw + 0.5) AS integer) AS varchar),
+    CASE WHEN raw >= 80 THEN 'CRITICAL' WHEN raw >= 60 THEN 'HIGH' WHEN raw >= 30 THEN 'MEDIUM' ELSE 'LOW' END,
+    {_fixed('outlier_rate * 100', 2)} || '%', {_fixed('rsf_flag_rate * 100', 2)} || '%',
+    {_fixed('duplicate_rate * 100', 2)} || '%', {_fixed('round_number_rate * 100', 2)} || '%',
+    {_fixed('benford_mad', 4)}, {_mad_label('benford_mad', 1)},
+    {_fixed('(SELECT mad FROM benford WHERE digit_position = 2)', 4)},
+    {_mad_label('(SELECT mad FROM benford WHERE digit_position = 2)', 2)}]) AS "Value"
+FROM portfolio"""
+BENFORD_LINES = f"""SELECT
+  CASE digit_position WHEN 1 THEN '1st digit' ELSE '2nd digit' END AS "Position", round(mad, 4) AS "MAD",
+  CASE digit_position WHEN 1 THEN {_mad_label('mad', 1, 1)} ELSE {_mad_label('mad', 2, 1)} END AS "MAD Category",
+  CASE digit_position WHEN 1 THEN {_mad_label('mad', 1, 2)} ELSE {_mad_label('mad', 2, 2)} END
+    AS "MAD Range (Nigrini)",
+  CASE digit_position WHEN 1 THEN {_mad_label('mad', 1, 3)} ELSE {_mad_label('mad', 2, 3)} END
+    AS "MAD Interpretation",
+  round(chi_square, 4) AS "Chi-Square", cast(CASE digit_position WHEN 1 THEN 15.51 ELSE 16.92 END AS double)
+    AS "Chi-Square Critical (α=0.05)",
+  CASE WHEN chi_square > CASE digit_position WHEN 1 THEN 15.51 ELSE 16.92 END THEN 'YES' ELSE 'NO' END
+    AS "Chi-Square Significant"
+"""
+
 ORACLE: dict[str, str] = {
     "ledger_rows": sql(LEDGER, """SELECT txn_id, invoice_id, date, vendor, floor(amount * 1e6 + 0.5) / 1e6 AS amount, description,
   category, approved_by, address FROM ledger"""),
@@ -595,6 +629,24 @@ FROM scored LEFT JOIN (SELECT txn_id, dup_group_key FROM dups) USING (txn_id) LE
   flagged_transactions, cast(floor(raw + 0.5) AS integer) AS score,
   CASE WHEN raw >= 80 THEN 'CRITICAL' WHEN raw >= 60 THEN 'HIGH' WHEN raw >= 30 THEN 'MEDIUM' ELSE 'LOW' END
     AS tier, total_transactions AS stored_rows FROM portfolio"""),
+    "stored_result_rows": on_scored(f"""SELECT txn_id, invoice_id, date, vendor, {_six('amount')} AS amount, {_six('rsf')} AS rsf,
+  description_risk, is_exact_duplicate, is_split_invoice, ofac_hit, composite_risk, risk_tier,
+  array_to_string(triggered_detectors, '|') AS triggered_detectors FROM scored"""),
+    "report_sheet_all_transactions": on_scored(f"SELECT * EXCLUDE (txn_id) FROM ({REPORT_ROWS})"),
+    "report_sheet_flagged_transactions": on_scored(f"SELECT * EXCLUDE (txn_id) FROM ({REPORT_ROWS} WHERE {FLAGGED})"),
+    "report_sheet_executive_summary": sql(*_SCORED, BENFORD, PORTFOLIO, SUMMARY_LINES),
+    "report_sheet_vendor_risk": on_scored(f"""SELECT vendor AS "Vendor", count(*) AS "Transaction Count",
+  {_six(f'cast(sum({EXACT}) AS double)')} AS "Total Spend", {_six('round(avg(composite_risk), 2)')} AS "Avg Risk Score",
+  max(composite_risk) AS "Max Risk Score", count(*) FILTER ({FLAGGED}) AS "Flagged Transactions" FROM scored GROUP BY vendor"""),
+    "report_sheet_benford_analysis": sql(LEDGER, ROW_DIGITS, BENFORD, f"{BENFORD_LINES.rstrip()}, {_quoted(CHI_SQUARE_NOTE)} AS \"Chi-Square Note\" FROM benford"),
+    "report_sheet_detector_explanations": on_scored(detector_counts(ALL_DETECTORS), f"""SELECT name AS "Detector",
+  basis AS "Methodology Basis", n AS "Transactions Flagged", {_fixed('rate * 100', 2)} || '%' AS "Flag Rate",
+  short AS "Short Description", long AS "Full Explanation"
+FROM dcounts JOIN (VALUES {', '.join('(' + ', '.join(map(_quoted, (d, b, *EXPLANATIONS[d]))) + ')' for d, _, _, b in fv.DETECTORS)})
+  t(detector, basis, short, long) USING (detector)"""),
+    "split_invoices_limits": sql(LEDGER, SPLITS.replace("[1000, 2500, 5000, 10000, 25000, 50000, 100000]", "[30000, 180000]"),
+                                 f"""SELECT txn_id, split_cluster_id, {_six('cluster_total')} AS cluster_total,
+  cluster_size, suspected_threshold FROM splits"""),
     "risk_report": on_scored(f"""SELECT * FROM (VALUES ('executive_summary', 13), ('benford_analysis', 2),
   ('detector_explanations', 12)) t(sheet, n)
 UNION ALL SELECT 'flagged_transactions', count(*) FILTER ({FLAGGED}) FROM scored
@@ -706,41 +758,13 @@ FROM scored"""),
   floor((unnest([cast(isolation_score AS double), least(rsf * 20, 100), cast(description_risk AS double), 0,
           CASE WHEN dup_count > 1 THEN 100 ELSE 0 END])) * 1e6 + 0.5) / 1e6 AS bar
 FROM scored"""),
-    "report_rows": on_scored(f"""SELECT txn_id, invoice_id AS "Invoice", date AS "Date", vendor AS "Vendor",
-  floor(amount * 1e6 + 0.5) / 1e6 AS "Amount", coalesce(description, '') AS "Description", risk_tier AS "Risk Tier",
-  composite_risk AS "Composite Score", isolation_score AS "Isolation Score", round(rsf, 2) AS "RSF",
-  {_YES.format('rsf_flag')} AS "RSF Flagged", {_YES.format('is_exact_duplicate')} AS "Exact Duplicate",
-  {_YES.format('is_fuzzy')} AS "Fuzzy Duplicate", {_YES.format('is_split_invoice')} AS "Split Invoice",
-  {_YES.format('is_round_number')} AS "Round Number", description_risk AS "Description Risk",
-  array_to_string(triggered_detectors, ', ') AS "Detectors Triggered" FROM scored"""),
-    "executive_summary": sql(*_SCORED, BENFORD, PORTFOLIO, f"""SELECT cast(unnest(range(13)) AS integer) AS ordinal,
-  unnest(['Total Transactions', 'Flagged Transactions', 'Estimated Exposure', 'Portfolio Risk Score', 'Risk Tier',
-    'Outlier Rate', 'RSF Flag Rate', 'Duplicate Rate', 'Round Number Rate', 'Benford 1st-digit MAD',
-    'Benford 1st conformity', 'Benford 2nd-digit MAD', 'Benford 2nd conformity']) AS "Metric",
-  unnest([cast(total_transactions AS varchar), cast(flagged_transactions AS varchar),
-    {_fixed('estimated_exposure', 2)}, cast(cast(floor(raw + 0.5) AS integer) AS varchar),
-    CASE WHEN raw >= 80 THEN 'CRITICAL' WHEN raw >= 60 THEN 'HIGH' WHEN raw >= 30 THEN 'MEDIUM' ELSE 'LOW' END,
-    {_fixed('outlier_rate * 100', 2)} || '%', {_fixed('rsf_flag_rate * 100', 2)} || '%',
-    {_fixed('duplicate_rate * 100', 2)} || '%', {_fixed('round_number_rate * 100', 2)} || '%',
-    {_fixed('benford_mad', 4)}, {_mad_label('benford_mad', 1)},
-    {_fixed('(SELECT mad FROM benford WHERE digit_position = 2)', 4)},
-    {_mad_label('(SELECT mad FROM benford WHERE digit_position = 2)', 2)}]) AS "Value"
-FROM portfolio"""),
+    "report_rows": on_scored(REPORT_ROWS),
+    "executive_summary": sql(*_SCORED, BENFORD, PORTFOLIO, SUMMARY_LINES),
     "detector_explanations": on_scored(detector_counts(ALL_DETECTORS), """SELECT ordinal, name AS "Detector",
   basis AS "Methodology Basis", n AS "Transactions Flagged", """ + _fixed("rate * 100", 2) + """ || '%' AS "Flag Rate"
 FROM dcounts JOIN (VALUES """ + ", ".join(f"({_quoted(d)}, {_quoted(b)})" for d, _, _, b in fv.DETECTORS)
         + """) b(detector, basis) USING (detector)"""),
-    "benford_rows": sql(LEDGER, ROW_DIGITS, BENFORD, f"""SELECT
-  CASE digit_position WHEN 1 THEN '1st digit' ELSE '2nd digit' END AS "Position", round(mad, 4) AS "MAD",
-  CASE digit_position WHEN 1 THEN {_mad_label('mad', 1, 1)} ELSE {_mad_label('mad', 2, 1)} END AS "MAD Category",
-  CASE digit_position WHEN 1 THEN {_mad_label('mad', 1, 2)} ELSE {_mad_label('mad', 2, 2)} END
-    AS "MAD Range (Nigrini)",
-  CASE digit_position WHEN 1 THEN {_mad_label('mad', 1, 3)} ELSE {_mad_label('mad', 2, 3)} END
-    AS "MAD Interpretation",
-  round(chi_square, 4) AS "Chi-Square", cast(CASE digit_position WHEN 1 THEN 15.51 ELSE 16.92 END AS double)
-    AS "Chi-Square Critical (α=0.05)",
-  CASE WHEN chi_square > CASE digit_position WHEN 1 THEN 15.51 ELSE 16.92 END THEN 'YES' ELSE 'NO' END
-    AS "Chi-Square Significant" FROM benford"""),
+    "benford_rows": sql(LEDGER, ROW_DIGITS, BENFORD, f"{BENFORD_LINES}FROM benford"),
     "exposure_text": on_scored(f"""SELECT vendor, CASE WHEN s >= 1000000 THEN '$' || {_fixed('s / 1000000', 2)} || ' million'
   WHEN s >= 1000 THEN '$' || {_fixed('s / 1000', 1)} || 'k' ELSE {_money('s')} END AS spend
 FROM (SELECT vendor, cast(sum({EXACT}) AS double) AS s FROM scored GROUP BY vendor)"""),

@@ -404,6 +404,37 @@ def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of a stored run, read back after another run was stored and this one again."""
+    store = RunHistory(spark, f"{checkpoint_root(spark)}/ledger_analytics/history-{uuid.uuid4().hex}")
+    bundle = _bundle(spark, sf_dir)
+    few = replace(bundle, transactions=bundle.transactions.where("risk_tier = 'LOW'"))
+    for run_id, result in (("run-1", few), ("run-2", few), ("run-1", bundle)):
+        store.append(result, run_id, "orders")
+    return flat(store.load("run-1").transactions.select(
+        "txn_id", "invoice_id", "date", "vendor", "amount", "rsf", "description_risk", "is_exact_duplicate",
+        "is_split_invoice", "ofac_hit", "composite_risk", "risk_tier", "triggered_detectors",
+    ))
+
+
+def _sheet(name: str) -> Query:
+    """A sheet of the written report, read back from its files."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        def write() -> dict[str, DataFrame]:
+            base = f"{checkpoint_root(spark)}/ledger_analytics/report-{uuid.uuid4().hex}"
+            bundle = _bundle(spark, sf_dir)
+            paths = reports.write_report(bundle, base)
+            sheets = reports.report_tables(bundle)
+            # an empty cell is an empty text
+            options = {"header": True, "multiLine": True, "escape": '"', "nullValue": "\u0000"}
+            return {n: spark.read.schema(sheets[n].schema).options(**options).csv(paths[n]) for n in paths}
+
+        return flat(_once(spark, sf_dir, "sheets", write)[name])
+
+    return query
+
+
 def risk_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the six-sheet report and read back the rows per sheet."""
     base = f"{checkpoint_root(spark)}/ledger_analytics/report-{uuid.uuid4().hex}"
@@ -555,7 +586,13 @@ QUERIES: dict[str, Query] = {
     "csv_extreme_amounts": csv_extreme_amounts,
     "csv_date_rejects": csv_date_rejects,
     "run_history": run_history,
+    "stored_result_rows": stored_result_rows,
     "risk_report": risk_report,
+    **{
+        f"report_sheet_{name}": _sheet(name)
+        for name in ("executive_summary", "flagged_transactions", "all_transactions", "detector_explanations",
+                     "benford_analysis", "vendor_risk")
+    },
     # detectors
     "ledger_profile": lambda spark, sf: flat(profile_frame(stored_ledger(spark, sf))),
     "row_digits": _on_ledger(_row_digits),
@@ -574,6 +611,9 @@ QUERIES: dict[str, Query] = {
     "fuzzy_duplicates_material": _on_profiled(_material_only),
     "split_anchors": _on_profiled(splits.split_anchors),
     "split_invoices": _on_profiled(splits.split_invoices),
+    "split_invoices_limits": _on_profiled(
+        lambda led, p: splits.split_invoices(led, p, replace(AnalysisConfig(), approval_thresholds=(30000.0, 180000.0)))
+    ),
     "description_audit": _on_profiled(
         lambda led, p: descriptions.with_description_audit(led, p).select(
             "txn_id", "description_risk", "triggered_keywords"

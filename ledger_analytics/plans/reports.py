@@ -14,7 +14,7 @@ from ledger_analytics.operators.order_stats import order_statistics, value_count
 from ledger_analytics.operators.scoring import is_flagged
 
 # What each detector looks at and why, for the explanation sheet.
-_EXPLANATIONS = {
+EXPLANATIONS = {
     "BENFORD_1ST": (
         "Leading digits are not distributed as Benford's law predicts.",
         "In naturally grown amounts a leading 1 is about six times as frequent as a leading 9. "
@@ -75,7 +75,7 @@ def detector_dimension(spark: SparkSession, detectors: list[str] | None = None)
     """(ordinal, detector, name, label, short, long, basis), in the given or standard order."""
     info = {key: (name, label, basis) for key, name, label, basis in fv.DETECTORS}
     rows = [
-        (i, d, info[d][0], info[d][1], *_EXPLANATIONS[d], info[d][2])
+        (i, d, info[d][0], info[d][1], *EXPLANATIONS[d], info[d][2])
         for i, d in enumerate(detectors or list(info))
     ]
     return spark.createDataFrame(
@@ -499,14 +499,16 @@ def detector_explanations(scored: DataFrame) -> DataFrame:
     )
 
 
+CHI_SQUARE_NOTE = (
+    "Chi-square adds up the squared gaps between observed and expected digit shares; larger means "
+    "further from Benford. Critical values at 5%: 15.51 (first digit, 8 degrees of freedom) and "
+    "16.92 (second digit, 9)."
+)
+
+
 def benford_rows(benford: DataFrame) -> DataFrame:
     """Two lines of the Benford sheet."""
     pos, mad = F.col("digit_position"), F.col("mad")
-    note = (
-        "Chi-square adds up the squared gaps between observed and expected digit shares; larger means "
-        "further from Benford. Critical values at 5%: 15.51 (first digit, 8 degrees of freedom) and "
-        "16.92 (second digit, 9)."
-    )
     return benford.orderBy("digit_position").select(
         F.when(pos == 1, "1st digit").otherwise("2nd digit").alias("Position"),
         F.round(mad, 4).alias("MAD"),
@@ -518,7 +520,7 @@ def benford_rows(benford: DataFrame) -> DataFrame:
         F.when(F.col("chi_square") > chi_critical(pos), "YES").otherwise("NO").alias(
             "Chi-Square Significant"
         ),
-        F.lit(note).alias("Chi-Square Note"),
+        F.lit(CHI_SQUARE_NOTE).alias("Chi-Square Note"),
     )
 
 

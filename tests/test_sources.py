@@ -1,4 +1,6 @@
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -234,6 +236,43 @@ def test_history_keeps_all_by_default(spark, tmp_path, result):
     assert store.history().count() == 5
 
 
+def test_interrupted_append_leaves_no_run(spark, tmp_path, result):
+    store = RunHistory(spark, str(tmp_path / "runs"))
+    store.append(result, "a", "f.csv", dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc))
+    broken = replace(result, round_number=result.round_number.withColumn("x", F.raise_error(F.lit("lost"))))
+    for run_id in ("a", "b"):
+        with pytest.raises(Exception, match="lost"):
+            store.append(broken, run_id, "g.csv")
+    # the old run is as it was, the new one is not there, and what it wrote can be swept away
+    assert [(r.run_id, r.filename) for r in store.history().collect()] == [("a", "f.csv")]
+    assert store.load("b") is None and store.load("a").portfolio.first() == result.portfolio.first()
+    assert len(store.sweep()) == 2 and store.sweep() == []
+    assert store.load("a").transactions.count() == result.transactions.count()
+
+
+def test_manifest_that_is_being_written_is_no_run(spark, tmp_path, result):
+    store = RunHistory(spark, str(tmp_path / "runs"))
+    store.append(result, "a", "f.csv")
+    (tmp_path / "runs" / "runs" / "_0123").write_text('{"run_id": "half')
+    assert [r.run_id for r in store.history().collect()] == ["a"]
+
+
+def test_writers_of_different_runs_do_not_meet(spark, tmp_path, result):
+    stores = [RunHistory(spark, str(tmp_path / "runs")) for _ in range(3)]
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda s: s[1].append(result, f"run-{s[0]}", "f.csv"), enumerate(stores)))
+    assert {r.run_id for r in stores[0].history().collect()} == {"run-0", "run-1", "run-2"}
+    assert all(stores[0].load(f"run-{i}") is not None for i in range(3))
+
+
+def test_run_stored_again_replaces_the_old_one(spark, tmp_path, result):
+    store = RunHistory(spark, str(tmp_path / "runs"))
+    store.append(result, "a", "f.csv")
+    smaller = replace(result, transactions=result.transactions.limit(3))
+    assert [r.filename for r in store.append(smaller, "a", "g.csv").collect()] == ["g.csv"]
+    assert store.load("a").transactions.count() == 3 and store.sweep() == []
+
+
 def test_report_sheets(spark, tmp_path, result):
     paths = reports.write_report(result, str(tmp_path / "report"), format="parquet")
     counts = {name: spark.read.parquet(p).count() for name, p in paths.items()}
