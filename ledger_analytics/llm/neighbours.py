@@ -42,7 +42,7 @@ QUERIES = 512
 PARTNERED = 64
 MOST_QUERIES = 1 << 16
 BLOCK = 2048
-#: Members that a cell has on average, for one label.
+#: Members that a cell has on average, of the label with most vectors.
 PER_CELL = 8
 MAX_WORDS = 256
 
@@ -128,22 +128,20 @@ def usable(embedding: str, label: str) -> Column:
     return F.coalesce(F.col(label).isNotNull() & (F.size(e) > 0) & ~bad & F.exists(e, lambda v: v != 0), F.lit(False))
 
 
-def _sampled(distinct: DataFrame, n: int, seed: int, columns: list[str], skip: int = 0) -> list:
-    """The first rows by hash after ``skip`` others, at most ``n``."""
-    h = F.xxhash64("uid", F.lit(seed))
-    return distinct.orderBy(h, "uid").offset(skip).limit(n).select(*columns).collect()
+def _by_hash(distinct: DataFrame, seed: int) -> DataFrame:
+    return distinct.orderBy(F.xxhash64("uid", F.lit(seed)), "uid")
 
 
-def _visits(distinct: DataFrame, index: MultiIndex, cosine: float, recall: float) -> int | None:
+def _visits(distinct: DataFrame, queries: DataFrame, index: MultiIndex, cosine: float, recall: float) -> int | None:
     """Cells to visit so that a vector finds ``recall`` of its partners, on average over vectors
-    that have partners, or None if too few of them were found. If all vectors were compared
+    of ``queries`` that have partners, or None if too few of them were found. If all vectors were compared
     with all, and few have partners, the cells that hold every partner."""
     shares: dict[int, float] = {}
     partnered = looked = 0
     ask = QUERIES
     while partnered < PARTNERED and looked < MOST_QUERIES:
         ask = min(ask, MOST_QUERIES - looked)
-        rows = _sampled(distinct, ask, 5, ["uid", "group", "vec"], looked)
+        rows = _by_hash(queries, 5).offset(looked).limit(ask).collect()
         looked += len(rows)
         if rows:
             for rank, share, _ in (found := _partners(distinct, index, rows, cosine)):
@@ -272,17 +270,19 @@ def _blocks(filed: DataFrame) -> DataFrame:
 
 def _links_of(distinct: DataFrame, stored: Stored, cosine: float, recall: float) -> DataFrame:
     """(a, b, n): with a = b the link sum n of a, else an edge. Vectors of one length."""
-    size = distinct.agg(F.count("*").alias("rows"), F.countDistinct("group").alias("groups")).first()
-    sample = _sampled(distinct, SAMPLE, 4, ["vec"])
+    # cells are shared by all labels, and the label with most vectors fills them most
+    largest = distinct.groupBy("group").agg(F.count("*").alias("rows")).agg(F.max("rows")).first()[0]
+    sample = _by_hash(distinct, 4).limit(SAMPLE).select("vec").collect()
     x = _matrix(pa.array([r["vec"] for r in sample], pa.list_(pa.float64())))
     half = x.shape[1] // 2
 
     def indexed(per_cell: int) -> MultiIndex:
-        words = int(np.clip(np.ceil(np.sqrt(size["rows"] / size["groups"] / per_cell)), 2, MAX_WORDS))
+        words = int(np.clip(np.ceil(np.sqrt(largest / per_cell)), 2, MAX_WORDS))
         return MultiIndex(k_means(x[:, :half], words), k_means(x[:, half:], words))
 
     index = indexed(PER_CELL)
-    visits = _visits(distinct, index, cosine, recall)
+    queries = stored.table(_by_hash(distinct, 5).limit(MOST_QUERIES).select("uid", "group", "vec"))
+    visits = _visits(distinct, queries, index, cosine, recall)
     if visits is None:
         index = indexed(BLOCK)  # many cells are in reach: fewer and larger ones
 

@@ -162,6 +162,25 @@ def test_rare_neighbours(spark, monkeypatch, most):
     assert near.sum() >= 40 and [got[i] for i in range(len(x))] == near.sum(1).tolist()
 
 
+def test_one_large_label_among_many_small_ones(spark):
+    """The grid fits the large label, and finds nearly all of its links."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(700, 24))
+    x = np.repeat(centres, 5, 0) + 0.22 * rng.normal(size=(3500, 24))
+    small = rng.normal(size=(1500, 24))
+    rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(x)]
+    rows += [(len(x) + i, [float(v) for v in r], i + 1) for i, r in enumerate(small)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.93
+    np.fill_diagonal(near, False)
+    got = {r.vec_id: r.n_links for r in neighbours.near_duplicates(df).collect()}
+    found = np.array([got[i] for i in range(len(x))])
+    assert (found <= near.sum(1)).all() and near.sum() > 5000
+    assert found.sum() >= 0.99 * near.sum()
+    assert all(got[i] == 0 for i in range(len(x), len(rows)))
+
+
 def test_multi_sequence_order():
     rng = np.random.default_rng(4)
     index = neighbours.MultiIndex(rng.normal(size=(6, 3)), rng.normal(size=(5, 3)))
