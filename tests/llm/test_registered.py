@@ -1,8 +1,14 @@
 """The registered corpus queries on the smallest tables."""
 
+import math
 import os
+import re
+import struct
+import zlib
+from collections import defaultdict
 
 import pytest
+import xxhash
 
 import corpus_pipeline
 from ledger_analytics.llm.queries import ORACLE, QUERIES
@@ -49,6 +55,52 @@ def test_query(spark, name):
         assert sorted(tuple(r[c] for c in at) for r in rows) == sorted(result.fetchall())
 
 
+def _draw(key: int, name: str) -> float:
+    h = xxhash.xxh64(name.encode(), seed=xxhash.xxh64(struct.pack("<q", key), seed=42).intdigest()).intdigest()
+    return -math.log((h % (1 << 52) + 0.5) / (1 << 52))
+
+
+def test_sharding_rows(spark):
+    """Sizes, checksums, slots, and the descent of region, rack and shard draw by draw."""
+    rows = QUERIES["op3_sharding"](spark, SF).collect()
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    slots = defaultdict(list)
+    for r in rows:
+        assert (r.law, r.size, r.text_crc32) == ("key", len(texts[r.doc_id]) + 1, zlib.crc32(texts[r.doc_id]))
+        slots[r.shard].append(r.slot)
+        region = min((_draw(r.doc_id, f"region region{i}") / 4, i) for i in range(2))[1]
+        rack = min((_draw(r.doc_id, f"rack region{region} rack{region}.{i}") / 2, i) for i in range(2))[1]
+        first = 4 * region + 2 * rack
+        assert r.shard == min((_draw(r.doc_id, f"shard {i}"), i) for i in (first, first + 1))[1]
+        assert r.grown_shard in (r.shard, 8)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    new = sum(r.grown_shard == 8 for r in rows) / len(rows)
+    assert 0.03 < new < 0.25
+
+
+def _cut(url: str | None) -> tuple[str, str]:
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    host = re.split(r"[/?#]", rest, maxsplit=1)[0]
+    return re.sub("[A-Z]", lambda c: c[0].lower(), host), re.split(r"[?#]", rest[len(host):], maxsplit=1)[0]
+
+
+def test_url_rows(spark):
+    """Host, path and rule of every page, and the verdict where a rule fits."""
+    rules = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
+    urls = {r.page_id: r.url for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    used = set()
+    for r in QUERIES["op7_url_filter"](spark, SF).collect():
+        host, path = _cut(urls[r.page_id])
+        fit = [t for t in rules if f".{host}".endswith("." + t.split("/", 1)[0]) and path.startswith("/" + t.split("/", 1)[1])]
+        rule = max(fit, key=len, default=None)
+        assert (r.host, r.path, r.rule) == (host, path, rule)
+        assert r.verdict == rules[rule] if rule else r.verdict in ("allow", "block")
+        used.add(rule)
+    assert len(used) > 1
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, before = docs.columns, docs
