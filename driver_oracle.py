@@ -210,7 +210,8 @@ directory AS (
   FROM ledger GROUP BY 1)"""
 
 
-def sanctions_screen(vendors: str) -> str:
+def sanctions_screen(vendors: str, ratio: float = 1) -> str:
+    close = f"(levenshtein(name, entity) <= 2 AND levenshtein(name, entity) <= {ratio} * length(name))"
     return f"""
 entities AS (
   SELECT {norm('entity_name')} AS entity, min({{'matched_name': entity_name, 'list_type': list_type}}) AS listing
@@ -221,7 +222,7 @@ found AS (
       WHEN len(string_split(entity, ' ')) >= 3 AND contains(' ' || name || ' ', ' ' || entity || ' ') THEN 1
       ELSE 2 END AS kind,
     levenshtein(name, entity) AS distance, listing
-  FROM screened JOIN entities ON name = entity OR levenshtein(name, entity) <= 2
+  FROM screened JOIN entities ON name = entity OR {close}
     OR (len(string_split(entity, ' ')) >= 3 AND contains(' ' || name || ' ', ' ' || entity || ' '))),
 best_hit AS (
   SELECT vendor_lower, min({{'kind': kind, 'distance': CASE kind WHEN 2 THEN distance ELSE 0 END,
@@ -529,6 +530,9 @@ def _six(c: str) -> str:
     return f"floor({c} * 1e6 + 0.5) / 1e6"
 
 
+# names of ASCII letters, digits and spaces in the order of the Unicode collation: first without
+# regard to case, then small letters before capitals
+BY_VENDOR = "lower(vendor), translate(vendor, 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ')"
 REPORT_ROWS = f"""SELECT txn_id, invoice_id AS "Invoice", date AS "Date", vendor AS "Vendor",
   floor(amount * 1e6 + 0.5) / 1e6 AS "Amount", coalesce(description, '') AS "Description", risk_tier AS "Risk Tier",
   composite_risk AS "Composite Score", isolation_score AS "Isolation Score", round(rsf, 2) AS "RSF",
@@ -695,6 +699,8 @@ FROM similar_names"""),
     "suspect_addresses": sql(LEDGER, PROFILE, VENDOR_STATS, RSF, DUPS, SIMILAR, fuzzy(False), DIRECTORY, STAND_IN, SUSPECTS,
                              "SELECT address FROM suspect_addresses"),
     "sanctions_screen": sql(LEDGER, LISTS, SCREENED, sanctions_screen("all_names"), """SELECT vendor_lower, ofac_hit,
+  matched_name, list_type, match_kind, match_distance FROM sanctioned"""),
+    "sanctions_screen_ratio": sql(LEDGER, LISTS, SCREENED, sanctions_screen("all_names", 0.02), """SELECT vendor_lower, ofac_hit,
   matched_name, list_type, match_kind, match_distance FROM sanctioned"""),
     "registry_check": sql(LEDGER, LISTS, SCREENED, registry_check("all_names"), """SELECT vendor_lower, edgar_verified,
   floor(confidence * 1e6 + 0.5) / 1e6 AS confidence, entity_name, cik FROM registered"""),
@@ -740,8 +746,9 @@ WHERE risk_tier = 'MEDIUM' AND (contains(lower(vendor), 'a') OR contains(lower(i
         f"sorted_by_{name}": on_scored(f"""SELECT row_number() OVER (ORDER BY {order}, txn_id) AS position, txn_id, vendor,
   floor(amount * 1e6 + 0.5) / 1e6 AS amount, date, composite_risk FROM scored
 QUALIFY position BETWEEN {50 * page - 49} AND {50 * page}""")
-        for name, order, page in (("date", "date ASC", 3), ("amount", "amount DESC", 2), ("risk", "composite_risk DESC", 20))
+        for name, order, page in (("vendor", BY_VENDOR, 2), ("date", "date ASC", 3), ("amount", "amount DESC", 2), ("risk", "composite_risk DESC", 20))
     },
+    "sorted_page": on_scored(f"SELECT txn_id, vendor FROM scored ORDER BY {BY_VENDOR}, txn_id LIMIT 50 OFFSET 50"),
     "page_count": on_scored("""SELECT count(*) AS n, cast(greatest(ceil(count(*) / 50), 1) AS bigint) AS total_pages
 FROM scored WHERE risk_tier = 'HIGH'"""),
     "flagged_transactions": on_scored(f"SELECT txn_id, composite_risk, risk_tier FROM scored WHERE {FLAGGED}"),

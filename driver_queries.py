@@ -631,6 +631,9 @@ QUERIES: dict[str, Query] = {
     "sanctions_screen": lambda spark, sf: screening.sanctions_verdicts(
         screened_names(spark, sf), lists(spark, sf).sanctions
     ),
+    "sanctions_screen_ratio": lambda spark, sf: screening.sanctions_verdicts(
+        screened_names(spark, sf), lists(spark, sf).sanctions, AnalysisConfig(sanctions_max_ratio=0.02)
+    ),
     "registry_check": lambda spark, sf: flat(
         screening.registry_verdicts(screened_names(spark, sf), lists(spark, sf).registry)
     ),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledger_analytics.operators.order_stats import order_statistics, value_counts
+from ledger_analytics.sources.materialize import scratch
 
 
 @dataclass(frozen=True)
@@ -62,7 +63,8 @@ def profile_frame(ledger: DataFrame) -> DataFrame:
 
 
 def profile_ledger(ledger: DataFrame) -> LedgerProfile:
-    row = profile_frame(ledger).first()
+    with scratch(ledger.sparkSession):
+        row = profile_frame(ledger).first()
     if row is None:
         return LedgerProfile(0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0, 0)
     return LedgerProfile(**row.asDict())

@@ -27,7 +27,7 @@ from ledger_analytics.operators.screening import ScreeningLists, suspect_vendors
 from ledger_analytics.operators.skew import join_attributes
 from ledger_analytics.operators.splits import split_invoices
 from ledger_analytics.schema import is_valid_row
-from ledger_analytics.sources.materialize import materialize
+from ledger_analytics.sources.materialize import materialize, scratch
 
 
 @dataclass(frozen=True)
@@ -101,6 +101,22 @@ def with_verdicts(rows: DataFrame, verdicts: DataFrame | None) -> DataFrame:
     return join_attributes(keyed, known, "vendor_lower", "vendor_rows", rows.count(), "verdicts").select(*rows.columns, *names)
 
 
+def _scored(
+    ledger: DataFrame, config: AnalysisConfig, lists: ScreeningLists | None, verdicts: DataFrame | None
+) -> DataFrame:
+    """All detectors and scores, stored."""
+    profile = profile_ledger(ledger)
+    rows = with_rsf(ledger, profile, config)
+    rows = with_pair_signals(rows, pair_signals(ledger, profile, config))
+    rows = with_row_signals(rows, profile, config)
+    rows = with_isolation(rows, fit_forest(ledger, profile, config))
+    if verdicts is not None or lists is not None:
+        rows = materialize(rows, "detected")  # read again for counts by vendor and for the suspects
+    if verdicts is None and lists is not None:
+        verdicts = vendor_verdicts(ledger, suspect_vendors(rows), lists, config)
+    return materialize(with_composite(with_verdicts(rows, verdicts), config), "scored", keep=True)
+
+
 def analyze(
     ledger: DataFrame,
     config: AnalysisConfig = AnalysisConfig(),
@@ -115,20 +131,12 @@ def analyze(
     edgar_verified, ofac_hit, address_valid) or are made from ``lists``.
     The ledger is read once per detector with only the columns it needs, so it
     should be a stored table; the scored rows are written to the checkpoint
-    folder once because every report reads them.
+    folder once because every report reads them. Other tables written on the way are
+    removed.
     """
     ledger = ledger.where(is_valid_row())
-    profile = profile_ledger(ledger)
-    rows = with_rsf(ledger, profile, config)
-    rows = with_pair_signals(rows, pair_signals(ledger, profile, config))
-    rows = with_row_signals(rows, profile, config)
-    rows = with_isolation(rows, fit_forest(ledger, profile, config))
-    if verdicts is not None or lists is not None:
-        rows = materialize(rows, "detected")  # read again for counts by vendor and for the suspects
-    if verdicts is None and lists is not None:
-        verdicts = vendor_verdicts(ledger, suspect_vendors(rows), lists, config)
-    transactions = materialize(with_composite(with_verdicts(rows, verdicts), config), "scored")
-
+    with scratch(ledger.sparkSession):
+        transactions = _scored(ledger, config, lists, verdicts)
     digits = digit_report(ledger)
     summary = benford_summary(digits)
     first_mad = summary.where("digit_position = 1").select("mad").scalar()

@@ -10,6 +10,7 @@ from ledger_analytics.operators import skew
 from ledger_analytics.plans import reports
 from ledger_analytics.plans.pages import PageIndex
 from ledger_analytics.plans.pipeline import analyze
+from ledger_analytics.sources import materialize as materialize_module
 from ledger_analytics.sources.history import RunHistory
 from ledger_analytics.sources.ledger_files import (
     auto_mapping,
@@ -273,6 +274,21 @@ def test_run_stored_again_replaces_the_old_one(spark, tmp_path, result):
     assert store.load("a").transactions.count() == 3 and store.sweep() == []
 
 
+def test_analysis_leaves_only_its_rows(spark, tmp_path, make, lognormal, monkeypatch):
+    monkeypatch.setattr(materialize_module, "checkpoint_root", lambda spark: str(tmp_path))
+    ledger = make(lognormal(60))
+    verdicts = spark.createDataFrame([("vendor aaaa", True, False, None)], "vendor_lower string, edgar_verified boolean, ofac_hit boolean, address_valid boolean")
+    got = analyze(ledger, verdicts=verdicts)
+    tables = [p.name.split("-")[0] for p in (tmp_path / "ledger_analytics").iterdir()]
+    assert tables == ["scored"] and got.transactions.count() == 60 and got.portfolio.count() == 1
+    # an outer block takes what an inner one keeps, and a failure leaves nothing
+    with pytest.raises(ZeroDivisionError), materialize_module.scratch(spark):
+        analyze(ledger)
+        materialize_module.materialize(ledger, "more")
+        1 / 0
+    assert len(list((tmp_path / "ledger_analytics").iterdir())) == 1
+
+
 def test_report_sheets(spark, tmp_path, result):
     paths = reports.write_report(result, str(tmp_path / "report"), format="parquet")
     counts = {name: spark.read.parquet(p).count() for name, p in paths.items()}
@@ -361,6 +377,12 @@ def test_histogram_and_ties(small):
     assert tuple(reports.top_flagged_vendor(small).first()) == ("Zebra", 1)
 
 
+def test_unknown_tier_is_refused(small):
+    with pytest.raises(ValueError, match="unknown tier SEVERE"):
+        reports.filter_transactions(small, tier="SEVERE")
+    assert reports.filter_transactions(small, tier="ALL").count() == 5
+
+
 def test_vendor_view(small):
     got = {r.vendor: r for r in reports.vendor_view(small).collect()}
     assert (got["Zebra"].median_amount, got["Zebra"].max_tier, got["Zebra"].flagged) == (40.0, "CRITICAL", 1)
