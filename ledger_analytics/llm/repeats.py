@@ -15,12 +15,15 @@ cut into shards that hold together what can be equal:
 4. A shard merges equal surroundings once more, sorts the suffixes of the rest by external
    induced sorting (``suffixes``), compares neighbours for a common prefix of ``LENGTH``
    bytes, takes the smallest id of each run of equal strings, and answers which strings
-   are to go. It works through its anchors in pieces of ``SHARD_BYTES``; what one anchor
-   has beyond that is sorted in one piece, whose queues go to disk.
-5. Parcels join the answers and cut their texts.
+   are to go. It works through its anchors in pieces of ``SHARD_BYTES``.
+5. An anchor that stands in more than ``HOT`` places (the edge of a line that very many
+   documents have) is not sorted in one shard. Its parcels send the strings themselves, as
+   hashes with the smallest id, and each string goes to a shard of its own hash.
+6. Parcels join the answers and cut their texts.
 
 Hashes only choose candidates: the strings that are removed are compared as bytes, but for
-surroundings, which are taken as equal if their length and 64-bit hash are.
+surroundings, which are taken as equal if their length and 64-bit hash are, and strings of
+hot anchors, which are if two 64-bit hashes are.
 
 Defined results: null and empty texts have no bytes; rows with equal ids are one document,
 which never removes its own bytes; rows without an id come after all others.
@@ -39,7 +42,7 @@ from pyspark.sql import functions as F
 
 from ledger_analytics.llm.arrow import all_stretches, mix, prefix_sums, stretch_hashes, utf8
 from ledger_analytics.llm.storage import Stored
-from ledger_analytics.llm.suffixes import same_prefix, suffix_order
+from ledger_analytics.llm.suffixes import same_prefix, suffix_order, words_at
 
 LENGTH = 50
 PIECE = 24
@@ -49,6 +52,9 @@ PARCEL_BYTES = 3 << 20
 TEXT_PER_SHARD = 2 << 20
 #: Surroundings that a shard sorts at a time.
 SHARD_BYTES = 4 << 20
+#: Places of an anchor beyond which its strings are dealt out one by one; the surroundings of
+#: so many are about ``SHARD_BYTES``.
+HOT = 50_000
 
 _LAST = np.iinfo(np.int64).max
 
@@ -97,6 +103,35 @@ def _parcels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close()
 
 
+class Strings:
+    """Strings ``o`` bytes before the anchors numbered ``of``, and the distinct ones among them
+    in order of hash, each with the smallest id that has it."""
+
+    def __init__(self, o: np.ndarray, of: np.ndarray, h: np.ndarray, check: np.ndarray, ids: np.ndarray):
+        self.o, self.of, self.ids = o, of, ids
+        order = np.lexsort((ids, check, h))
+        new = _changes(h[order], check[order])
+        self.number = np.empty(len(order), np.int64)
+        self.number[order] = np.cumsum(new) - 1
+        self.hash, self.check, self.lowest = h[order][new], check[order][new], ids[order][new]
+
+    def by_shard(self, n: int) -> Iterator[tuple[int, slice]]:
+        """Runs of the distinct strings by shard; these shards follow those of the anchors."""
+        shard = ((self.hash >> np.uint64(40)) * np.uint64(n) >> np.uint64(24)).astype(np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+        for first, last in zip(cuts[:-1], cuts[1:]):
+            if last > first:
+                yield n + int(shard[first]), slice(first, last)
+
+
+def _changes(*keys: np.ndarray) -> np.ndarray:
+    """Where sorted keys differ from those before."""
+    out = np.ones(len(keys[0]), bool)
+    if len(out):
+        out[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return out
+
+
 class Parcel:
     """The texts of a parcel and their anchors."""
 
@@ -147,6 +182,18 @@ class Parcel:
         place = mix((at - begin).astype(np.uint64) * np.uint64(64) + (end - at).astype(np.uint64))
         return begin, end, mix(stretch_hashes(self._sums, begin, end) ^ place)
 
+    def strings(self, which: np.ndarray) -> Strings:
+        """The strings around anchors."""
+        begin, end, _ = self.surroundings(which)
+        o = np.arange(self.reach + 1)[:, None]
+        start = self.at[which] - o
+        o, of = np.nonzero((start >= begin) & (start + self.length <= end))
+        start = start[o, of]
+        h, check = stretch_hashes(self._sums, start, start + self.length), np.zeros(len(start), np.uint64)
+        for at in [*range(0, self.length - 7, 8), self.length - 8]:
+            check = mix(check ^ words_at(self.data, start + at))
+        return Strings(o, of, h, check, self.ids[self.row[which]][of])
+
     def shards(self, n: int) -> np.ndarray:
         """Shard of each anchor: ranges of the hash."""
         return ((self.hash >> np.uint64(24)) * np.uint64(n) >> np.uint64(24)).astype(np.int64)
@@ -199,8 +246,11 @@ def _unplanes(raw: bytes, width: int) -> np.ndarray:
 
 def _hash_rows(parcel: int, p: Parcel, n: int) -> Iterator[tuple]:
     for shard, part in p.by_shard(n):
-        h, _, several = p.distinct(part)
-        yield parcel, shard, _planes((h << np.uint64(1)) | several.astype(np.uint64), 7)
+        h, first, several = p.distinct(part)
+        times = np.diff(np.append(first, len(part)))
+        more = np.flatnonzero(times > 1)
+        repeats = _pack(np.stack([more, times[more]])) if len(more) else None
+        yield parcel, shard, _planes((h << np.uint64(1)) | several.astype(np.uint64), 7), repeats
 
 
 # --- shards --------------------------------------------------------------------
@@ -218,14 +268,22 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict
         yield held[0]["shard"], held
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Which anchors of each parcel stand in several documents, as bits in order of hash."""
+def _shared(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
+    """Which anchors of each parcel stand in several documents, as bits in order of hash;
+    behind them, if there are such, which of these stand in more than ``hot`` places."""
     for shard, rows in _grouped(batches):
         each = [_unplanes(r["hashes"], 7) for r in rows]
         all_ = np.sort(np.concatenate(each))
         h, several = all_ >> np.uint64(1), (all_ & np.uint64(1)).astype(bool)
-        twice = h[1:] == h[:-1]
-        shared = np.unique(np.concatenate([h[several], h[1:][twice]]))
+        first = np.flatnonzero(_changes(h))
+        parcels = np.diff(np.append(first, len(h)))
+        places, h = parcels.copy(), h[first]
+        for r, v in zip(rows, each):
+            if r["repeats"]:
+                which, times = _unpack(r["repeats"], np.int64).reshape(2, -1)
+                places[np.searchsorted(h, v[which] >> np.uint64(1))] += times - 1
+        wanted = (parcels > 1) | np.logical_or.reduceat(several, first)
+        shared, many = h[wanted], (places > hot)[wanted]
         out = []
         for r, v in zip(rows, each):
             mine = v >> np.uint64(1)
@@ -233,32 +291,48 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hit = where < len(shared)
             hit[hit] = shared[where[hit]] == mine[hit]
             if hit.any():
-                out.append((r["parcel"], shard, _pack(np.packbits(hit))))
+                bits = [np.packbits(hit)]
+                if many.any():
+                    mine = np.zeros(len(hit), bool)
+                    mine[hit] = many[where[hit]]
+                    bits += [np.packbits(mine)] * bool(mine.any())
+                out.append((r["parcel"], shard, _pack(np.concatenate(bits))))
         if out:
             yield _batch(out, *_REPLY)
 
 
-def _wanted(p: Parcel, answers: list[dict], n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def _wanted(
+    p: Parcel, answers: list[dict], n: int
+) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each shard: the parcel's anchors that several documents have (in order of hash,
-    then of surroundings), the number of its surroundings for each, and the first anchor
-    of each surroundings (of the document with the smallest id)."""
+    then of surroundings), the number of its surroundings for each, the first anchor of each
+    surroundings (of the document with the smallest id), and whether that one is hot."""
     bits = {a["shard"]: a["answer"] for a in answers}
     for shard, part in p.by_shard(n):
         if shard not in bits:
             continue
         h, first, _ = p.distinct(part)
-        hit = np.unpackbits(_unpack(bits[shard], np.uint8), count=len(h)).astype(bool)
-        which = part[np.repeat(hit, np.diff(np.append(first, len(part))))]
+        raw, times = _unpack(bits[shard], np.uint8), np.diff(np.append(first, len(part)))
+        hit = np.unpackbits(raw, count=len(h)).astype(bool)
+        behind = raw[-(-len(h) // 8) :]
+        hot = np.unpackbits(behind, count=len(h)).astype(bool) if len(behind) else np.zeros(len(h), bool)
+        which, hot = part[np.repeat(hit, times)], np.repeat(hot[hit], times[hit])
         _, _, around = p.surroundings(which)
         ids = p.ids[p.row[which]]
         order = np.lexsort((ids, around, p.hash[which]))
         which, around, h = which[order], around[order], p.hash[which[order]]
         new = np.append(True, (around[1:] != around[:-1]) | (h[1:] != h[:-1]))
-        yield shard, which, np.cumsum(new) - 1, which[new]
+        yield shard, which, np.cumsum(new) - 1, which[new], hot[order][new]
 
 
 def _surrounding_rows(parcel: int, p: Parcel, answers: list[dict], n: int) -> Iterator[tuple]:
-    for shard, _, _, firsts in _wanted(p, answers, n):
+    hot_firsts = []
+    for shard, _, _, firsts, hot in _wanted(p, answers, n):
+        if hot.any():
+            hot_firsts.append(firsts[hot])
+            firsts = firsts[~hot]
+        if not len(firsts):
+            continue
         begin, end, around = p.surroundings(firsts)
         size = end - begin
         index = np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
@@ -267,11 +341,45 @@ def _surrounding_rows(parcel: int, p: Parcel, answers: list[dict], n: int) -> It
             parcel, shard, _planes(p.hash[firsts], 6), _pack(around), _pack(p.ids[p.row[firsts]]),
             _pack(shape), _pack(p.data[index]),
         )
+    if hot_firsts:
+        s = p.strings(np.concatenate(hot_firsts))
+        for shard, part in s.by_shard(n):
+            yield parcel, shard, _pack(s.hash[part]), _pack(s.check[part]), _pack(s.lowest[part]), None, None
+
+
+def _removed_strings(rows: list[dict]) -> list[tuple]:
+    """For each parcel's strings of hot anchors, which a smaller document has, as bits."""
+    each = [tuple(_unpack(r[c], t) for c, t in [("hashes", np.uint64), ("around", np.uint64), ("ids", np.int64)]) for r in rows]
+    h, check, ids = map(np.concatenate, zip(*each))
+    order = np.lexsort((check, h))
+    new = _changes(h[order], check[order])
+    lowest = np.minimum.reduceat(ids[order], np.flatnonzero(new))
+    smaller = np.empty(len(order), bool)
+    smaller[order] = lowest[np.cumsum(new) - 1] < ids[order]
+    parts = np.split(smaller, np.cumsum([len(e[0]) for e in each])[:-1])
+    return [(r["parcel"], r["shard"], _pack(np.packbits(mine))) for r, mine in zip(rows, parts) if mine.any()]
+
+
+def _hot_masks(p: Parcel, firsts: np.ndarray, bits: dict[int, bytes], n: int) -> np.ndarray:
+    """Which strings around hot anchors go, as bits by start."""
+    s = p.strings(firsts)
+    smaller = np.zeros(len(s.hash), bool)
+    for shard, part in s.by_shard(n):
+        if shard in bits:
+            smaller[part] = np.unpackbits(_unpack(bits[shard], np.uint8), count=part.stop - part.start)
+    gone = smaller[s.number] | (s.ids > s.lowest[s.number])
+    out = np.zeros(len(firsts), np.uint32)
+    np.bitwise_or.at(out, s.of[gone], np.uint32(1) << s.o[gone].astype(np.uint32))
+    return out
 
 
 def _removed(batches: Iterator[pa.RecordBatch], length: int, piece: int) -> Iterator[pa.RecordBatch]:
     """For each parcel's surroundings, which strings a smaller document has, as bits by start."""
     for shard, rows in _grouped(batches):
+        if rows[0]["shape"] is None:
+            if out := _removed_strings(rows):
+                yield _batch(out, *_REPLY)
+            continue
         h, around, ids, shape, data, source = [], [], [], [], [], []
         for i, r in enumerate(rows):
             h.append(_unplanes(r["hashes"], 6))
@@ -358,8 +466,16 @@ def _cut(p: Parcel, n: int, answers: list[dict], strings: list[dict]) -> pa.Reco
     """The rows of a parcel without the bytes that go."""
     cover = np.zeros(len(p.data) + 1, np.int64)
     bits = {a["shard"]: a["answer"] for a in strings}
-    for shard, which, of, firsts in _wanted(p, answers, n):
-        mask = _unpack(bits[shard], np.uint32) if shard in bits else np.zeros(len(firsts), np.uint32)
+    wanted = list(_wanted(p, answers, n))
+    hot_firsts = [firsts[hot] for *_, firsts, hot in wanted if hot.any()]
+    hot_masks, used = _hot_masks(p, np.concatenate(hot_firsts), bits, n) if hot_firsts else None, 0
+    for shard, which, of, firsts, hot in wanted:
+        mask = np.zeros(len(firsts), np.uint32)
+        if shard in bits:
+            mask[~hot] = _unpack(bits[shard], np.uint32)
+        if hot.any():
+            mask[hot] = hot_masks[used : used + hot.sum()]
+            used += hot.sum()
         # a document with larger id than the first with equal surroundings loses all of them
         later = p.ids[p.row[which]] > p.ids[p.row[firsts]][of]
         begin, end, _ = p.surroundings(which)
@@ -402,9 +518,10 @@ def _answers(replies: DataFrame, name: str) -> DataFrame:
 
 def without_repeats(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, piece: int = PIECE,
-    parcel_bytes_per_shard: int = TEXT_PER_SHARD,
+    parcel_bytes_per_shard: int = TEXT_PER_SHARD, hot: int = HOT,
 ) -> DataFrame:
-    """Rows (doc_id, n_bytes, kept: the bytes that stay, spans: the maximal removed runs)."""
+    """Rows (doc_id, n_bytes, kept: the bytes that stay, spans: the maximal removed runs). The
+    result does not depend on ``hot``, from which on an anchor's strings are dealt out."""
     if not 8 <= piece < length <= piece + 31:
         raise ValueError("piece must be at least 8 and less than length, by no more than 31")
     stored = Stored(docs.sparkSession)
@@ -418,7 +535,7 @@ def without_repeats(
         for row in _rows(batches):
             out = list(_hash_rows(row["parcel"], Parcel(row, length, piece), n))
             if out:
-                yield _batch(out, ["parcel", "shard", "hashes"], _REPLY[1])
+                yield _batch(out, ["parcel", "shard", "hashes", "repeats"], [*_REPLY[1], pa.binary()])
 
     def around(batches):
         names = ["parcel", "shard", "hashes", "around", "ids", "shape", "data"]
@@ -434,8 +551,8 @@ def without_repeats(
 
     reply = "parcel long, shard int, answer binary"
     to_shards = lambda df: df.repartition("shard").sortWithinPartitions("shard", "parcel")
-    anchors = to_shards(parcels.mapInArrow(hashes, "parcel long, shard int, hashes binary"))
-    shared = stored.table(_answers(anchors.mapInArrow(_shared, reply), "shared"))
+    anchors = to_shards(parcels.mapInArrow(hashes, "parcel long, shard int, hashes binary, repeats binary"))
+    shared = stored.table(_answers(anchors.mapInArrow(lambda it: _shared(it, hot), reply), "shared"))
     sent = parcels.join(shared, "parcel").mapInArrow(
         around, "parcel long, shard int, hashes binary, around binary, ids binary, shape binary, data binary"
     )

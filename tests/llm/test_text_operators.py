@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,7 +217,8 @@ def brute_repeats(docs, length=50):
     return sorted(out, key=repr)
 
 
-def test_repeats(docs_of, monkeypatch):
+@pytest.mark.parametrize("hot", [repeats.HOT, 4, 0])
+def test_repeats(docs_of, monkeypatch, hot):
     monkeypatch.setattr(repeats, "PARCEL_BYTES", 900)
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcé") for _ in range(rng.randrange(1, 7)))
@@ -230,15 +232,64 @@ def test_repeats(docs_of, monkeypatch):
             parts.append(p[a : a + rng.randrange(45, 90)])
         docs.append((rng.randrange(40), " ".join(parts)))
     docs += [(70, "z" * 200), (71, "z" * 120), (72, None), (73, ""), (74, docs[0][1]), (None, docs[1][1]), (None, passages[0])]
-    cut = repeats.without_repeats(docs_of(docs), parcel_bytes_per_shard=600)
+    cut = repeats.without_repeats(docs_of(docs), parcel_bytes_per_shard=600, hot=hot)
     rows = cut.select("doc_id", "n_bytes", F.size("spans").alias("n"), F.sha2("kept", 256).alias("h"), "spans", "kept").collect()
     assert sorted([(r.doc_id, r.n_bytes, r.n, r.h) for r in rows], key=repr) == brute_repeats(docs)
     for r in rows:
         assert r.n_bytes - len(r.kept) == sum(s.end - s.start for s in r.spans)
 
 
-def test_repeats_odd(odd, empty):
-    got = repeats.without_repeats(odd).collect()
+def test_repeats_hot_anchor_is_dealt_out():
+    """A line of 3000 documents with other words behind it: no shard gets more than ``hot``
+    surroundings of one anchor, and the strings around it spread over all shards."""
+    rng, n, hot = random.Random(8), 16, 100
+    line = "all rights reserved by the owner of this very common line. "
+    rows = []
+    for parcel in range(10):
+        texts = [(line + "".join(rng.choice("abcdefgh") for _ in range(60))).encode() for _ in range(300)]
+        pack = lambda v, kind: repeats._pack(np.array(v, kind))
+        rows.append(
+            {
+                "ids": pack(range(300 * parcel, 300 * parcel + 300), np.int64), "known": pack([True] * 300, bool),
+                "lengths": pack([len(t) for t in texts], np.int64), "data": pack(list(b"".join(texts)), np.uint8),
+            }
+        )
+    parcels = [repeats.Parcel(r, repeats.LENGTH, repeats.PIECE) for r in rows]
+
+    def shards(made, names, kinds, step):
+        made = sorted(made, key=lambda r: (r[1], r[0]))
+        out = step(iter([repeats._batch(made, names, kinds)]))
+        return [r for b in out for r in b.to_pylist()]
+
+    kinds = [*repeats._REPLY[1], pa.binary()]
+    anchors = [r for i, p in enumerate(parcels) for r in repeats._hash_rows(i, p, n)]
+    shared = shards(anchors, ["parcel", "shard", "hashes", "repeats"], kinds, lambda it: repeats._shared(it, hot))
+    sent = [
+        r for i, p in enumerate(parcels) for r in repeats._surrounding_rows(i, p, [a for a in shared if a["parcel"] == i], n)
+    ]
+    plain, strings = [r for r in sent if r[5] is not None], [r for r in sent if r[5] is None]
+    places = {}
+    for r in plain:
+        for h in repeats._unplanes(r[2], 6).tolist():
+            places[h] = places.get(h, 0) + 1
+    assert max(places.values(), default=0) <= hot
+    loads = {}
+    for r in strings:
+        loads[r[1]] = loads.get(r[1], 0) + len(repeats._unpack(r[2], np.uint64))
+    assert set(loads) == set(range(n, 2 * n)) and max(loads.values()) < 2 * sum(loads.values()) / n
+    # every document but the first loses the line, and no byte that stands in one document only goes
+    replies = shards(sent, ["parcel", "shard", "hashes", "around", "ids", "shape", "data"], [pa.int64(), pa.int32(), *[pa.binary()] * 5],
+                     lambda it: repeats._removed(it, repeats.LENGTH, repeats.PIECE))
+    for i, p in enumerate(parcels):
+        mine = [[a for a in x if a["parcel"] == i] for x in (shared, replies)]
+        for r in repeats._cut(p, n, *mine).to_pylist():
+            removed = sum(s["end"] - s["start"] for s in r["spans"])
+            assert (removed == 0) if r["doc_id"] == 0 else len(line) <= removed < len(line) + 20
+
+
+@pytest.mark.parametrize("hot", [repeats.HOT, 0])
+def test_repeats_odd(odd, empty, hot):
+    got = repeats.without_repeats(odd, hot=hot).collect()
     assert len(got) == odd.count() and sum(r.n_bytes for r in got if r.doc_id == 7) == 100_000
     assert all(len(r.kept) == r.n_bytes for r in got)
     assert repeats.without_repeats(empty).collect() == []
