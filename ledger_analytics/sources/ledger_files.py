@@ -114,6 +114,28 @@ def parse_amount(cell: Column) -> Column:
     return F.nullif(text, F.lit("")).try_cast("double")
 
 
+_EXACT_NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DoubleType)
+_TIMESTAMPS = (T.TimestampType, T.TimestampNTZType)
+
+
+def _typed_amount(df: DataFrame, name: str) -> Column:
+    """What :func:`parse_amount` reads from the text of a column, for numbers without making the text."""
+    c = _column(name)
+    if isinstance(df.schema[name].dataType, _EXACT_NUMBERS):
+        number = c.cast("double")
+        return F.when(F.abs(number) < float("inf"), number)
+    return parse_amount(c.cast("string"))
+
+
+def _typed_date(df: DataFrame, name: str, date_format: str) -> Column:
+    """What :func:`parse_date` reads from the text of a column, for dates without making the text."""
+    c = _column(name)
+    if isinstance(df.schema[name].dataType, (T.DateType, *_TIMESTAMPS)):
+        # the text of other years does not have four digits
+        return F.when(F.year(c).between(0, 9999), c.cast("date"))
+    return parse_date(c.cast("string"), date_format)
+
+
 def row_outcome(amount: Column) -> Column:
     return F.when(~is_amount(amount), "skip").when(amount <= 0, "credit").otherwise("ok")
 
@@ -122,11 +144,21 @@ def infer_amount_column(df: DataFrame) -> str | None:
     """The first column with the most positive numbers, if at least half of the rows have one.
 
     A cell counts only if all of it is a number; else a date column would qualify
-    by its year.
+    by its year. Columns with a type of their own are not made into text.
     """
+    types = {f.name: f.dataType for f in df.schema}
+
     def positive(c: str) -> Column:
-        whole = _cleaned(_column(c)).rlike(rf"^{_NUMBER}\z")
-        return F.count_if(whole & (parse_amount(_column(c)) > 0))
+        cell, kind = _column(c), types[c]
+        if isinstance(kind, T.NumericType):
+            return F.count_if((cell > 0) & (cell.cast("double") < float("inf")))
+        if isinstance(kind, (T.BooleanType, T.DateType, *_TIMESTAMPS)):
+            return F.count_if(F.lit(False))
+        cell = cell.cast("string")
+        # most texts that are no numbers show it by their first characters
+        maybe = cell.rlike(rf"^[0-9+\-.eE$,{WS[1:-1]}]*+\z")
+        whole = _cleaned(cell).rlike(rf"^{_NUMBER}\z")
+        return F.count_if(F.when(maybe, whole & (parse_amount(cell) > 0)))
 
     n, *hits = df.agg(F.count(F.lit(1)), *[positive(c) for c in df.columns]).first()
     best = max(hits, default=0)
@@ -137,7 +169,12 @@ def infer_amount_column(df: DataFrame) -> str | None:
 
 def infer_date_format(df: DataFrame, column: str) -> str:
     """ISO, US, EU, ambiguous or unknown, from all rows of ``column``."""
-    v = ws_trim(F.coalesce(_column(column), F.lit("")))
+    kind = df.schema[column].dataType
+    if isinstance(kind, _TIMESTAMPS):  # the time of day is none of the formats
+        return UNKNOWN
+    if isinstance(kind, T.DateType):
+        return UNKNOWN if df.where(F.year(_column(column)).between(0, 9999)).isEmpty() else ISO
+    v = ws_trim(F.coalesce(_column(column).cast("string"), F.lit("")))
     iso = v.rlike(r"^\d{4}-\d{1,2}-\d{1,2}\z")
     slash = v.rlike(_DAY_MONTH)
     first = F.regexp_extract(v, _DAY_MONTH, 1).try_cast("int")
@@ -183,13 +220,14 @@ def parse_date(cell: Column, date_format: str) -> Column:
 
 
 def _clean_rows(df: DataFrame, mapping: dict[str, str], date_format: str, config: AnalysisConfig) -> DataFrame:
-    """Canonical columns of a DataFrame of strings that has a txn_id."""
+    """Canonical columns of a DataFrame that has a txn_id."""
 
     def cell(name: str) -> Column:
-        return _column(mapping[name]) if name in mapping else F.lit(None).cast("string")
+        return _column(mapping[name]).cast("string") if name in mapping else F.lit(None).cast("string")
 
-    amount = parse_amount(cell("amount"))
-    date = F.coalesce(parse_date(cell("date"), date_format), F.lit(config.run_date).cast("date"))
+    amount = _typed_amount(df, mapping["amount"]) if "amount" in mapping else parse_amount(cell("amount"))
+    date = _typed_date(df, mapping["date"], date_format) if "date" in mapping else parse_date(cell("date"), date_format)
+    date = F.coalesce(date, F.lit(config.run_date).cast("date"))
     outcome = row_outcome(amount)
     return df.select(
         "txn_id",
@@ -336,13 +374,12 @@ def load_frame(
     """
     if id_column is None and not store:
         raise ValueError("rows that are not stored need an id_column")
-    text = df.select(*[_column(c).cast("string").alias(c.strip().lower()) for c in df.columns])
-    found, date_format = _resolve(text, mapping)
+    found, date_format = _resolve(df.select(*[_column(c).alias(c.strip().lower()) for c in df.columns]), mapping)
     key = _column(id_column).cast("long") if id_column else F.monotonically_increasing_id()
     numbered = df.select(
         key.alias("txn_id"),
         *[
-            _column(c).cast("string").alias(c.strip().lower())
+            _column(c).alias(c.strip().lower())
             for c in df.columns
             if c.strip().lower() in found.values() and c.strip().lower() != "txn_id"
         ],

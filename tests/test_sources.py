@@ -1,4 +1,5 @@
 import datetime as dt
+from decimal import Decimal
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 
@@ -432,3 +433,26 @@ def test_report_csv_is_read_by_the_loader(spark, tmp_path, result):
     paths = reports.write_report(result, str(tmp_path / "csv"))
     sheet = spark.read.options(header=True, escape='"', multiLine=True).csv(paths["all_transactions"])
     assert any(r.asDict().get("Description") == 'a "b", c' or 'a "b", c' in [str(v) for v in r] for r in sheet.collect())
+
+
+def test_typed_columns_are_read_as_their_text_is(spark):
+    # numbers and dates are not made into text to be read again; what is read stays the same
+    schema = "key long, paid double, whole int, tiny float, exact decimal(20,4), yes boolean, day date, at timestamp, note string"
+    big = dt.datetime(2024, 2, 29, 23, 59, 59)
+    rows = [
+        (1, 12.5, 3, 0.1, Decimal("7.0001"), True, dt.date(2024, 2, 29), big, " $1,000.50 "),
+        (2, float("nan"), -3, float("inf"), Decimal("-1"), False, dt.date(1, 1, 1), dt.datetime(1970, 1, 1), "12a"),
+        (3, float("inf"), 0, 1.5, None, None, None, None, None),
+        (4, 1e-7, None, None, Decimal("0"), True, dt.date(9999, 12, 31), big, "e5"),
+        (5, 1.5e20, 2147483647, 2.5, Decimal("1"), True, dt.date(1999, 12, 31), big, "\u00a03e2"),
+    ]
+    typed = spark.createDataFrame(rows, schema)
+    text = typed.select("key", *[F.col(c).cast("string").alias(c) for c in typed.columns[1:]])
+    for amount in typed.columns[1:]:
+        assert infer_amount_column(typed.select(amount)) == infer_amount_column(text.select(amount)), amount
+        for date in ("day", "at", "note"):
+            got = [load_frame(df, {"amount": amount, "date": date}, id_column="key", store=False) for df in (typed, text)]
+            assert got[0].date_format == got[1].date_format
+            assert repr(got[0].rows.orderBy("txn_id").collect()) == repr(got[1].rows.orderBy("txn_id").collect()), (amount, date)
+    plan = load_frame(typed.select("key", "paid", "at"), {"date": "at", "vendor": "at"}, id_column="key", store=False).rows.select("amount", "date")
+    assert "regexp" not in plan._jdf.queryExecution().optimizedPlan().toString().lower()
