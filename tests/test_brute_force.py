@@ -1,5 +1,6 @@
 """The redesigned operators against direct, quadratic definitions on random ledgers."""
 
+import hashlib
 import datetime as dt
 import math
 import random
@@ -280,3 +281,20 @@ def test_signals_do_not_depend_on_partitions(make):
         df = base.repartition(n, F.rand(n))
         results.append(sorted(map(str, pair_signals(df, profile_ledger(df)).collect())))
     assert results[0] == results[1] == results[2]
+
+
+def test_a_key_shared_by_one_side_only_makes_no_variants(spark):
+    # three hundred names end alike, and no listed one does: they meet nobody by that part
+    names = [(i, f"{hashlib.md5(str(i).encode()).hexdigest()} holdings trading co", 0) for i in range(300)]
+    near = [(-1, names[7][1][:-1] + "x", 1), (-2, names[9][1][2:], 1), (-3, "short name", 1)]
+    df = spark.createDataFrame([*names, *near, (1000, "short nam", 0)], "id long, s string, side int")
+    assert {(r["id"], r["other_id"]) for r in similarity.close_candidates(df).collect()} >= {(7, -1), (9, -2), (1000, -3)}
+    alone = spark.createDataFrame([*names, (-3, "a listed name of another kind", 1)], "id long, s string, side int")
+    seen = []
+    keys = similarity.with_deletion_keys
+    similarity.with_deletion_keys = lambda d, column, key: (seen.append(d), keys(d, column, key))[1]
+    try:
+        assert similarity.close_candidates(alone).count() == 0
+    finally:
+        similarity.with_deletion_keys = keys
+    assert seen[1].count() == 0  # of what lies beside a shared part
