@@ -4,8 +4,10 @@ import pytest
 from helpers import by_id
 from pyspark.sql import functions as F
 
+from ledger_analytics import fixed_values as fv
 from ledger_analytics.config import AnalysisConfig
 from ledger_analytics.functions.numeric import first_digit, is_round, just_below, second_digit
+from ledger_analytics.functions.text import java_pattern, required_text
 from ledger_analytics.operators import benford, descriptions, duplicates, fuzzy, rsf, splits
 from ledger_analytics.operators.forest import fit_forest, with_isolation
 from ledger_analytics.operators.profile import profile_ledger
@@ -393,3 +395,14 @@ def test_pipeline_duplicates_and_shape(make, lognormal):
     assert all("EXACT_DUPLICATE" in got[i].triggered_detectors for i in (50, 51))
     assert all(0 <= r.composite_risk <= 100 for r in got.values())
     assert {r.edgar_verified for r in got.values()} == {None}
+
+
+def test_required_text_is_in_every_match(make, spark):
+    assert required_text(r"\bfees?\b$") == "fee"
+    assert required_text(r"\bmisc(ellaneous)?\b") == "misc"
+    assert required_text(r"\bab|c\b") == "" and required_text(r"^\d+$") == ""
+    texts = ["MISC", "Fee", "feES", "a İ GIFT", "Kloan loan", "write-off", "cash advance", "coffee", "n/a", "égift"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for pattern, _, _ in fv.DESCRIPTION_PATTERNS:
+        found = rows.where(F.col("t").rlike(java_pattern(pattern)))
+        assert found.where(~F.lower("t").contains(required_text(pattern))).isEmpty()
