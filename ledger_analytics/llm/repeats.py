@@ -8,7 +8,9 @@ cut into shards that hold together what can be equal:
    piece of ``PIECE`` bytes with the smallest hash is its anchor. Equal strings have equal
    anchors at equal places, so strings can only be equal if their anchors are.
 2. Anchor hashes go to shards by hash range. A shard answers each parcel which of its
-   anchors stand in several documents; text without such an anchor is not sorted.
+   anchors stand in several documents; text without such an anchor is not sorted. Every parcel
+   has a row for every shard, so both grow with the input up to a bound, and what a parcel does
+   it does for all shards at once: a row costs no more than its packing.
 3. Around each such anchor a parcel sends the bytes that strings with that anchor can reach
    to the anchor's shard, once per parcel for equal surroundings, with the smallest id that
    has them. Copies, however many, are so merged before the shuffle.
@@ -40,22 +42,28 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledger_analytics.llm.arrow import all_stretches, mix, prefix_sums, stretch_hashes, utf8
+from ledger_analytics.llm.arrow import BATCH_BYTES, all_stretches, mix, prefix_sums, stretch_hashes, utf8
 from ledger_analytics.llm.storage import Stored
 from ledger_analytics.llm.suffixes import same_prefix, suffix_order, words_at
 
 LENGTH = 50
 PIECE = 24
 #: Bytes of text in a parcel (a longer text is a parcel of its own).
-PARCEL_BYTES = 3 << 20
-#: Bytes of text for which there is a shard.
+PARCEL_BYTES = 8 << 20
+#: Bytes of a parcel that are hashed at a time, so that their arrays stay in the processor's cache.
+BLOCK = (1 << 18) - 256
+#: Bytes of text for which there is a shard; beyond ``SHARDS`` shards they grow up to ``GROWTH`` times.
 TEXT_PER_SHARD = 2 << 20
+SHARDS, GROWTH = 256, 8
 #: Surroundings that a shard sorts at a time.
 SHARD_BYTES = 4 << 20
 #: Places of an anchor beyond which its strings are dealt out one by one; the surroundings of
 #: so many are about ``SHARD_BYTES``.
 HOT = 50_000
+#: Surroundings of hot anchors whose strings a parcel takes up at a time.
+HOT_PORTION = 1 << 15
 
+_PACKER, _UNPACKER = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 _LAST = np.iinfo(np.int64).max
 
 
@@ -63,11 +71,11 @@ _LAST = np.iinfo(np.int64).max
 
 
 def _pack(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
+    return _PACKER.compress(np.ascontiguousarray(a))
 
 
 def _unpack(raw: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
+    return np.frombuffer(_UNPACKER.decompress(raw), kind)
 
 
 def _parcels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,13 +123,22 @@ class Strings:
         self.number[order] = np.cumsum(new) - 1
         self.hash, self.check, self.lowest = h[order][new], check[order][new], ids[order][new]
 
-    def by_shard(self, n: int) -> Iterator[tuple[int, slice]]:
-        """Runs of the distinct strings by shard; these shards follow those of the anchors."""
-        shard = ((self.hash >> np.uint64(40)) * np.uint64(n) >> np.uint64(24)).astype(np.int64)
-        cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
-        for first, last in zip(cuts[:-1], cuts[1:]):
-            if last > first:
-                yield n + int(shard[first]), slice(first, last)
+
+def _runs(shard: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Runs of equal numbers."""
+    cuts = [*np.flatnonzero(_changes(shard)).tolist(), len(shard)]
+    for first, last in zip(cuts[:-1], cuts[1:]):
+        yield int(shard[first]), slice(first, last)
+
+
+def _shards(h: np.ndarray, n: int) -> np.ndarray:
+    """Shard of each anchor: ranges of the hash."""
+    return ((h >> np.uint64(24)) * np.uint64(n) >> np.uint64(24)).astype(np.int64)
+
+
+def _string_shards(h: np.ndarray, n: int) -> np.ndarray:
+    """Shard of each string; these follow those of the anchors."""
+    return n + _shards(h >> np.uint64(16), n)
 
 
 def _changes(*keys: np.ndarray) -> np.ndarray:
@@ -140,83 +157,80 @@ class Parcel:
         self.data = _unpack(row["data"], np.uint8)
         self.off = np.concatenate([[0], np.cumsum(_unpack(row["lengths"], np.int64))])
         self.length, self.piece, self.reach = length, piece, length - piece
-        self._sums = prefix_sums(self.data)
-        self.at = self._anchors()
+        self.at, piece_hash = self._anchors()
         self.row = np.searchsorted(self.off, self.at, "right") - 1
         # texts of no bytes share an offset with the next; the last such row holds the byte
-        self.hash = mix(stretch_hashes(self._sums, self.at, self.at + piece)) >> np.uint64(16)
-
-    def _anchors(self) -> np.ndarray:
-        """Positions of the smallest piece of each string, the first of several."""
-        n, span = len(self.data), self.reach + 1
-        if n < self.length:
-            return np.zeros(0, np.int64)
-        h = all_stretches(self._sums, self.piece)
-        low = np.uint64((1 << int(n).bit_length()) - 1)
-        v = (h & ~low) | np.arange(len(h), dtype=np.uint64)
-        width = 1
-        while 2 * width <= span:
-            v = np.minimum(v[:-width], v[width:])
-            width *= 2
-        if width < span:
-            v = np.minimum(v[: len(v) - (span - width)], v[span - width :])
-        # strings that start in one text and end in the next are none
-        start = np.ones(len(v), bool)
-        ends = self.off[1:-1]
-        if len(ends):
-            edge = np.zeros(len(v) + 1, np.int64)
-            np.add.at(edge, np.clip(ends - self.length + 1, 0, len(v)), 1)
-            np.add.at(edge, np.clip(ends, 0, len(v)), -1)
-            start = np.cumsum(edge[:-1]) == 0
-        v = v[start]
-        if not len(v):
-            return np.zeros(0, np.int64)
-        v = v[np.append(True, v[1:] != v[:-1])]
-        return np.unique((v & low).astype(np.int64))
-
-    def surroundings(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Begin, end and hash of the bytes around anchors that their strings can reach."""
+        self.hash = mix(piece_hash) >> np.uint64(16)
+
+    def _anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and hashes of the smallest piece of each string, the first of several."""
+        span, at, hashes = self.reach + 1, [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        low = np.uint64((1 << (BLOCK + self.length).bit_length()) - 1)
+        for first in range(0, len(self.data) - self.length + 1, BLOCK):
+            h = all_stretches(prefix_sums(self.data[first : first + BLOCK + self.length - 1]), self.piece)
+            v = (h & ~low) | np.arange(len(h), dtype=np.uint64)
+            width = 1
+            while 2 * width <= span:
+                v = np.minimum(v[:-width], v[width:])
+                width *= 2
+            if width < span:
+                v = np.minimum(v[: len(v) - (span - width)], v[span - width :])
+            # strings that start in one text and end in the next are none
+            within = np.searchsorted(self.off, [first, first + len(v) + self.length])
+            ends = self.off[within[0] : within[1]] - first
+            if len(ends):
+                edge = np.zeros(len(v) + 1, np.int32)
+                np.add.at(edge, np.clip(ends - self.length + 1, 0, len(v)), 1)
+                np.add.at(edge, np.clip(ends, 0, len(v)), -1)
+                v = v[np.cumsum(edge[:-1]) == 0]
+            v = (v[_changes(v)] & low).astype(np.int64)
+            at.append(v + first)
+            hashes.append(h[v])
+        at, hashes = np.concatenate(at), np.concatenate(hashes)
+        new = _changes(at)
+        return at[new], hashes[new]
+
+    def _hashes(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of stretches that strings of one anchor can reach."""
+        out, longest = np.empty(len(begin), np.uint64), self.reach + self.length
+        order = np.argsort(begin)
+        for block, part in _runs(begin[order] // BLOCK):
+            part, first = order[part], block * BLOCK
+            sums = prefix_sums(self.data[first : first + BLOCK + longest])
+            out[part] = stretch_hashes(sums, begin[part] - first, end[part] - first)
+        return out
+
+    def bounds(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and end of the bytes around anchors that their strings can reach."""
         at, row = self.at[which], self.row[which]
-        begin = np.maximum(at - self.reach, self.off[row])
-        end = np.minimum(at + self.length, self.off[row + 1])
-        place = mix((at - begin).astype(np.uint64) * np.uint64(64) + (end - at).astype(np.uint64))
-        return begin, end, mix(stretch_hashes(self._sums, begin, end) ^ place)
+        return np.maximum(at - self.reach, self.off[row]), np.minimum(at + self.length, self.off[row + 1])
+
+    def around(self, which: np.ndarray) -> np.ndarray:
+        """Hashes of these bytes and of the anchors' places in them."""
+        begin, end = self.bounds(which)
+        place = mix((self.at[which] - begin).astype(np.uint64) * np.uint64(64) + (end - self.at[which]).astype(np.uint64))
+        return mix(self._hashes(begin, end) ^ place)
 
     def strings(self, which: np.ndarray) -> Strings:
         """The strings around anchors."""
-        begin, end, _ = self.surroundings(which)
+        begin, end = self.bounds(which)
         o = np.arange(self.reach + 1)[:, None]
         start = self.at[which] - o
         o, of = np.nonzero((start >= begin) & (start + self.length <= end))
         start = start[o, of]
-        h, check = stretch_hashes(self._sums, start, start + self.length), np.zeros(len(start), np.uint64)
+        h, check = self._hashes(start, start + self.length), np.zeros(len(start), np.uint64)
         for at in [*range(0, self.length - 7, 8), self.length - 8]:
             check = mix(check ^ words_at(self.data, start + at))
         return Strings(o, of, h, check, self.ids[self.row[which]][of])
 
-    def shards(self, n: int) -> np.ndarray:
-        """Shard of each anchor: ranges of the hash."""
-        return ((self.hash >> np.uint64(24)) * np.uint64(n) >> np.uint64(24)).astype(np.int64)
-
-    def by_shard(self, n: int) -> Iterator[tuple[int, np.ndarray]]:
-        """For each shard its anchors in order of hash."""
-        order = np.argsort(self.hash, kind="stable")
-        shard = self.shards(n)[order]
-        cuts = np.flatnonzero(np.diff(shard)) + 1
-        for part in np.split(order, cuts):
-            if len(part):
-                yield int(self.shards_one(part[0], n)), part
-
-    def shards_one(self, i: int, n: int) -> int:
-        return (int(self.hash[i]) >> 24) * n >> 24
-
-    def distinct(self, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of anchors in order of hash: the distinct hashes, the number in ``part`` of each
-        one's first anchor, and whether several documents have it."""
-        h, ids = self.hash[part], self.ids[self.row[part]]
-        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Anchors in order of hash, the distinct hashes, the number in this order of each one's
+        first anchor, and whether several documents have it."""
+        order = np.argsort(self.hash)
+        h, ids = self.hash[order], self.ids[self.row[order]]
+        first = np.flatnonzero(_changes(h))
         several = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
-        return h[first], first, several
+        return order, h[first], first, several
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -225,6 +239,19 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {n: c[i].as_py() for n, c in zip(batch.schema.names, batch.columns)}
 
 
+def _batches(rows: Iterator[tuple], names: list[str], kinds: list) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of bounded size."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row if isinstance(x, bytes))
+        if size >= BATCH_BYTES:
+            yield _batch(held, names, kinds)
+            held, size = [], 0
+    if held:
+        yield _batch(held, names, kinds)
+
+
 def _batch(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
@@ -245,12 +272,13 @@ def _unplanes(raw: bytes, width: int) -> np.ndarray:
 
 
 def _hash_rows(parcel: int, p: Parcel, n: int) -> Iterator[tuple]:
-    for shard, part in p.by_shard(n):
-        h, first, several = p.distinct(part)
-        times = np.diff(np.append(first, len(part)))
-        more = np.flatnonzero(times > 1)
-        repeats = _pack(np.stack([more, times[more]])) if len(more) else None
-        yield parcel, shard, _planes((h << np.uint64(1)) | several.astype(np.uint64), 7), repeats
+    order, h, first, several = p.distinct()
+    times = np.diff(np.append(first, len(order)))
+    values = (h << np.uint64(1)) | several.astype(np.uint64)
+    for shard, part in _runs(_shards(h, n)):
+        more = np.flatnonzero(times[part] > 1)
+        repeats = _pack(np.stack([more, times[part][more]])) if len(more) else None
+        yield parcel, shard, _planes(values[part], 7), repeats
 
 
 # --- shards --------------------------------------------------------------------
@@ -301,50 +329,67 @@ def _shared(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBa
             yield _batch(out, *_REPLY)
 
 
-def _wanted(
-    p: Parcel, answers: list[dict], n: int
-) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each shard: the parcel's anchors that several documents have (in order of hash,
-    then of surroundings), the number of its surroundings for each, the first anchor of each
-    surroundings (of the document with the smallest id), and whether that one is hot."""
+def _wanted(p: Parcel, answers: list[dict], n: int) -> tuple[np.ndarray, ...]:
+    """The parcel's anchors that several documents have (in order of hash, then of surroundings),
+    the number of its surroundings for each, the first anchor of each surroundings (of the
+    document with the smallest id), whether that one is hot, and the surroundings' hashes."""
     bits = {a["shard"]: a["answer"] for a in answers}
-    for shard, part in p.by_shard(n):
-        if shard not in bits:
-            continue
-        h, first, _ = p.distinct(part)
-        raw, times = _unpack(bits[shard], np.uint8), np.diff(np.append(first, len(part)))
-        hit = np.unpackbits(raw, count=len(h)).astype(bool)
-        behind = raw[-(-len(h) // 8) :]
-        hot = np.unpackbits(behind, count=len(h)).astype(bool) if len(behind) else np.zeros(len(h), bool)
-        which, hot = part[np.repeat(hit, times)], np.repeat(hot[hit], times[hit])
-        _, _, around = p.surroundings(which)
-        ids = p.ids[p.row[which]]
-        order = np.lexsort((ids, around, p.hash[which]))
-        which, around, h = which[order], around[order], p.hash[which[order]]
-        new = np.append(True, (around[1:] != around[:-1]) | (h[1:] != h[:-1]))
-        yield shard, which, np.cumsum(new) - 1, which[new], hot[order][new]
+    anchors, h, first, _ = p.distinct()
+    times = np.diff(np.append(first, len(anchors)))
+    hit, hot = np.zeros(len(h), bool), np.zeros(len(h), bool)
+    for shard, part in _runs(_shards(h, n)):
+        if shard in bits:
+            raw, count = _unpack(bits[shard], np.uint8), part.stop - part.start
+            hit[part] = np.unpackbits(raw, count=count)
+            behind = raw[-(-count // 8) :]
+            if len(behind):
+                hot[part] = np.unpackbits(behind, count=count)
+    which, hot, times = anchors[np.repeat(hit, times)], np.repeat(hot[hit], times[hit]), times[hit]
+    around, h = p.around(which), p.hash[which]
+    several = np.flatnonzero(np.repeat(times > 1, times))
+    order = several[np.lexsort((p.ids[p.row[which[several]]], around[several], h[several]))]
+    which[several], around[several] = which[order], around[order]
+    new = _changes(around, h)
+    return which, np.cumsum(new) - 1, which[new], hot[new], around[new]
 
 
 def _surrounding_rows(parcel: int, p: Parcel, answers: list[dict], n: int) -> Iterator[tuple]:
-    hot_firsts = []
-    for shard, _, _, firsts, hot in _wanted(p, answers, n):
-        if hot.any():
-            hot_firsts.append(firsts[hot])
-            firsts = firsts[~hot]
-        if not len(firsts):
-            continue
-        begin, end, around = p.surroundings(firsts)
-        size = end - begin
-        index = np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
-        shape = np.stack([p.at[firsts] - begin, size]).astype(np.uint8)
+    _, _, firsts, hot, around = _wanted(p, answers, n)
+    plain, around = firsts[~hot], around[~hot]
+    h, ids = p.hash[plain], p.ids[p.row[plain]]
+    begin, end = p.bounds(plain)
+    shape = np.stack([p.at[plain] - begin, end - begin]).astype(np.uint8)
+    for shard, part in _runs(_shards(h, n)):
+        size = (end - begin)[part]
+        index = np.arange(size.sum()) + np.repeat(begin[part] - (np.cumsum(size) - size), size)
         yield (
-            parcel, shard, _planes(p.hash[firsts], 6), _pack(around), _pack(p.ids[p.row[firsts]]),
-            _pack(shape), _pack(p.data[index]),
+            parcel, shard, _planes(h[part], 6), _pack(around[part]), _pack(ids[part]),
+            _pack(shape[:, part]), _pack(p.data[index]),
         )
-    if hot_firsts:
-        s = p.strings(np.concatenate(hot_firsts))
-        for shard, part in s.by_shard(n):
-            yield parcel, shard, _pack(s.hash[part]), _pack(s.check[part]), _pack(s.lowest[part]), None, None
+    if hot.any():
+        h, check, lowest, _ = _hot_strings(p, firsts[hot])
+        for shard, part in _runs(_string_shards(h, n)):
+            yield parcel, shard, _pack(h[part]), _pack(check[part]), _pack(lowest[part]), None, None
+
+
+def _hot_portions(p: Parcel, firsts: np.ndarray) -> list[slice]:
+    """Runs of hot anchors of bounded length. Anchors of one hash stay together, and with them
+    equal strings."""
+    h, cuts = p.hash[firsts], [0]
+    while cuts[-1] < len(h):
+        last = min(cuts[-1] + HOT_PORTION, len(h))
+        back = int(np.searchsorted(h, h[last])) if last < len(h) else last
+        cuts.append(back if back > cuts[-1] else int(np.searchsorted(h, h[last], "right")))
+    return [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+def _hot_strings(p: Parcel, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, second hashes and smallest ids of the distinct strings around hot anchors, in order
+    of hash, and the order in which the portions have them."""
+    each = [(s.hash, s.check, s.lowest) for s in (p.strings(firsts[part]) for part in _hot_portions(p, firsts))]
+    h, check, lowest = (np.concatenate(x) for x in zip(*each))
+    order = np.lexsort((check, h))
+    return h[order], check[order], lowest[order], order
 
 
 def _removed_strings(rows: list[dict]) -> list[tuple]:
@@ -362,14 +407,17 @@ def _removed_strings(rows: list[dict]) -> list[tuple]:
 
 def _hot_masks(p: Parcel, firsts: np.ndarray, bits: dict[int, bytes], n: int) -> np.ndarray:
     """Which strings around hot anchors go, as bits by start."""
-    s = p.strings(firsts)
-    smaller = np.zeros(len(s.hash), bool)
-    for shard, part in s.by_shard(n):
+    h, _, _, order = _hot_strings(p, firsts)
+    smaller = np.zeros(len(h), bool)
+    for shard, part in _runs(_string_shards(h, n)):
         if shard in bits:
-            smaller[part] = np.unpackbits(_unpack(bits[shard], np.uint8), count=part.stop - part.start)
-    gone = smaller[s.number] | (s.ids > s.lowest[s.number])
-    out = np.zeros(len(firsts), np.uint32)
-    np.bitwise_or.at(out, s.of[gone], np.uint32(1) << s.o[gone].astype(np.uint32))
+            smaller[order[part]] = np.unpackbits(_unpack(bits[shard], np.uint8), count=part.stop - part.start)
+    out, used = np.zeros(len(firsts), np.uint32), 0
+    for part in _hot_portions(p, firsts):
+        s = p.strings(firsts[part])
+        gone = smaller[used:][s.number] | (s.ids > s.lowest[s.number])
+        np.bitwise_or.at(out, part.start + s.of[gone], np.uint32(1) << s.o[gone].astype(np.uint32))
+        used += len(s.hash)
     return out
 
 
@@ -380,82 +428,79 @@ def _removed(batches: Iterator[pa.RecordBatch], length: int, piece: int) -> Iter
             if out := _removed_strings(rows):
                 yield _batch(out, *_REPLY)
             continue
-        h, around, ids, shape, data, source = [], [], [], [], [], []
-        for i, r in enumerate(rows):
-            h.append(_unplanes(r["hashes"], 6))
-            around.append(_unpack(r["around"], np.uint64))
-            ids.append(_unpack(r["ids"], np.int64))
-            shape.append(_unpack(r["shape"], np.uint8).reshape(2, -1).astype(np.int64))
-            data.append(_unpack(r["data"], np.uint8))
-            source.append(np.full(len(h[-1]), i))
-        h, around, ids, source = map(np.concatenate, (h, around, ids, source))
-        before, size = np.concatenate(shape, axis=1)
-        data = np.concatenate(data)
-        begin = np.cumsum(size) - size
+        h = np.concatenate([_unplanes(r["hashes"], 6) for r in rows])
+        around = np.concatenate([_unpack(r["around"], np.uint64) for r in rows])
+        each = [_unpack(r["ids"], np.int64) for r in rows]
+        ids, rows_end = np.concatenate(each), np.cumsum([len(x) for x in each])
+        shape = [_unpack(r["shape"], np.uint8).reshape(2, -1) for r in rows]
+        before, size = np.concatenate(shape, axis=1).astype(np.int64)
+        total = np.cumsum(size)
+        begin, data = total - size, np.empty(total[-1], np.uint8)
+        for r, last, n in zip(rows, total[rows_end - 1], [x[1].sum(dtype=np.int64) for x in shape]):
+            data[last - n : last] = _unpack(r.pop("data"), np.uint8)
         # equal surroundings of several parcels are one, of the smallest id
         order = np.lexsort((ids, around, h))
-        new = np.append(True, (around[order][1:] != around[order][:-1]) | (h[order][1:] != h[order][:-1]))
-        of = np.empty(len(order), np.int64)
-        of[order] = np.cumsum(new) - 1
-        kept = order[new]
-        smaller = smallest_ids(h[kept], ids[kept], before[kept], size[kept], begin[kept], data, length, piece)
-        # a string goes if its smallest id is below the id of the surroundings
+        new = np.flatnonzero(_changes(h[order], around[order]))
+        kept, times = order[new], np.diff(np.append(new, len(order)))
+        h = h[kept]
+        # an anchor with one surroundings left: its strings stand nowhere else
+        alone = _changes(h) & np.append(_changes(h)[1:], True)
         bits = np.zeros(len(order), np.uint32)
-        for o in range(length - piece + 1):
-            bits |= (smaller[o][of] < ids).astype(np.uint32) << np.uint32(o)
+        for some, find in (np.flatnonzero(alone), _own_ids), (np.flatnonzero(~alone), _sorted_ids):
+            for part in _portions(h[some], size[kept[some]]):
+                part = some[part]
+                k, each = kept[part], times[part]
+                smaller = find(ids[k], before[k], size[k], begin[k], data, length, length - piece)
+                of = np.repeat(np.arange(len(k)), each)
+                mine = order[np.arange(len(of)) + np.repeat(new[part] - (np.cumsum(each) - each), each)]
+                # a string goes if its smallest id is below the id of the surroundings
+                for o in range(length - piece + 1):
+                    bits[mine] |= (smaller[o][of] < ids[mine]).astype(np.uint32) << np.uint32(o)
         out = []
-        for i, r in enumerate(rows):
-            mine = bits[source == i]
+        for r, mine in zip(rows, np.split(bits, rows_end[:-1])):
             if mine.any():
                 out.append((r["parcel"], shard, _pack(mine)))
         if out:
             yield _batch(out, *_REPLY)
 
 
-def smallest_ids(h, ids, before, size, begin, data, length: int, piece: int) -> np.ndarray:
-    """Smallest id that has the string which starts ``o`` bytes before the anchor, by ``o`` and
-    surroundings; the largest number where there is no such string. ``h`` is ascending."""
-    reach = length - piece
-    out = np.full((reach + 1, len(h)), _LAST, np.int64)
-    # an anchor with one surroundings left: its strings stand nowhere else
-    alone = np.append(True, h[1:] != h[:-1]) & np.append(h[1:] != h[:-1], True)
-    for o in range(reach + 1):
-        has = alone & (o <= before) & (before - o + length <= size)
-        out[o, has] = ids[has]
-    several = np.flatnonzero(~alone)
-    if len(several):
-        out[:, several] = _sorted_ids(h[several], ids[several], before[several], size[several], begin[several], data, length, reach)
-    return out
-
-
-def _sorted_ids(h, ids, before, size, begin, data, length: int, reach: int) -> np.ndarray:
-    """As ``smallest_ids``, by sorting the suffixes of the surroundings."""
-    out = np.full((reach + 1, len(h)), _LAST, np.int64)
+def _portions(h: np.ndarray, size: np.ndarray) -> Iterator[slice]:
+    """Runs of surroundings of ``SHARD_BYTES``, or of one anchor."""
     total, first = np.cumsum(size), 0
     while first < len(h):
-        base = total[first] - size[first]
-        last = int(np.searchsorted(total, base + SHARD_BYTES, "right"))
+        last = int(np.searchsorted(total, total[first] - size[first] + SHARD_BYTES, "right"))
         if last < len(h):  # go back to a change of anchor, or on to the next
             back = int(np.searchsorted(h, h[last]))
             last = back if back > first else int(np.searchsorted(h, h[last], "right"))
-        part = slice(first, last)
-        n = size[part]
-        where = np.arange(n.sum()) + np.repeat(begin[part] - (np.cumsum(n) - n), n)
-        text = data[where]
-        end = np.cumsum(n)
-        owner = np.repeat(np.arange(first, last), n)
-        order = suffix_order(text, depth=-(-length // 8) * 8)
-        order = order[order + length <= np.repeat(end, n)[order]]
-        # strings of this anchor only: those that cover the piece
-        o = before[owner[order]] - (order - (end - n)[owner[order] - first])
-        fits = (o >= 0) & (o <= reach)
-        order, o = order[fits], o[fits]
-        if len(order):
-            own = owner[order]
-            run = np.flatnonzero(np.append(True, ~same_prefix(text, order, length)))
-            low = np.minimum.reduceat(ids[own], run)
-            out[o, own] = np.repeat(low, np.diff(np.append(run, len(order))))
+        yield slice(first, last)
         first = last
+
+
+def _own_ids(ids, before, size, begin, data, length: int, reach: int) -> np.ndarray:
+    """As ``_sorted_ids``, where no two surroundings have an anchor in common."""
+    o = np.arange(reach + 1)[:, None]
+    return np.where((o <= before) & (before - o + length <= size), ids, _LAST)
+
+
+def _sorted_ids(ids, before, size, begin, data, length: int, reach: int) -> np.ndarray:
+    """Smallest id that has the string which starts ``o`` bytes before the anchor, by ``o`` and
+    surroundings; the largest number where there is no such string. Found by sorting the suffixes
+    of the surroundings."""
+    out = np.full((reach + 1, len(ids)), _LAST, np.int64)
+    end = np.cumsum(size)
+    text = data[np.arange(size.sum()) + np.repeat(begin - (end - size), size)]
+    owner = np.repeat(np.arange(len(ids)), size)
+    order = suffix_order(text, depth=-(-length // 8) * 8)
+    order = order[order + length <= end[owner[order]]]
+    # strings of this anchor only: those that cover the piece
+    own = owner[order]
+    o = before[own] - (order - (end - size)[own])
+    fits = (o >= 0) & (o <= reach)
+    order, own, o = order[fits], own[fits], o[fits]
+    if len(order):
+        run = np.flatnonzero(np.append(True, ~same_prefix(text, order, length)))
+        low = np.minimum.reduceat(ids[own], run)
+        out[o, own] = np.repeat(low, np.diff(np.append(run, len(order))))
     return out
 
 
@@ -464,32 +509,31 @@ def _sorted_ids(h, ids, before, size, begin, data, length: int, reach: int) -> n
 
 def _cut(p: Parcel, n: int, answers: list[dict], strings: list[dict]) -> pa.RecordBatch:
     """The rows of a parcel without the bytes that go."""
-    cover = np.zeros(len(p.data) + 1, np.int64)
+    cover = np.zeros(len(p.data) + 1, np.int32)
     bits = {a["shard"]: a["answer"] for a in strings}
-    wanted = list(_wanted(p, answers, n))
-    hot_firsts = [firsts[hot] for *_, firsts, hot in wanted if hot.any()]
-    hot_masks, used = _hot_masks(p, np.concatenate(hot_firsts), bits, n) if hot_firsts else None, 0
-    for shard, which, of, firsts, hot in wanted:
-        mask = np.zeros(len(firsts), np.uint32)
+    which, of, firsts, hot, _ = _wanted(p, answers, n)
+    mask, plain = np.zeros(len(firsts), np.uint32), np.flatnonzero(~hot)
+    for shard, part in _runs(_shards(p.hash[firsts[plain]], n)):
         if shard in bits:
-            mask[~hot] = _unpack(bits[shard], np.uint32)
-        if hot.any():
-            mask[hot] = hot_masks[used : used + hot.sum()]
-            used += hot.sum()
-        # a document with larger id than the first with equal surroundings loses all of them
-        later = p.ids[p.row[which]] > p.ids[p.row[firsts]][of]
-        begin, end, _ = p.surroundings(which)
-        full = later & (end - begin >= p.length)
-        np.add.at(cover, begin[full], 1)
-        np.add.at(cover, end[full], -1)
-        for o in range(p.reach + 1):
-            start = p.at[which] - o
-            gone = ~later & ((mask[of] >> np.uint32(o)) & 1).astype(bool)
-            np.add.at(cover, start[gone], 1)
-            np.add.at(cover, start[gone] + p.length, -1)
-    gone = np.cumsum(cover[:-1]) > 0
+            mask[plain[part]] = _unpack(bits[shard], np.uint32)
+    if hot.any():
+        mask[hot] = _hot_masks(p, firsts[hot], bits, n)
+    # a document with larger id than the first with equal surroundings loses all of them
+    later = p.ids[p.row[which]] > p.ids[p.row[firsts]][of]
+    begin, end = p.bounds(which)
+    full = later & (end - begin >= p.length)
+    np.add.at(cover, begin[full], 1)
+    np.add.at(cover, end[full], -1)
+    at, mask = p.at[which][~later], mask[of[~later]]
+    at, mask = at[mask > 0], mask[mask > 0]
+    for o in range(p.reach + 1):
+        start = at[(mask >> np.uint32(o)) & 1 > 0] - o
+        cover[start] += 1  # no two anchors stand at one place
+        cover[start + p.length] -= 1
+    gone = np.cumsum(cover[:-1], out=cover[:-1]) > 0
+    del cover
     kept = p.data[~gone]
-    at = np.concatenate([[0], np.cumsum(~gone)])[p.off].astype(np.int64)
+    at = p.off - np.concatenate([[0], np.cumsum(gone, dtype=np.int32)])[p.off]
     edge = np.diff(np.concatenate([[0], gone.astype(np.int8)]))
     edge[p.off[:-1][p.off[:-1] < len(gone)]] = gone[p.off[:-1][p.off[:-1] < len(gone)]]
     start = np.flatnonzero(edge == 1)
@@ -516,6 +560,12 @@ def _answers(replies: DataFrame, name: str) -> DataFrame:
     return replies.groupBy("parcel").agg(F.collect_list(F.struct("shard", "answer")).alias(name))
 
 
+def _n_shards(n_bytes: int, bytes_per_shard: int) -> int:
+    """Every parcel sends a row to every shard, so shards grow before they become many."""
+    n = -(-n_bytes // bytes_per_shard)
+    return max(8, min(n, SHARDS), -(-n // GROWTH))
+
+
 def without_repeats(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, piece: int = PIECE,
     parcel_bytes_per_shard: int = TEXT_PER_SHARD, hot: int = HOT,
@@ -529,21 +579,19 @@ def without_repeats(
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     parcels = stored.table(rows.mapInArrow(_parcels, schema))
     total = parcels.agg(F.sum("n_bytes")).first()[0] or 0
-    n = max(8, -(-int(total) // parcel_bytes_per_shard))
+    n = _n_shards(int(total), parcel_bytes_per_shard)
 
     def hashes(batches):
         for row in _rows(batches):
-            out = list(_hash_rows(row["parcel"], Parcel(row, length, piece), n))
-            if out:
-                yield _batch(out, ["parcel", "shard", "hashes", "repeats"], [*_REPLY[1], pa.binary()])
+            made = _hash_rows(row["parcel"], Parcel(row, length, piece), n)
+            yield from _batches(made, ["parcel", "shard", "hashes", "repeats"], [*_REPLY[1], pa.binary()])
 
     def around(batches):
         names = ["parcel", "shard", "hashes", "around", "ids", "shape", "data"]
         kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
         for row in _rows(batches):
-            out = list(_surrounding_rows(row["parcel"], Parcel(row, length, piece), row["shared"], n))
-            if out:
-                yield _batch(out, names, kinds)
+            made = _surrounding_rows(row["parcel"], Parcel(row, length, piece), row["shared"], n)
+            yield from _batches(made, names, kinds)
 
     def cut(batches):
         for row in _rows(batches):

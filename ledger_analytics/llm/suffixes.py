@@ -33,14 +33,12 @@ class Queues:
         """Append each position to the queue of its key, in order."""
         order = np.argsort(keys, kind="stable")
         keys, positions = keys[order], positions[order]
-        cuts = np.flatnonzero(np.diff(keys)) + 1
-        firsts = np.concatenate([[0], cuts]) if len(keys) else cuts
-        for key, part in zip(keys[firsts].tolist(), np.split(positions, cuts)):
-            self._append(key, part)
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for first, last in zip(cuts[:-1], cuts[1:]):
+            if last > first:
+                self._append(int(keys[first]), positions[first:last])
 
     def _append(self, key: int, part: np.ndarray) -> None:
-        if not len(part):
-            return
         if self._held + part.nbytes > self._memory:
             if self._file is None:
                 self._file = tempfile.TemporaryFile()

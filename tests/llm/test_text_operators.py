@@ -287,6 +287,75 @@ def test_repeats_hot_anchor_is_dealt_out():
             assert (removed == 0) if r["doc_id"] == 0 else len(line) <= removed < len(line) + 20
 
 
+def repeats_in_process(docs, n, hot, parcel_rows=12):
+    """The steps of ``without_repeats`` without Spark: rows (doc_id, bytes, spans, sha256)."""
+    pack = lambda v, kind: repeats._pack(np.array(v, kind))
+    last = np.iinfo(np.int64).max
+    parcels = []
+    for i in range(0, len(docs), parcel_rows):
+        ids, texts = zip(*[(d, (t or "").encode()) for d, t in docs[i : i + parcel_rows]])
+        row = {
+            "ids": pack([last if d is None else d for d in ids], np.int64), "known": pack([d is not None for d in ids], bool),
+            "lengths": pack([len(t) for t in texts], np.int64), "data": pack(list(b"".join(texts)), np.uint8),
+        }
+        parcels.append(repeats.Parcel(row, repeats.LENGTH, repeats.PIECE))
+
+    def at_shards(sent, names, kinds, step):
+        sent = sorted(sent, key=lambda r: (r[1], r[0]))
+        replies = [r for b in step(iter([repeats._batch(sent, names, kinds)])) for r in b.to_pylist()]
+        return [[r for r in replies if r["parcel"] == i] for i in range(len(parcels))]
+
+    sent = [r for i, p in enumerate(parcels) for r in repeats._hash_rows(i, p, n)]
+    kinds = [*repeats._REPLY[1], pa.binary()]
+    shared = at_shards(sent, ["parcel", "shard", "hashes", "repeats"], kinds, lambda it: repeats._shared(it, hot))
+    sent = [r for i, p in enumerate(parcels) for r in repeats._surrounding_rows(i, p, shared[i], n)]
+    names, kinds = ["parcel", "shard", "hashes", "around", "ids", "shape", "data"], [*repeats._REPLY[1], *[pa.binary()] * 4]
+    strings = at_shards(sent, names, kinds, lambda it: repeats._removed(it, repeats.LENGTH, repeats.PIECE))
+    rows = [r for i, p in enumerate(parcels) for r in repeats._cut(p, n, shared[i], strings[i]).to_pylist()]
+    return [(r["doc_id"], r["n_bytes"], len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) for r in rows]
+
+
+def repeating_docs(rng, count):
+    word = lambda: "".join(rng.choice("abcé") for _ in range(rng.randrange(1, 7)))
+    passages = [" ".join(word() for _ in range(25)) for _ in range(4)]
+    docs = []
+    for _ in range(count):
+        a = rng.randrange(0, 30)
+        parts = [" ".join(word() for _ in range(rng.randrange(0, 30))), rng.choice(passages)[a : a + rng.randrange(45, 90)]]
+        docs.append((rng.choice([None, *range(count)]), " ".join(parts[: rng.randrange(1, 3)])))
+    return [*docs, (count, "z" * 200), (count + 1, "z" * 120), (count + 2, None), (count + 3, ""), (count + 4, docs[0][1])]
+
+
+@pytest.mark.parametrize("hot", [repeats.HOT, 4, 0])
+def test_repeats_of_many_blocks_portions_and_shards(monkeypatch, hot):
+    monkeypatch.setattr(repeats, "BLOCK", 70)
+    monkeypatch.setattr(repeats, "HOT_PORTION", 3)
+    monkeypatch.setattr(repeats, "SHARD_BYTES", 400)
+    docs = repeating_docs(random.Random(9), 70)
+    for n in (8, 1000):
+        assert sorted(repeats_in_process(docs, n, hot), key=repr) == brute_repeats(docs)
+
+
+def test_repeats_work_of_a_parcel_does_not_grow_with_the_shards(monkeypatch):
+    """Hashing and sorting is done for all shards of a parcel at once."""
+    docs, calls = repeating_docs(random.Random(10), 70), []
+    for name in ("mix", "stretch_hashes"):
+        monkeypatch.setattr(repeats, name, lambda *a, f=getattr(repeats, name): calls.append(1) or f(*a))
+    counts = []
+    for n in (8, 1000):
+        calls.clear()
+        repeats_in_process(docs, n, repeats.HOT)
+        counts.append(len(calls))
+    assert counts[0] == counts[1]
+
+
+def test_repeats_rows_between_parcels_and_shards():
+    """10 GB of text, in parcels and shards of 3 and 2 MB, made 16 million rows."""
+    n = 10_200_000_000
+    assert n / repeats.PARCEL_BYTES * repeats._n_shards(n, repeats.TEXT_PER_SHARD) < 1_000_000
+    assert [repeats._n_shards(x, 600) for x in (0, 6_000, 600 * 2048, 600 * 8000)] == [8, 10, 256, 1000]
+
+
 @pytest.mark.parametrize("hot", [repeats.HOT, 0])
 def test_repeats_odd(odd, empty, hot):
     got = repeats.without_repeats(odd, hot=hot).collect()
