@@ -432,27 +432,28 @@ def _removed(batches: Iterator[pa.RecordBatch], length: int, piece: int) -> Iter
         around = np.concatenate([_unpack(r["around"], np.uint64) for r in rows])
         each = [_unpack(r["ids"], np.int64) for r in rows]
         ids, rows_end = np.concatenate(each), np.cumsum([len(x) for x in each])
-        shape = [_unpack(r["shape"], np.uint8).reshape(2, -1) for r in rows]
-        before, size = np.concatenate(shape, axis=1).astype(np.int64)
-        total = np.cumsum(size)
+        before, size = np.concatenate([_unpack(r["shape"], np.uint8).reshape(2, -1) for r in rows], axis=1)
+        total = np.cumsum(size, dtype=np.int64)
         begin, data = total - size, np.empty(total[-1], np.uint8)
-        for r, last, n in zip(rows, total[rows_end - 1], [x[1].sum(dtype=np.int64) for x in shape]):
-            data[last - n : last] = _unpack(r.pop("data"), np.uint8)
+        for r, first in zip(rows, begin[np.append(0, rows_end[:-1])]):
+            part = _unpack(r.pop("data"), np.uint8)
+            data[first : first + len(part)] = part
         # equal surroundings of several parcels are one, of the smallest id
         order = np.lexsort((ids, around, h))
         new = np.flatnonzero(_changes(h[order], around[order]))
         kept, times = order[new], np.diff(np.append(new, len(order)))
         h = h[kept]
+        del around, total, each
         # an anchor with one surroundings left: its strings stand nowhere else
         alone = _changes(h) & np.append(_changes(h)[1:], True)
         bits = np.zeros(len(order), np.uint32)
         for some, find in (np.flatnonzero(alone), _own_ids), (np.flatnonzero(~alone), _sorted_ids):
             for part in _portions(h[some], size[kept[some]]):
                 part = some[part]
-                k, each = kept[part], times[part]
-                smaller = find(ids[k], before[k], size[k], begin[k], data, length, length - piece)
-                of = np.repeat(np.arange(len(k)), each)
-                mine = order[np.arange(len(of)) + np.repeat(new[part] - (np.cumsum(each) - each), each)]
+                k, several = kept[part], times[part]
+                smaller = find(ids[k], before[k].astype(np.int64), size[k].astype(np.int64), begin[k], data, length, length - piece)
+                of = np.repeat(np.arange(len(k)), several)
+                mine = order[np.arange(len(of)) + np.repeat(new[part] - (np.cumsum(several) - several), several)]
                 # a string goes if its smallest id is below the id of the surroundings
                 for o in range(length - piece + 1):
                     bits[mine] |= (smaller[o][of] < ids[mine]).astype(np.uint32) << np.uint32(o)
@@ -466,9 +467,9 @@ def _removed(batches: Iterator[pa.RecordBatch], length: int, piece: int) -> Iter
 
 def _portions(h: np.ndarray, size: np.ndarray) -> Iterator[slice]:
     """Runs of surroundings of ``SHARD_BYTES``, or of one anchor."""
-    total, first = np.cumsum(size), 0
+    total, first = np.cumsum(size, dtype=np.int64), 0
     while first < len(h):
-        last = int(np.searchsorted(total, total[first] - size[first] + SHARD_BYTES, "right"))
+        last = int(np.searchsorted(total, int(total[first]) - int(size[first]) + SHARD_BYTES, "right"))
         if last < len(h):  # go back to a change of anchor, or on to the next
             back = int(np.searchsorted(h, h[last]))
             last = back if back > first else int(np.searchsorted(h, h[last], "right"))
@@ -489,7 +490,7 @@ def _sorted_ids(ids, before, size, begin, data, length: int, reach: int) -> np.n
     out = np.full((reach + 1, len(ids)), _LAST, np.int64)
     end = np.cumsum(size)
     text = data[np.arange(size.sum()) + np.repeat(begin - (end - size), size)]
-    owner = np.repeat(np.arange(len(ids)), size)
+    owner = np.repeat(np.arange(len(ids), dtype=np.int32), size)
     order = suffix_order(text, depth=-(-length // 8) * 8)
     order = order[order + length <= end[owner[order]]]
     # strings of this anchor only: those that cover the piece

@@ -61,7 +61,7 @@ class Queues:
                 self._held -= part.nbytes
             out.append(part)
         self._parts[key] = []
-        return np.concatenate(out) if out else np.zeros(0, np.int64)
+        return np.concatenate(out) if out else np.zeros(0, np.int32)
 
     def close(self) -> None:
         if self._file is not None:
@@ -90,7 +90,7 @@ def suffix_order(text: np.ndarray, memory: int = MEMORY, depth: int = DEPTH) ->
     if not n:
         return np.zeros(0, np.int64)
     is_s = _types(text)
-    left = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
+    left = (np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1).astype(np.int32 if n < 1 << 31 else np.int64)
     keys = [words_at(text, left + 8 * j) for j in range(-(-depth // 8))]
     left = left[np.lexsort(keys[::-1])]
     left_bytes = text[left]
@@ -103,7 +103,7 @@ def suffix_order(text: np.ndarray, memory: int = MEMORY, depth: int = DEPTH) ->
     queues = Queues(memory)
     placed_l: list[np.ndarray] = []
     try:
-        queues.push(text[-1:], np.array([n - 1]))
+        queues.push(text[-1:], np.array([n - 1], left.dtype))
         for byte in range(256):
             rounds = []
             now = queues.pop(byte)
@@ -116,7 +116,7 @@ def suffix_order(text: np.ndarray, memory: int = MEMORY, depth: int = DEPTH) ->
             placed_l.append(np.concatenate(rounds) if rounds else now)
             p = before(left[bounds[byte] : bounds[byte + 1]], False)
             queues.push(text[p], p)
-        placed_s: list[np.ndarray] = [np.zeros(0, np.int64)] * 256
+        placed_s: list[np.ndarray] = [np.zeros(0, np.int32)] * 256
         for byte in range(255, -1, -1):
             rounds = []
             now = queues.pop(byte)
